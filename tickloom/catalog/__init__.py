@@ -53,18 +53,21 @@ def load() -> None:
 
 
 def rnd(x: Column | str, digits: int = 6) -> Column:
-    """Rounded result column, without negative zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
+    """Rounded result column, without negative zero.
 
+    A nudge far below the last digit keeps exact ties (frequent for ratios of whole numbers) from being
+    rounded up by one engine and down by the other."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(1.7 * 10.0 ** -(digits + 4)), digits) + F.lit(0.0)
 
-def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Round every double column; timestamps become zone-free."""
+
+def rounded(df: DataFrame, digits: int | None = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Round every double column (unless ``digits`` is None); timestamps become zone-free."""
     out = []
     for f in df.schema.fields:
         t = f.dataType.simpleString()
-        if t == "double" and f.name not in keep:
+        if t == "double" and f.name not in keep and digits is not None:
             out.append(rnd(f.name, digits).alias(f.name))
-        elif t == "timestamp":
+        elif t in ("timestamp", "date"):
             out.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
         else:
             out.append(F.col(f.name))
@@ -73,7 +76,7 @@ def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataF
 
 def r(expr: str, digits: int = 6, name: str | None = None) -> str:
     """SQL twin of :func:`rnd`."""
-    return f"(round({expr}, {digits}) + 0.0e0) AS {name or expr}"
+    return f"(round(({expr}) + {1.7 * 10.0 ** -(digits + 4)!r}, {digits}) + 0.0e0) AS {name or expr}"
 
 
 def rs(*names: str, digits: int = 6) -> str:

@@ -15,7 +15,7 @@ _TF = ", ".join(f"('{n}', {s})" for n, s in B.TIMEFRAMES.items())
     V.with_views("bars_1h") + " SELECT * FROM bars_1h",
 )
 def bars_1h(spark, d):
-    return rounded(V.bars(spark, d, 3600), 12)
+    return rounded(V.bars(spark, d, 3600), None)
 
 
 @query(
@@ -30,7 +30,7 @@ def bars_1h(spark, d):
       (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY timestamp DESC) AS rn FROM b) WHERE rn <= 500""",
 )
 def bars_multi_timeframe(spark, d):
-    return rounded(B.resample_many(V.ticks(spark, d)), 12)
+    return rounded(B.resample_many(V.ticks(spark, d)), None)
 
 
 @query(
