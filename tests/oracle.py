@@ -34,8 +34,12 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
             df[col] = df[col].dt.tz_localize(None).astype("datetime64[us]")
         elif df[col].dtype == object:
             df[col] = df[col].map(lambda v: v if v is None or isinstance(v, str) else str(v)).where(df[col].notna(), None)
-        elif str(df[col].dtype) in ("Int64", "boolean", "Int32"):
-            df[col] = df[col].astype(object).where(df[col].notna(), None)
+        if df[col].dtype == bool:
+            df[col] = df[col].map(str)
+        elif str(df[col].dtype) in ("Int64", "Int32", "Int16", "Int8"):
+            df[col] = df[col].astype(float)
+        elif str(df[col].dtype) == "boolean":
+            df[col] = df[col].map(lambda v: None if pd.isna(v) else str(bool(v)))
     return df.sort_values(list(df.columns), na_position="first", key=lambda s: s.astype(str) if s.dtype == object else s).reset_index(drop=True)
 
 

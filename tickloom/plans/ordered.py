@@ -97,10 +97,11 @@ class Ordered:
         return out.select(*cols)
 
     # -- chunks with halo ---------------------------------------------------------------------
-    def chunks(self, df: DataFrame, halo: int) -> DataFrame:
+    def chunks(self, df: DataFrame, halo: int, ahead: int = 0) -> DataFrame:
         """Assign rows to chunks of ``chunk_rows`` and repeat the last ``halo`` rows of each chunk
-        at the start of the next. Adds ``_i`` (if absent), ``_c`` and the halo flag ``_h``."""
-        if halo > self.chunk_rows:
+        at the start of the next (and the first ``ahead`` rows at the end of the previous one). Adds
+        ``_i`` (if absent), ``_c`` and the halo flag ``_h``."""
+        if max(halo, ahead) > self.chunk_rows:
             raise ValueError("halo must not exceed chunk_rows")
         if INDEX not in df.columns:
             df = self.running(df)
@@ -108,9 +109,15 @@ class Ordered:
         c = F.floor(F.col(INDEX) / size)
         own = F.struct(c.alias("c"), F.lit(False).alias("h"))
         nxt = F.struct((c + 1).alias("c"), F.lit(True).alias("h"))
-        spill = F.col(INDEX) % size >= F.lit(self.chunk_rows - halo)
+        at = F.col(INDEX) % size
+        copies = [own]
+        if halo:
+            copies.append(F.when(at >= F.lit(self.chunk_rows - halo), nxt))
+        if ahead:
+            prv = F.struct((c - 1).alias("c"), F.lit(True).alias("h"))
+            copies.append(F.when((at < F.lit(ahead)) & (c > 0), prv))
         return (
-            df.withColumn("_to", F.explode(F.when(spill, F.array(own, nxt)).otherwise(F.array(own))))
+            df.withColumn("_to", F.explode(F.array_compact(F.array(*copies))))
             .withColumn(CHUNK, F.col("_to.c"))
             .withColumn(HALO, F.col("_to.h"))
             .drop("_to")
@@ -132,10 +139,10 @@ class Ordered:
         helpers = [c for c in (CHUNK, HALO) if c in df.columns] + ([] if keep_index else [INDEX])
         return df.filter(~F.col(HALO)).drop(*helpers)
 
-    def windowed(self, df: DataFrame, halo: int, fn, keep_index: bool = False) -> DataFrame:
+    def windowed(self, df: DataFrame, halo: int, fn, keep_index: bool = False, ahead: int = 0) -> DataFrame:
         """``fn`` adds columns using :meth:`trailing`/:meth:`past`/:meth:`window` frames that reach
-        back at most ``halo`` rows in total."""
-        return self.strip(fn(self.chunks(df, halo)), keep_index)
+        back at most ``halo`` rows in total (and forward at most ``ahead``)."""
+        return self.strip(fn(self.chunks(df, halo, ahead)), keep_index)
 
 
 TICKS = Ordered(bucket_seconds=3_600)
