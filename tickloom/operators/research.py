@@ -50,7 +50,7 @@ PANEL_KEYS = ("symbol", "feature", "horizon")
 def spearman(panel: DataFrame, keys: Sequence[str] = PANEL_KEYS, minimum: int = 10) -> DataFrame:
     """Rank correlation over whole groups of any size, with its t-based p-value; (0, 1) if undefined."""
     keys = list(keys)
-    r = average_ranks(average_ranks(panel, keys, "value", "_rx"), keys, "fwd", "_ry")
+    r = average_ranks(panel, keys, {"value": "_rx", "fwd": "_ry"})
     g = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy")
     )
@@ -87,6 +87,23 @@ def _window_ic(x: np.ndarray, y: np.ndarray, window: int, ends: np.ndarray) -> n
     return np.where(den > 0, (a * b).sum(1) / np.where(den > 0, den, 1.0), 0.0)
 
 
+def _chunk_ic(keys: list[str], w: int, st: int):
+    """Function for one row chunk: correlations of the windows that end in it, every ``st`` rows."""
+
+    def calc(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(INDEX)
+        idx = pdf[INDEX].to_numpy()
+        pos = np.flatnonzero(~pdf[HALO].to_numpy(bool) & (idx >= w - 1) & ((idx - w + 1) % st == 0))
+        out = {k: [pdf[k].iloc[0]] * len(pos) for k in keys}
+        out["period"] = idx[pos]
+        x, y = pdf["value"].to_numpy(), pdf["fwd"].to_numpy()
+        vals = [_window_ic(x, y, w, c) for c in np.array_split(pos, max(1, len(pos) // 512)) if len(c)]
+        out["ic"] = np.concatenate(vals) if vals else np.empty(0)
+        return pd.DataFrame(out)
+
+    return calc
+
+
 def ic_series(panel: DataFrame, s: Ordered, window: int = 252, keys: Sequence[str] = PANEL_KEYS) -> DataFrame:
     """Rank correlation per rolling window of max(window, 10h) rows, stepped by the horizon h.
 
@@ -111,17 +128,7 @@ def ic_series(panel: DataFrame, s: Ordered, window: int = 252, keys: Sequence[st
         chunk = s.with_(chunk_rows=max(8192, w))
         one = rows.filter(many & (F.col("horizon") == h)).select(*keys, INDEX, "value", "fwd")
 
-        def calc(pdf: pd.DataFrame, w=w, st=st) -> pd.DataFrame:
-            pdf = pdf.sort_values(INDEX)
-            idx = pdf[INDEX].to_numpy()
-            pos = np.flatnonzero(~pdf[HALO].to_numpy() & (idx >= w - 1) & ((idx - w + 1) % st == 0))
-            out = {k: [pdf[k].iloc[0]] * len(pos) for k in keys}
-            out["period"] = idx[pos]
-            vals = [_window_ic(pdf["value"].to_numpy(), pdf["fwd"].to_numpy(), w, c) for c in np.array_split(pos, max(1, len(pos) // 512)) if len(c)]
-            out["ic"] = np.concatenate(vals) if vals else np.empty(0)
-            return pd.DataFrame(out)
-
-        part = chunk.chunks(one, w - 1).groupBy(*keys, CHUNK).applyInPandas(calc, schema)
+        part = chunk.chunks(one, w - 1).groupBy(*keys, CHUNK).applyInPandas(_chunk_ic(keys, w, st), schema)
         parts = part if parts is None else parts.unionByName(part)
     # few windows: at least three contiguous blocks of at least five rows
     few = rows.filter(~many)
@@ -172,7 +179,8 @@ def ic_summary(panel: DataFrame, s: Ordered, window: int = 252, n_boot: int = 0,
     keys = list(keys)
     from ..session import cut_lineage
 
-    # The series feeds several aggregations below; it is small next to the panel.
+    # Panel and series feed several aggregations each: compute them once.
+    panel = cut_lineage(panel)
     series = cut_lineage(ic_series(panel, s, window, keys))
     g = series.groupBy(*keys).agg(
         F.avg("ic").alias("ic"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n_samples"),
@@ -207,7 +215,7 @@ def turnover(panel: DataFrame, s: Ordered, keys: Sequence[str] = PANEL_KEYS) ->
     """Mean absolute change of the feature's rank between consecutive rows, over the row count."""
     keys = list(keys)
     s = s.with_(keys=tuple(keys))
-    r = average_ranks(panel, keys, "value", "_rk")
+    r = average_ranks(panel, keys, {"value": "_rk"})
     t = s.windowed(r, 1, lambda d: d.withColumn("_d", F.abs(F.col("_rk") - F.lag("_rk").over(s.window()))))
     return t.groupBy(*keys).agg((F.coalesce(F.avg("_d"), F.lit(0.0)) / F.count(F.lit(1))).alias("turnover"))
 

@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, buckets: int = 1024) -> DataFrame:
-    """Add the average rank of ``value`` within ``keys`` (ties share their mean rank; nulls get null).
+def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], buckets: int = 1024) -> DataFrame:
+    """Add the average rank of each column within ``keys`` (``values``: column -> output name; ties share
+    their mean rank, nulls get null). The columns must have the same type.
 
-    Values are first counted per distinct value. Each group is then cut into equal-width value buckets,
-    whose totals give the rank offset of a bucket, so only one bucket is sorted at a time."""
+    Values of all columns are first counted per distinct value. Each group is then cut into equal-width
+    value buckets, whose totals give the rank offset of a bucket, so only one bucket is sorted at a time.
+    ``df`` is read several times: pass a materialised table if it is expensive."""
     keys = list(keys)
-    cnt = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    rng = cnt.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    k = [*keys, "_col"]
+    cols = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in values]))
+    tall = df.select(*keys, cols.alias("_x")).select(*keys, F.col("_x.c").alias("_col"), F.col("_x.v").alias("_v"))
+    cnt = tall.filter(F.col("_v").isNotNull()).groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    rng = cnt.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
-    b = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / F.when(width > 0, width) * buckets), F.lit(buckets - 1))).otherwise(0)
-    cnt = cnt.join(rng, keys).withColumn("_bk", b).drop("_lo", "_hi")
-    tot = cnt.groupBy(*keys, "_bk").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_bk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    w = Window.partitionBy(*keys, "_bk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    r = cnt.withColumn("_u", F.sum("_c").over(w)).join(off, [*keys, "_bk"])
+    b = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(width > 0, width) * buckets), F.lit(buckets - 1))).otherwise(0)
+    cnt = cnt.join(rng, k).withColumn("_bk", b).drop("_lo", "_hi")
+    tot = cnt.groupBy(*k, "_bk").agg(F.sum("_c").alias("_t"))
+    before = Window.partitionBy(*k).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*k, "_bk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    w = Window.partitionBy(*k, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    r = cnt.withColumn("_u", F.sum("_c").over(w)).join(off, [*k, "_bk"])
     rank = F.col("_o") + F.col("_u") - F.col("_c") + (F.col("_c") + 1) / 2.0
-    ranks = r.select(*keys, value, rank.alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    ranks = r.select(*k, "_v", rank.alias("_r"))
+    for c, out in values.items():
+        one = ranks.filter(F.col("_col") == c).select(*keys, F.col("_v").alias(c), F.col("_r").alias(out))
+        df = df.join(one, [*keys, c], "left")
+    return df
 
 
 def ranks_in(keys: Sequence[str], value: str):
