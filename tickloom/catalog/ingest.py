@@ -240,10 +240,10 @@ def _pages(spark, d, kind):
         text = F.concat(F.lit("<tr><td>"), mon, F.lit(" "), (day - 1).cast("string"), F.lit(", "), day.cast("string"), F.lit("</td></tr>"))
         head, foot = F.concat(F.lit("<h3>"), (c("yr") + 10).cast("string"), F.lit("</h3><table>")), F.lit("</table>")
     g = o.select("o_custkey", yr.alias("yr"), "o_orderkey", text.alias("x")).groupBy("o_custkey", "yr").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "x"))).alias("a"))
-    return g.select(c("o_custkey").alias("page_id"), F.concat(head, F.concat_ws("", "a.x"), foot).alias("html"))
+    return g.select((c("o_custkey") * 10000 + c("yr")).alias("page_id"), F.concat(head, F.concat_ws("", "a.x"), foot).alias("html"))
 
 
-_OD = "o AS (SELECT *, o_custkey AS page_id, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders WHERE day(o_orderdate) BETWEEN 2 AND 20)"
+_OD = "o AS (SELECT *, o_custkey * 10000 + year(o_orderdate) AS page_id, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders WHERE day(o_orderdate) BETWEEN 2 AND 20)"
 
 
 @query(
