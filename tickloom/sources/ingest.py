@@ -226,10 +226,8 @@ EMPTY_CELLS = ("", "-", "...", "n.a.", "N/A")
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Text lines; the encoding (UTF-8, Shift_JIS, MS932) is a property of the files read together."""
-    if encoding.upper() == "UTF-8":
-        return spark.read.text(path).withColumnRenamed("value", "line")
-    b = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("t"))
-    return b.select(F.explode(F.split("t", r"\r?\n")).alias("line"))
+    opts = {"encoding": encoding, "sep": "\u0001", "quote": ""}  # one unquoted column: the line
+    return spark.read.schema("line string").options(**opts).csv(path)
 
 
 def delimited_macro(lines: DataFrame, line: str = "line", start: str | None = None, end: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
