@@ -224,10 +224,28 @@ DATE_PATTERNS = ("yyyy/M", "yyyy/M/d", "yyyy-M-d", "yyyy-M", "yyyy")
 EMPTY_CELLS = ("", "-", "...", "n.a.", "N/A")
 
 
-def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Text lines; the encoding (UTF-8, Shift_JIS, MS932) is a property of the files read together."""
-    opts = {"encoding": encoding, "sep": "\u0001", "quote": ""}  # one unquoted column: the line
-    return spark.read.schema("line string").options(**opts).csv(path)
+# Encodings in the order they are tried.
+ENCODINGS = ("utf-8-sig", "shift_jis", "cp932")
+
+
+def read_lines(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """Text lines of small files in mixed encodings: per file the first encoding that decodes it."""
+    enc = list(encodings)
+
+    def decode(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for raw in pdf["content"]:
+                for e in enc:
+                    try:
+                        text = bytes(raw).decode(e)
+                    except UnicodeDecodeError:
+                        continue
+                    yield pd.DataFrame({"line": text.splitlines()})
+                    break
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "line string")
 
 
 def delimited_macro(lines: DataFrame, line: str = "line", start: str | None = None, end: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
