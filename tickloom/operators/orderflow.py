@@ -40,21 +40,19 @@ def order_flow(
         w = s.window()
         depth = F.col("bid_size") - F.col("ask_size")
         t = t.withColumn("_f", F.coalesce(depth - F.lag(depth).over(w), F.lit(0.0)) if book else signed_quantity())
-        t = t.withColumn("_s", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        for n in windows:
-            mean = (F.col("_s") - F.coalesce(F.lag("_s", n).over(w), F.lit(0.0))) / n
-            t = t.withColumn(f"ofi_{n}", F.when(F.col(INDEX) >= n - 1, mean))
-        mix = add([F.lit(wt) * F.col(f"ofi_{n}") for n, wt in zip(windows, weights)])
-        t = t.withColumn("_x", F.when(F.col(INDEX) >= full, mix))
+        t = s.sums_over(t, {f"ofi_{n}": (F.col("_f"), n) for n in windows})
+        means = {f"ofi_{n}": F.when(F.col(INDEX) >= n - 1, F.col(f"ofi_{n}") / n) for n in windows}
+        t = t.withColumns(means)
+        x = F.when(F.col(INDEX) >= full, add([F.lit(wt) * F.col(f"ofi_{n}") for n, wt in zip(windows, weights)]))
+        t = t.withColumn("_x", x)
         moved = F.when(F.col("_x") != F.lag("_x").over(w), 1.0).otherwise(0.0)
         t = t.withColumn("_mv", F.when(F.col(INDEX) > full, moved).otherwise(0.0))
-        t = s.sums_over(t, std_window, {"_s1": F.col("_x"), "_s2": F.col("_x") * F.col("_x")})
-        t = s.sums_over(t, std_window - 1, {"_cx": F.col("_mv")})
+        t = s.sums_over(t, {"_s1": (F.col("_x"), std_window), "_s2": (F.col("_x") * F.col("_x"), std_window), "_cx": (F.col("_mv"), std_window - 1)})
         m = F.least(F.col(INDEX) - full + 1, F.lit(std_window)).cast("double")
         var = (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.when(m > 0, m)) / F.when(m > 1, m - 1)
         # no change inside the window: exactly flat
         sd = F.when(F.col("_cx") > 0, F.sqrt(F.greatest(F.lit(0.0), F.coalesce(var, F.lit(0.0))))).otherwise(0.0)
-        return t.withColumn("ofi_signal", safe_tanh(F.col("_x"), F.lit(k) * sd)).drop("_f", "_s", "_x", "_mv", "_s1", "_s2", "_cx")
+        return t.withColumn("ofi_signal", safe_tanh(F.col("_x"), F.lit(k) * sd)).drop("_f", "_x", "_mv", "_s1", "_s2", "_cx")
 
     # The first tick of a chunk's halo has no predecessor, hence one row more.
     return s.windowed(ticks, full + std_window + 1, fn)
@@ -76,47 +74,57 @@ def cvd_kyle(
     def fn(t: DataFrame) -> DataFrame:
         w = s.window()
         i = F.col(INDEX)
-        t = t.withColumn("_q", signed_quantity())
-        t = t.withColumn("_dp", F.coalesce(F.col("price") - F.lag("price").over(w), F.lit(0.0)))
-        t = t.withColumn("_dc", F.when(i == 0, F.lit(0.0)).otherwise(F.col("_q")))
+        q = signed_quantity()
+        t = t.withColumns(
+            {
+                "_q": q,
+                "_dp": F.coalesce(F.col("price") - F.lag("price").over(w), F.lit(0.0)),
+                "_mq": F.when(q != F.lag(q).over(w), 1.0).otherwise(0.0),
+            }
+        )
         near = s.trailing(cvd_window)
-        t = (
-            t.withColumn("_cov", F.covar_pop("_dp", "_dc").over(near))
-            .withColumn("_sp", F.stddev_pop("_dp").over(near))
-            .withColumn("_sc", F.stddev_pop("_dc").over(near))
+        x, y, k = F.col("_q"), F.col("_dp"), float(kyle_window)
+        dc = F.when(i == 0, F.lit(0.0)).otherwise(x)
+        # Least squares from window sums. A constant regressor has slope 0 (minimum-norm solution), which
+        # the number of changes inside the window tells exactly; negative slopes are clamped.
+        t = s.sums_over(
+            t,
+            {
+                "_x": (x, kyle_window, True),
+                "_y": (y, kyle_window, True),
+                "_xy": (x * y, kyle_window, True),
+                "_xx": (x * x, kyle_window, True),
+                "_ch": (F.col("_mq"), kyle_window - 1, True),
+            },
+            {"_cov": F.covar_pop(y, dc).over(near), "_sp": F.stddev_pop(y).over(near), "_sc": F.stddev_pop(dc).over(near)},
         )
         flat = (F.col("_sp") < 1e-15) | (F.col("_sc") < 1e-15)
         corr = F.col("_cov") / F.when(~flat, F.col("_sp") * F.col("_sc"))
         div = F.when(flat, F.lit(0.0)).otherwise(F.tanh(-corr * divergence_k))
-        t = t.withColumn("cvd_divergence", F.when(i >= cvd_window - 1, div))
-        # Least squares from window sums. A constant regressor has slope 0 (minimum-norm solution), which
-        # the number of changes inside the window tells exactly; negative slopes are clamped.
-        x, y, k = F.col("_q"), F.col("_dp"), float(kyle_window)
-        moved = lambda c: F.when(F.col(c) != F.lag(c).over(w), 1.0).otherwise(0.0)
-        t = t.withColumn("_mq", moved("_q"))
-        t = s.sums_over(t, kyle_window, {"_x": x, "_y": y, "_xy": x * y, "_xx": x * x}, strict=True)
-        t = s.sums_over(t, kyle_window - 1, {"_ch": F.col("_mq")}, strict=True)
         den = F.lit(k) * F.col("_xx") - F.col("_x") * F.col("_x")
         slope = F.when((F.col("_ch") > 0) & (den > 0), (F.lit(k) * F.col("_xy") - F.col("_x") * F.col("_y")) / F.when(den > 0, den))
-        t = t.withColumn("kyle_lambda", F.when(i >= kyle_window, F.greatest(F.coalesce(slope, F.lit(0.0)), F.lit(0.0))))
+        t = t.withColumns(
+            {
+                "cvd_divergence": F.when(i >= cvd_window - 1, div),
+                "kyle_lambda": F.when(i >= kyle_window, F.greatest(F.coalesce(slope, F.lit(0.0)), F.lit(0.0))),
+            }
+        )
         # z-score against the last values, again from sums; no change inside the window means score 0
         lam = F.col("kyle_lambda")
-        t = t.withColumn("_ml", F.when(i > kyle_window, moved("kyle_lambda")).otherwise(0.0))
-        t = s.sums_over(t, z_lookback, {"_s1": lam, "_s2": lam * lam})
-        t = s.sums_over(t, z_lookback - 1, {"_cl": F.col("_ml")})
+        changed = F.when(lam != F.lag(lam).over(w), 1.0).otherwise(0.0)
+        t = t.withColumn("_ml", F.when(i > kyle_window, changed).otherwise(0.0))
+        t = s.sums_over(t, {"_s1": (lam, z_lookback), "_s2": (lam * lam, z_lookback), "_cl": (F.col("_ml"), z_lookback - 1)})
         n = F.least(i - kyle_window + 1, F.lit(z_lookback)).cast("double")
         n1 = F.when(n > 1, n - 1)
         sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("_s2") - F.col("_s1") * F.col("_s1") / F.when(n > 0, n)) / n1))
-        t = t.withColumn("_m", F.col("_s1") / F.when(n > 0, n)).withColumn("_sd", sd)
+        t = t.withColumns({"_m": F.col("_s1") / F.when(n > 0, n), "_sd": sd})
         flat_l = (F.col("_cl") == 0) | (F.col("_sd") < 1e-15)
         score = F.when(flat_l, F.lit(0.0)).otherwise((lam - F.col("_m")) / F.when(~flat_l, F.col("_sd")))
         t = t.withColumn("kyle_lambda_zscore", F.when(i >= kyle_window + 1, score))
         t = t.withColumn("liquidity_signal", F.tanh(F.col("kyle_lambda_zscore") / liquidity_k))
-        t = t.withColumn(
-            "combined_signal",
-            F.tanh(weights[0] * F.col("cvd_divergence") + weights[1] * F.col("liquidity_signal")),
-        )
-        return t.drop("_q", "_dp", "_dc", "_cov", "_sp", "_sc", "_m", "_sd", "_mq", "_x", "_y", "_xy", "_xx", "_ch", "_ml", "_s1", "_s2", "_cl")
+        mixed = weights[0] * F.col("cvd_divergence") + weights[1] * F.col("liquidity_signal")
+        t = t.withColumn("combined_signal", F.tanh(mixed))
+        return t.drop("_q", "_dp", "_mq", "_cov", "_sp", "_sc", "_x", "_y", "_xy", "_xx", "_ch", "_ml", "_s1", "_s2", "_cl", "_m", "_sd")
 
     # The oldest slope needed looks back kyle_window rows, whose first price change needs one more.
     return s.windowed(base, kyle_window + z_lookback + 1, fn)

@@ -134,19 +134,24 @@ class Ordered:
         """The ``k`` rows strictly before the current one."""
         return self.window().rowsBetween(-k, -1)
 
-    def sums_over(self, df: DataFrame, k: int, sums: Mapping[str, Column], strict: bool = False) -> DataFrame:
-        """Sums over the last ``k`` rows (``strict``: the k rows before the current one) inside chunks.
+    def sums_over(self, df: DataFrame, sums: Mapping[str, tuple], extra: Mapping[str, Column] | None = None) -> DataFrame:
+        """Sums over trailing rows inside chunks: name -> (column, k) for the last k rows, or
+        (column, k, True) for the k rows before the current one.
 
         Differences of a running sum: the cost does not depend on k, unlike a sliding frame, which
-        re-adds its k rows for every row. Nulls count as 0."""
+        re-adds its k rows for every row. Nulls count as 0. All running sums, and the window columns in
+        ``extra``, share one pass over the sorted rows; a second pass looks them up k rows back."""
         w = self.window()
         run = w.rowsBetween(Window.unboundedPreceding, 0)
-        for n, e in sums.items():
-            df = df.withColumn(f"_cs_{n}", F.sum(F.coalesce(e.cast("double"), F.lit(0.0))).over(run))
-        at = (lambda n, j: F.coalesce(F.lag(f"_cs_{n}", j).over(w), F.lit(0.0)) if j else F.col(f"_cs_{n}"))
-        d = 1 if strict else 0
-        df = df.withColumns({n: at(n, d) - at(n, k + d) for n in sums})
-        return df.drop(*[f"_cs_{n}" for n in sums])
+        cums = {f"_cs_{n}": F.sum(F.coalesce(v[0].cast("double"), F.lit(0.0))).over(run) for n, v in sums.items()}
+        df = df.withColumns({**cums, **(extra or {})})
+
+        def diff(n: str, k: int, strict: bool = False) -> Column:
+            c = F.col(f"_cs_{n}")
+            back = lambda j: F.coalesce(F.lag(c, j).over(w), F.lit(0.0)) if j else c
+            return back(int(strict)) - back(k + int(strict))
+
+        return df.withColumns({n: diff(n, *v[1:]) for n, v in sums.items()}).drop(*cums)
 
     def strip(self, df: DataFrame, keep_index: bool = False) -> DataFrame:
         """Drop halo copies and helper columns."""
