@@ -140,34 +140,36 @@ def recent_microstructure(ticks: DataFrame, window: int = 100, s: Ordered = TICK
     def fn(t: DataFrame) -> DataFrame:
         w, last, pairs = s.window(), s.trailing(window), s.trailing(window - 1)
         n = F.least(F.col(INDEX) + 1, F.lit(window))
-        t = (
-            t.withColumn("_bid", bid)
-            .withColumn("_ask", ask)
-            .withColumn("_sell", sell)
-            .withColumn("_net", buy - sell)
-            .withColumn("_dp", F.when(F.col(INDEX) > 0, F.col("price") - F.lag("price").over(w)))
-            .withColumn("_prev", F.when(F.col(INDEX) > 0, F.lag("_net").over(w)))
-            .withColumn("_us", F.unix_millis("timestamp"))
+        net = buy - sell
+        valid = (bid > 0) & (ask > bid)
+        t = t.withColumns(
+            {
+                "_bid": bid,
+                "_ask": ask,
+                "_sell": sell,
+                "_net": net,
+                "_bp": F.when(valid, (ask - bid) / ((bid + ask) / 2) * 10_000.0),
+                "_dp": F.when(F.col(INDEX) > 0, F.col("price") - F.lag("price").over(w)),
+                "_prev": F.when(F.col(INDEX) > 0, F.lag(net).over(w)),
+                "_us": F.unix_millis("timestamp"),
+            }
         )
-        valid = (F.col("_bid") > 0) & (F.col("_ask") > F.col("_bid"))
-        bps = F.when(valid, (F.col("_ask") - F.col("_bid")) / ((F.col("_bid") + F.col("_ask")) / 2) * 10_000.0)
-        t = (
-            t.withColumn("_vol", F.sum("quantity").over(last))
-            .withColumn(
-                "_imb",
-                (F.col("_bid") - F.first("_bid").over(last)) - (F.col("_ask") - F.first("_ask").over(last)),
-            )
-            .withColumn("_delta", F.sum("_net").over(last))
-            # Each change is paired with the flow of the tick before it; the oldest tick of the
-            # window contributes its flow only, so window-1 pairs end at the current tick.
-            .withColumn("_var", F.var_samp("_prev").over(pairs))
-            .withColumn("_cov", F.covar_samp("_dp", "_prev").over(pairs))
-            .withColumn("_bps", F.avg(bps).over(last))
-            .withColumn("_ms", F.col("_us") - F.first("_us").over(last))
-            .withColumn("_sm", F.avg("_sell").over(last))
-            .withColumn("_ss", F.stddev_samp("_sell").over(last))
-            .withColumn("_ad", F.avg(F.abs("_dp")).over(pairs))
-            .withColumn("_mv", F.abs(F.col("price") - F.lag("price", 5).over(w)))
+        # Each change is paired with the flow of the tick before it; the oldest tick of the window
+        # contributes its flow only, so window-1 pairs end at the current tick.
+        t = t.withColumns(
+            {
+                "_vol": F.sum("quantity").over(last),
+                "_imb": (F.col("_bid") - F.first("_bid").over(last)) - (F.col("_ask") - F.first("_ask").over(last)),
+                "_delta": F.sum("_net").over(last),
+                "_var": F.var_samp("_prev").over(pairs),
+                "_cov": F.covar_samp("_dp", "_prev").over(pairs),
+                "_bps": F.avg("_bp").over(last),
+                "_ms": F.col("_us") - F.first("_us").over(last),
+                "_sm": F.avg("_sell").over(last),
+                "_ss": F.stddev_samp("_sell").over(last),
+                "_ad": F.avg(F.abs("_dp")).over(pairs),
+                "_mv": F.abs(F.col("price") - F.lag("price", 5).over(w)),
+            }
         )
         zero = F.lit(0.0)
         few = n < 2
@@ -187,8 +189,10 @@ def recent_microstructure(ticks: DataFrame, window: int = 100, s: Ordered = TICK
                 ),
             )
         )
-        return t.drop(*[x for x in t.columns if x in
-            ("_bid", "_ask", "_sell", "_net", "_dp", "_prev", "_us", "_vol", "_imb", "_delta", "_var", "_cov", "_bps", "_ms", "_sm", "_ss", "_ad", "_mv")])
+        return t.drop(
+            *("_bid", "_ask", "_sell", "_net", "_bp", "_dp", "_prev", "_us"),
+            *("_vol", "_imb", "_delta", "_var", "_cov", "_bps", "_ms", "_sm", "_ss", "_ad", "_mv"),
+        )
 
     return s.windowed(ticks, window, fn)
 

@@ -276,21 +276,20 @@ def rough_vol_features(
     i = F.col("_d")
     d = d.withColumn("_x", F.log(F.greatest(F.sqrt(F.greatest("rv", F.lit(0.0))) * math.sqrt(252), F.lit(1e-10))))
     d = d.withColumn("_x", F.col("_x") + 10.0)  # shift towards zero mean; covariances do not change
-    d = d.withColumn("_cum", F.sum("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = (
-        d.withColumn("_mean", F.avg("_x").over(past))
-        .withColumn("_var", F.var_pop("_x").over(past))
-        .withColumn("_all", F.sum("_x").over(past))
-        .withColumn("_rq", F.when(i >= q - 1, F.sum("log_return").over(w.rowsBetween(-(q - 1), 0))))
-        .withColumn("_v1", F.var_samp("log_return").over(past))
-        .withColumn("_vq", F.var_samp("_rq").over(past))
-    )
+    lagged = range(1, lags + 1)
+    first = {f"_p{k}": F.col("_x") * F.lag("_x", k).over(w) for k in lagged}
+    first["_cum"] = F.sum("_x").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first["_rq"] = F.when(i >= q - 1, F.sum("log_return").over(w.rowsBetween(-(q - 1), 0)))
+    d = d.withColumns(first)
+    second = {f"_p{k}": F.sum(f"_p{k}").over(past) for k in lagged}
+    second |= {f"_h{k}": F.sum(F.when(i < k, F.col("_x")).otherwise(0.0)).over(past) for k in lagged}  # x[0..k-1]
+    second |= {f"_a{k}": F.lag("_cum", k + 1).over(w) for k in lagged}
+    second |= {"_mean": F.avg("_x").over(past), "_var": F.var_pop("_x").over(past), "_all": F.sum("_x").over(past)}
+    second |= {"_v1": F.var_samp("log_return").over(past), "_vq": F.var_samp("_rq").over(past)}
+    d = d.withColumns(second)
+    m = F.col("_mean")
     logs = []
-    for lag in range(1, lags + 1):
-        d = d.withColumn(f"_p{lag}", F.sum(F.col("_x") * F.lag("_x", lag).over(w)).over(past))
-        head = F.sum(F.when(i < lag, F.col("_x")).otherwise(0.0)).over(past)  # x[0..lag-1]
-        d = d.withColumn(f"_a{lag}", F.lag("_cum", lag + 1).over(w)).withColumn(f"_h{lag}", head)
-        m = F.col("_mean")
+    for lag in lagged:
         c = (F.col(f"_p{lag}") - m * (F.col(f"_a{lag}") + F.col("_all") - F.col(f"_h{lag}"))) / (i - lag) + m * m
         logs.append(_log_corr(F.when(i >= warm_up, c), F.col("_var")))
     ready = i >= warm_up
@@ -305,11 +304,9 @@ def rough_vol_features(
     )
     near = w.rowsBetween(-(std_window - 1), 0)
     sd = lambda c: F.coalesce(F.stddev_samp(c).over(near), F.lit(0.0))
+    d = d.withColumns({"_es": sd("_edge"), "_em": F.avg("_edge").over(near), "_vs": sd("variance_ratio")})
     d = (
-        d.withColumn("_es", sd("_edge"))
-        .withColumn("_em", F.avg("_edge").over(near))
-        .withColumn("_vs", sd("variance_ratio"))
-        .withColumn("rough_scalping_score", safe_tanh(F.col("_edge") - F.col("_em"), F.lit(k) * F.col("_es")))
+        d.withColumn("rough_scalping_score", safe_tanh(F.col("_edge") - F.col("_em"), F.lit(k) * F.col("_es")))
         .withColumn("vr_signal", safe_tanh(F.col("variance_ratio") - 1, F.lit(k) * F.col("_vs")))
     )
     return d.select(
@@ -323,13 +320,14 @@ def _har_columns(d: DataFrame) -> DataFrame:
     w = by_time()
     i = F.col("_d")
     use = i >= 22
-    d = (
-        d.withColumn("_y", F.when(use, F.col("rv")))
-        .withColumn("_x1", F.when(use, F.lag("rv").over(w)))
-        .withColumn("_x2", F.when(use, F.avg("rv").over(w.rowsBetween(-6, -2))))
-        .withColumn("_x3", F.when(use, F.avg("rv").over(w.rowsBetween(-23, -2))))
+    return d.withColumns(
+        {
+            "_y": F.when(use, F.col("rv")),
+            "_x1": F.when(use, F.lag("rv").over(w)),
+            "_x2": F.when(use, F.avg("rv").over(w.rowsBetween(-6, -2))),
+            "_x3": F.when(use, F.avg("rv").over(w.rowsBetween(-23, -2))),
+        }
     )
-    return d
 
 
 _HAR = ("_x1", "_x2", "_x3", "_y")
@@ -373,13 +371,14 @@ def har_features(
     d = _har_columns(d)
     w = by_time()
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    for n, e in _har_moments(past).items():
-        d = d.withColumn(n, e)
-    d = (
-        d.withColumn("_f1", F.lag("rv").over(w))
-        .withColumn("_f2", F.avg("rv").over(w.rowsBetween(-5, -1)))
-        .withColumn("_f3", F.avg("rv").over(w.rowsBetween(-22, -1)))
-        .withColumn("_mean", F.avg("rv").over(past))
+    d = d.withColumns(
+        {
+            **_har_moments(past),
+            "_f1": F.lag("rv").over(w),
+            "_f2": F.avg("rv").over(w.rowsBetween(-5, -1)),
+            "_f3": F.avg("rv").over(w.rowsBetween(-22, -1)),
+            "_mean": F.avg("rv").over(past),
+        }
     )
     b1, b2, b3, det = _har_solve()
     d = d.withColumn("_b1", b1).withColumn("_b2", b2).withColumn("_b3", b3)
