@@ -312,8 +312,7 @@ def stationary_bootstrap(returns: DataFrame, keys: Sequence[str] = ("strategy_id
     w = Window.partitionBy(*keys).orderBy("pos")
     src = returns.select(*keys, (F.row_number().over(w) - 1).alias("_src"), F.col(value).alias("_v"))
     n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    boots = src.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("boot"))
-    grid = src.join(n, keys).drop("_v").crossJoin(F.broadcast(boots))  # n_boot rows, a parameter
+    grid = src.join(n, keys).drop("_v").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     p = 1 / F.greatest(F.lit(1.0), F.round(F.pow(F.col("_n").cast("double"), 1 / 3)))
     id_ = [F.lit(seed), *[F.col(k) for k in keys], F.col("boot"), F.col("_src")]
     start = (F.col("_src") == 0) | (_uniform(*id_, F.lit("r")) < p)
@@ -344,8 +343,7 @@ def simulated_risk(returns: DataFrame, keys: Sequence[str] = ("strategy_id",), n
     w = Window.partitionBy(*keys).orderBy("pos")
     src = returns.select(*keys, (F.row_number().over(w) - 1).alias("_src"), F.col(value).alias("_v"))
     n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    paths = src.sparkSession.range(n_paths).select(F.col("id").cast("int").alias("path"))
-    grid = src.join(n, keys).crossJoin(F.broadcast(paths))  # n_paths rows, a parameter
+    grid = src.join(n, keys).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
     draw = F.floor(_uniform(F.lit(seed), *[F.col(k) for k in keys], F.col("path"), F.col("_src")) * F.col("_n"))
     picks = grid.select(*keys, "path", draw.alias("_src")).groupBy(*keys, "path", "_src").agg(F.count(F.lit(1)).alias("_c"))
     j = picks.join(src, [*keys, "_src"])

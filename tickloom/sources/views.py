@@ -1,7 +1,7 @@
 """Canonical market-data inputs derived from the provided tables (see FIXTURES.md).
 
 Each view exists twice: as a DataFrame function and, in ``VIEW_SQL``, as the same projection in plain
-SQL, which the reference queries in the catalog use as common table expressions.
+SQL, which the SQL twins in the catalog use as common table expressions.
 """
 
 from __future__ import annotations

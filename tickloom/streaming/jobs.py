@@ -1,6 +1,6 @@
 """Streams: every function takes and returns a streaming DataFrame.
 
-The reference trusts arrival order; here every stateful job has a watermark (ten minutes by default) or
+Arrival order is not trusted: every stateful job has a watermark (ten minutes by default) or
 keeps per-key state that orders the rows of a micro-batch by time. Trigger sizes
 (``maxFilesPerTrigger``) bound what one task sees of a busy key at once."""
 
