@@ -58,12 +58,14 @@ def flag_bars(bars: DataFrame, assets: DataFrame, bar_size: str, as_of: Column,
     b = bars.join(assets.select("symbol", "asset_class", "listing_date"), "symbol", "left")
     w = Window.partitionBy("symbol").orderBy("timestamp")
     past, spike = w.rowsBetween(-OUTLIER_WINDOW, -1), w.rowsBetween(-SPIKE_LOOKBACK, -1)
-    b = (
-        b.withColumn("_prev", F.lag("timestamp").over(w))
-        .withColumn("_m", F.avg("close").over(past))
-        .withColumn("_sd", F.stddev_pop("close").over(past))
-        .withColumn("_n", F.count("close").over(past))
-        .withColumn("_v", F.avg("volume").over(spike))
+    b = b.withColumns(
+        {
+            "_prev": F.lag("timestamp").over(w),
+            "_m": F.avg("close").over(past),
+            "_sd": F.stddev_pop("close").over(past),
+            "_n": F.count("close").over(past),
+            "_v": F.avg("volume").over(spike),
+        }
     )
     t = F.col("timestamp")
     step = (F.unix_micros(t) - F.unix_micros("_prev")) / 1e6
@@ -93,9 +95,7 @@ def flag_ticks(ticks: DataFrame, assets: DataFrame, as_of: Column, allow_negativ
 
     def fn(t: DataFrame) -> DataFrame:
         w = s.past(OUTLIER_WINDOW)
-        return (
-            t.withColumn("_m", F.avg("price").over(w)).withColumn("_sd", F.stddev_pop("price").over(w)).withColumn("_n", F.count("price").over(w))
-        )
+        return t.withColumns({"_m": F.avg("price").over(w), "_sd": F.stddev_pop("price").over(w), "_n": F.count("price").over(w)})
 
     t = s.windowed(ticks, OUTLIER_WINDOW, fn).join(assets.select("symbol", "asset_class", "listing_date"), "symbol", "left")
     nonpos = (F.col("price") <= 0) & (F.coalesce(F.col("asset_class"), F.lit("")) != "future") & F.lit(not allow_negative)
