@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from . import common
 
 BASE, MU, HASHES, MAX_MB, WORDS_MB = 1.5, 8.0, 5, 64, 64
-#: Text bytes worked on at once, token rows held by a task before they are thinned out and sent, and the share of all tokens
-#: from which a word is frequent: at most 1 / SHARE words can be, so their exact counts may be broadcast.
-CHUNK, HELD, SHARE = 1 << 20, 1 << 22, 1e-5
+#: Text bytes worked on at once, token rows held by a task before they are thinned out and sent, text bytes of a part at
+#: most, and the share of all tokens from which a word is frequent: at most about 1 / SHARE words can be, so their exact
+#: counts may be broadcast.
+CHUNK, HELD, PART, SHARE = 1 << 20, 1 << 22, 1 << 26, 1e-5
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -380,16 +381,16 @@ def score(docs: DataFrame) -> DataFrame:
     row. An empty table gives no rows. Exact counts of the at most 1 / SHARE frequent words are broadcast for the base
     score; rare words travel to their counts, a document and word once for each batch."""
     spark = docs.sparkSession
-    parts = common.n_parts(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(id_text).alias("row_id"), F.xxhash64(text).alias("h"), (F.crc32(id_text) % 10 == 0).alias("held_out"))
+    n_docs, size = rows.agg(F.count_if(~F.col("held_out")), F.sum(F.octet_length("text"))).first()
+    parts = max(common.n_parts(spark), -(-(size or 0) // PART))  # so no segment nears the bound of the filter
     counts = count_table(rows.select("text", "held_out"), parts)
     sizes = _sizes(counts).collect()  # two rows for each part
     n_train, n_types = (sum(r[x] for r in sizes if r.words) for x in ("tokens", "types"))
     spread = lambda words, bound: min(bound, max([64, *(int(r.entries * HASHES / np.log(2)) + 1 for r in sizes if r.words == words)]))
     limit = int(MAX_MB * (1 << 23))
-    n_docs = rows.where("not held_out").count()
     single = _filter(_count_begin(counts, parts, n_docs), True, spread(True, (WORDS_MB << 23) // parts), list(range(parts)))
     size = spread(False, limit)
     per_pass = max(1, limit // size)
