@@ -9,7 +9,6 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from tickloom.functions.special import normal_cdf, t_two_sided
-from tickloom.operators import learning as M
 from tickloom.operators import performance as P
 from tickloom.operators import quality as Q
 from tickloom.operators import research as R
@@ -39,15 +38,6 @@ def test_window_ic():
         assert g == pytest.approx(a.corr(b), abs=1e-12)
 
 
-def test_change_points_and_regimes():
-    x = np.concatenate([np.zeros(20), np.full(20, 10.0), np.full(15, -5.0)])
-    assert M._breaks(x, 5.0, 5) == [20, 40]
-    rng = np.random.default_rng(3)
-    obs = np.concatenate([rng.normal(0, 0.1, 60), rng.normal(5, 0.1, 60)])
-    _, _, _, _, path = M._hmm(obs, 2, 50, 1e-6, 42)
-    assert len(set(path[:60])) == 1 and len(set(path[60:])) == 1 and path[0] != path[-1]
-
-
 def test_combination_of_collinear_columns(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=300)

@@ -227,11 +227,11 @@ def release_calendar(spark, d):
 
 # Meeting pages composed from order dates: one page per customer and year, one row per order.
 def _pages(spark, d, kind):
-    o = V.table(spark, d, "orders").filter("day(o_orderdate) BETWEEN 2 AND 20")
+    o = V.table(spark, d, "orders")
     t = c("o_orderdate")
     mon, day, yr = F.date_format(t, "MMMM"), F.dayofmonth(t), F.year(t)
     if kind == "panel":
-        text = F.concat(F.lit('<div class="fomc-meeting"><b>'), mon, F.lit("</b> "), (day - 1).cast("string"), F.lit("-"), day.cast("string"), F.when(c("o_orderkey") % 2 == 0, "*").otherwise(""), F.lit(" (Released "), mon, F.lit(" "), (day + 5).cast("string"), F.lit(", "), yr.cast("string"), F.lit(")"), F.when(c("o_orderkey") % 5 == 0, " Unscheduled").otherwise(""), F.lit("</div>"))
+        text = F.concat(F.lit('<div class="fomc-meeting"><b>'), mon, F.lit("</b> "), (day - 1).cast("string"), F.lit("-"), day.cast("string"), F.when(c("o_orderkey") % 2 == 0, "*").otherwise(""), F.date_format(F.date_add(t, 5), "' (Released 'MMMM d, yyyy')'"), F.when(c("o_orderkey") % 5 == 0, " Unscheduled").otherwise(""), F.lit("</div>"))
         head, foot = F.concat(F.lit('<div class="panel panel-default"><div class="panel-heading"><h4>'), c("yr").cast("string"), F.lit("</h4></div>")), F.lit("</div>")
     elif kind == "council":
         text = F.concat(F.lit("<tr><td>"), F.when(c("o_orderkey") % 3 == 0, "Governing Council (non-monetary)").otherwise("Monetary policy meeting"), F.lit("</td><td>"), day.cast("string"), F.lit(" "), mon, F.lit(" "), yr.cast("string"), F.lit("</td></tr>"))
@@ -243,7 +243,7 @@ def _pages(spark, d, kind):
     return g.select((c("o_custkey") * 10000 + c("yr")).alias("page_id"), F.concat(head, F.concat_ws("", "a.x"), foot).alias("html"))
 
 
-_OD = "o AS (SELECT *, o_custkey * 10000 + year(o_orderdate) AS page_id, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders WHERE day(o_orderdate) BETWEEN 2 AND 20)"
+_OD = "o AS (SELECT *, o_custkey * 10000 + year(o_orderdate) AS page_id, CAST(o_orderdate AS TIMESTAMP) AS t FROM orders)"
 
 
 @query(
@@ -264,7 +264,7 @@ def meeting_council(spark, d):
     return rounded(C.council_meetings(_pages(spark, d, "council")))
 
 
-@query("meeting_board", f"WITH {_OD} SELECT DISTINCT page_id, 'boj_meeting' AS event_type, t + INTERVAL 10 YEAR + INTERVAL 3 HOUR AS scheduled_time, 3 AS impact_score FROM o")
+@query("meeting_board", f"WITH {_OD} SELECT DISTINCT page_id, 'boj_meeting' AS event_type, t + INTERVAL 10 YEAR + INTERVAL 3 HOUR AS scheduled_time, 3 AS impact_score FROM o WHERE NOT (month(t) = 2 AND day(t) = 29)")
 def meeting_board(spark, d):
     return rounded(C.board_meetings(_pages(spark, d, "board")))
 

@@ -8,7 +8,6 @@ from ..operators import orderflow as O
 from ..operators import research as R
 from ..operators import scoring as S
 from ..operators import technical as X
-from ..operators import volatility as VOL
 from ..plans.ordered import Ordered
 from ..session import cut_lineage
 from ..sources import views as V
@@ -89,16 +88,3 @@ def nested_tuning(spark, d):
 )
 def event_annualization(spark, d):
     return rounded(M.annualization(_labels(spark, d)))
-
-
-@query("hidden_regimes")
-def hidden_regimes(spark, d):
-    x = VOL.with_returns(V.bars_1d(spark, d)).filter("log_return IS NOT NULL")
-    h = M.hidden_regimes(x, n_iter=20)
-    return rounded(h.groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("n_days"), F.first("state_mean").alias("state_mean"), F.first("state_std").alias("state_std")), 5)
-
-
-@query("change_points")
-def change_points(spark, d):
-    x = V.bars_1d(spark, d).select("symbol", "timestamp", F.log("close").alias("log_price"))
-    return rounded(M.change_points(x, "log_price", penalty=2.0))

@@ -189,7 +189,7 @@ def vol_adjusted_kelly(kelly: Column, forecast_vol: Column, target: float = 0.15
 
 
 # Weights of the rule-based trade filter.
-META_WEIGHTS = {"strength": 0.25, "confluence": 0.20, "hurst": 0.15, "vpin": 0.20, "vol": 0.10, "spread": 0.05, "regime": 0.05}
+META_WEIGHTS = {"signal_strength": 0.25, "confluence": 0.20, "hurst": 0.15, "vpin": 0.20, "vol_regime": 0.10, "spread": 0.05, "regime": 0.05}
 
 
 def meta_score(df: DataFrame, threshold: float = 0.15) -> DataFrame:
@@ -200,11 +200,11 @@ def meta_score(df: DataFrame, threshold: float = 0.15) -> DataFrame:
     v, sp, n = c("forecast_vol"), c("spread_bps"), c("n_triggers")
     veto = pick([(c("vpin") >= 0.90, "vpin_extreme"), (c("macro_mult") <= 0, "crisis_regime"), (sp > 50, "spread_too_wide")], F.lit(None).cast("string"))
     terms = {
-        "strength": c("signal_strength") * 2.0 - 0.5,
+        "signal_strength": c("signal_strength") * 2.0 - 0.5,
         "confluence": pick([(n >= 4, 1.0), (n == 3, 0.8), (n == 2, 0.5)], -0.5),
         "hurst": clamp(1 - c("hurst") / 0.5 * 2.0, -1.0, 1.0),
         "vpin": 1 - c("vpin") * 2.0,
-        "vol": pick([((v >= 0.10) & (v <= 0.30), 1.0), ((v >= 0.05) & (v <= 0.50), 0.0)], -1.0),
+        "vol_regime": pick([((v >= 0.10) & (v <= 0.30), 1.0), ((v >= 0.05) & (v <= 0.50), 0.0)], -1.0),
         "spread": F.when(sp <= 5, 1.0).otherwise(F.greatest(F.lit(-1.0), 1 - (sp - 5.0) / 15.0)),
         "regime": F.least(F.lit(1.0), c("session_mult") / 1.5 * c("macro_mult")) * 2.0 - 1.0,
     }

@@ -1,7 +1,7 @@
 """Meeting calendars from pages of HTML, in bulk over a table of pages.
 
-Patterns are parameters: pages are cut into elements with regular expressions, each element becomes a
-row, and dates are built from what the patterns capture."""
+Pages are cut into elements, each a row of text. A text is a list of tokens (words, numbers, marks); where one is the name
+of a month, the tokens around it are read by position as a day, a range of days and a year."""
 
 from __future__ import annotations
 
@@ -38,6 +38,37 @@ def _digits(x: Column) -> Column:
     return F.nullif(x, F.lit("")).try_cast("int")
 
 
+def tokens(text: Column) -> Column:
+    """Words in lower case, numbers, and every other mark by itself."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+|[0-9]+|[^a-z0-9 ]"), F.lit(0))
+
+
+def _day(token: Column) -> Column:
+    return F.when(F.length(token) <= 2, F.try_to_number(token, F.lit("99")).cast("int"))
+
+
+def _year(token: Column) -> Column:
+    return F.when(F.length(token) == 4, F.try_to_number(token, F.lit("9999")).cast("int"))
+
+
+def dates(tokens: str, between: Sequence[str]) -> Column:
+    """What the tokens around each month say, in order: ``month`` and ``day`` (the last of a range whose ends one of the marks
+    ``between`` parts), ``year`` behind it or null, and ``lead``, the day in front of the month."""
+    t = lambda i: F.get(F.col(tokens), i)
+
+    def read(word: Column, i: Column) -> Column:
+        day = i + F.when(t(i + 1) == ".", 2).otherwise(1)
+        ranged = t(day + 1).isin(*between)
+        far = F.when(ranged & month_number(t(day + 2)).isNotNull() & _day(t(day + 3)).isNotNull(), 2).when(ranged & _day(t(day + 2)).isNotNull(), 1).otherwise(0)
+        last = day + F.when(far == 2, 3).when(far == 1, 2).otherwise(0)
+        year = F.coalesce(_year(t(last + 1)), F.when(t(last + 1) == ",", _year(t(last + 2))))
+        month = F.when(far == 2, month_number(t(day + 2))).otherwise(month_number(word))
+        taken = F.when(t(i - 2).isin(*between) & _day(t(i - 3)).isNotNull() & month_number(t(i - 4)).isNotNull(), True).otherwise(False)  # end of a range
+        return F.struct(month.alias("month"), _day(t(last)).alias("day"), year.alias("year"), F.when(i > 0, _day(t(i - 1))).alias("lead"), _year(t(i + 1)).alias("next"), (month_number(word).isNotNull() & ~taken).alias("found"))
+
+    return F.filter(F.transform(F.col(tokens), read), lambda x: x["found"])
+
+
 def elements(pages: DataFrame, tags: Sequence[str], html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """(keys, n, tag, text) for each element with one of the tags, in page order."""
     rx = r"(?is)<(" + "|".join(tags) + r")\b[^>]*>(.*?)</\1\s*>"
@@ -54,29 +85,29 @@ def _clip(events: DataFrame, start: str | None, end: str | None) -> DataFrame:
     return e.filter(F.col("scheduled_time") < F.lit(end).cast("timestamp")) if end else e
 
 
-def panel_meetings(pages: DataFrame, start: str | None = None, end: str | None = None, html: str = "html", keys: Sequence[str] = ("page_id",), panel: str = r'<div class="panel\b', row: str = r'(?is)<div[^>]*class="fomc-meeting"[^>]*>(.*?)</div>', prefix: str = "fomc", dash: str = "[-–]") -> DataFrame:
-    """Year panels with meeting rows: statement on the last day, '*' adds a press conference, a later full
-    date is the minutes release; unscheduled and notation rows are skipped."""
-    parts = F.split(F.regexp_replace(F.col(html), f"(?is){panel}(?!-)", "\u0001$0"), "\u0001")
-    p = pages.select(*keys, F.posexplode(parts).alias("_p", "part"))
-    p = p.withColumn("year", _digits(F.regexp_extract(plain_text(F.regexp_extract("part", r"(?is)(?:class=\"panel-heading\"[^>]*>|<h[345][^>]*>)(.*?)</(?:div|h[345])>", 1)), r"(\d{4})", 1)))
-    r = p.filter(F.col("year").isNotNull()).select(*keys, "year", F.explode(F.regexp_extract_all("part", F.lit(row), F.lit(1))).alias("raw"))
-    r = r.withColumn("text", plain_text(F.col("raw"))).filter(~F.lower("text").rlike("unscheduled|notation"))
-    cross = rf"([A-Za-z]+)\s+(\d{{1,2}})\s*{dash}\s*([A-Za-z]+)\s+(\d{{1,2}})"
-    same = rf"([A-Za-z]+)\s+(\d{{1,2}})(?:\s*{dash}\s*(\d{{1,2}}))?\s*\*?"
-    full = r"([A-Za-z]+)\s+(\d{1,2}),?\s*(\d{4})"
-    is_cross = F.col("text").rlike(cross)
-    grp = lambda rx, g: F.regexp_extract("text", rx, g)
-    month = month_number(F.when(is_cross, grp(cross, 3)).otherwise(grp(same, 1)))
-    day = F.when(is_cross, _digits(grp(cross, 4))).otherwise(F.coalesce(_digits(grp(same, 3)), _digits(grp(same, 2))))
-    whole = F.when(is_cross, grp(cross, 0)).otherwise(grp(same, 0))
-    rest = F.expr("substring(text, locate(_whole, text) + length(_whole))")
-    r = r.withColumn("_m", month).withColumn("_d", day).withColumn("_whole", whole).withColumn("_rest", rest)
-    mm = month_number(F.regexp_extract("_rest", full, 1))
+_BETWEEN = ("-", "\u2013")
+
+
+def panel_meetings(pages: DataFrame, start: str | None = None, end: str | None = None, html: str = "html", keys: Sequence[str] = ("page_id",), panel: str = "panel", row: str = "fomc-meeting", prefix: str = "fomc") -> DataFrame:
+    """Divisions of class ``panel`` with a year in their heading and rows of class ``row``: statement on the last day, '*' adds
+    a press conference, a later full date is the minutes release; unscheduled and notation rows are skipped."""
+    opened = lambda name: rf'(?i)<div[^>]*class="{name}[ "]'
+    p = pages.select(*keys, F.posexplode(F.split(F.col(html), opened(panel))).alias("_p", "part"))
+    cells = F.split("part", opened(row))
+    p = p.select(*keys, tokens(plain_text(F.concat(F.lit("<"), F.get(cells, F.lit(0))))).alias("_head"), F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))).alias("_rows"))
+    years = F.filter("_head", lambda x: _year(x).isNotNull())
+    p = p.select(*keys, F.get(years, F.lit(0)).cast("int").alias("year"), F.explode("_rows").alias("raw")).where("year is not null")
+    text = plain_text(F.concat(F.lit("<"), F.substring_index("raw", "</div>", 1)))
+    r = p.select(*keys, "year", F.lower(text).alias("text")).where(~F.contains("text", F.lit("unscheduled")) & ~F.contains("text", F.lit("notation")))
+    r = r.withColumn("_t", tokens(F.col("text"))).withColumn("_d", dates("_t", _BETWEEN))
+    first = F.get("_d", F.lit(0))
+    later = F.get(F.filter(F.slice("_d", 2, F.greatest(F.size("_d") - 1, F.lit(0))), lambda x: x["year"].isNotNull()), F.lit(0))
+    held = lambda clock: moment(F.col("year"), first["month"], first["day"], clock)
+    event = lambda name, time: F.struct(F.lit(f"{prefix}_{name}").alias("event_type"), time.alias("scheduled_time"))
     ev = F.array(
-        F.struct(F.lit(f"{prefix}_statement").alias("event_type"), moment(F.col("year"), F.col("_m"), F.col("_d"), STATEMENT).alias("scheduled_time")),
-        F.struct(F.lit(f"{prefix}_press_conference").alias("event_type"), F.when(F.contains("text", F.lit("*")), moment(F.col("year"), F.col("_m"), F.col("_d"), PRESS)).alias("scheduled_time")),
-        F.struct(F.lit(f"{prefix}_minutes").alias("event_type"), F.when(F.col("_m").isNotNull(), moment(_digits(F.regexp_extract("_rest", full, 3)), mm, _digits(F.regexp_extract("_rest", full, 2)), MINUTES)).alias("scheduled_time")),
+        event("statement", held(STATEMENT)),
+        event("press_conference", F.when(F.array_contains("_t", F.lit("*")), held(PRESS))),
+        event("minutes", moment(later["year"], later["month"], later["day"], MINUTES)),
     )
     return _clip(r.select(*keys, F.explode(ev).alias("e")).select(*keys, "e.*", F.lit(3).alias("impact_score")), start, end)
 
@@ -84,14 +115,12 @@ def panel_meetings(pages: DataFrame, start: str | None = None, end: str | None =
 def council_meetings(pages: DataFrame, start: str | None = None, end: str | None = None, html: str = "html", keys: Sequence[str] = ("page_id",), tags: Sequence[str] = ("tr",), prefix: str = "ecb") -> DataFrame:
     """'D Month YYYY' anywhere in a row; monetary rows give a decision and a press conference, others a
     council meeting. The first row of a time wins."""
-    e = elements(pages, tags, html, keys)
-    rx = r"(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
-    e = e.select(*keys, "n", "text", F.posexplode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("k", "d"))
-    g = lambda i: F.regexp_extract("d", rx, i)
-    t = moment(_digits(g(3)), month_number(g(2)), _digits(g(1)), COUNCIL_DECISION)
-    low = F.lower("text")
-    money = F.contains(low, F.lit("monetary")) & ~low.rlike("non[- ]monetary")
-    e = e.select(*keys, "n", "k", t.alias("t"), money.alias("money")).filter(F.col("t").isNotNull())
+    e = elements(pages, tags, html, keys).withColumn("_t", tokens(F.col("text")))
+    words = lambda *x: F.exists(F.sequence(F.lit(0), F.size("_t")), lambda i: F.array(*[F.get("_t", i + k) for k in range(len(x))]) == F.array(*map(F.lit, x)))
+    negated = words("non", "-", "monetary") | words("non", "monetary")
+    money = F.contains(F.lower("text"), F.lit("monetary")) & ~negated
+    e = e.select(*keys, "n", money.alias("money"), F.posexplode(dates("_t", ())).alias("k", "d"))
+    e = e.withColumn("t", moment(F.col("d.next"), F.col("d.month"), F.col("d.lead"), COUNCIL_DECISION)).where("t is not null")
     e = e.groupBy(*keys, "t").agg(F.min_by("money", F.struct("n", "k")).alias("money"))
     gap = (COUNCIL_PRESS[0] * 60 + COUNCIL_PRESS[1] - COUNCIL_DECISION[0] * 60 - COUNCIL_DECISION[1]) * 60_000_000
     later = F.timestamp_micros(F.unix_micros("t") + gap)
@@ -100,18 +129,18 @@ def council_meetings(pages: DataFrame, start: str | None = None, end: str | None
     return _clip(e.select(*keys, F.explode(ev).alias("e")).select(*keys, "e.*"), start, end)
 
 
-def board_meetings(pages: DataFrame, start: str | None = None, end: str | None = None, html: str = "html", keys: Sequence[str] = ("page_id",), tags: Sequence[str] = ("h2", "h3", "h4", "h5", "caption", "tr", "li", "p"), prefix: str = "boj") -> DataFrame:
+HEADINGS = ("h2", "h3", "h4", "h5", "caption")
+
+
+def board_meetings(pages: DataFrame, start: str | None = None, end: str | None = None, html: str = "html", keys: Sequence[str] = ("page_id",), tags: Sequence[str] = (*HEADINGS, "tr", "li", "p"), prefix: str = "boj") -> DataFrame:
     """Dates without year below headings that carry one: the last year seen applies, ranges end on the last day."""
-    e = elements(pages, tags, html, keys)
-    y = _digits(F.regexp_extract("text", r"\b(20\d{2})\b", 1))
+    e = elements(pages, tags, html, keys).withColumn("_t", tokens(F.col("text")))
+    years = F.filter("_t", lambda x: _year(x).between(2000, 2099))
     # A page is one document; its elements are ordered within the page only.
     w = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("_y", y).withColumn("year", F.last("_y", ignorenulls=True).over(w))
-    heading = F.col("tag").isin("h2", "h3", "h4", "h5", "caption") & F.col("_y").isNotNull()
-    e = e.filter(~heading & F.col("year").isNotNull())
-    rx = "([A-Za-z]+)\\.?\\s+(\\d{1,2})(?:\\s*[,\\-–]\\s*(\\d{1,2}))?"
-    e = e.select(*keys, "year", F.explode(F.regexp_extract_all("text", F.lit(rx), F.lit(0))).alias("d"))
-    g = lambda i: F.regexp_extract("d", rx, i)
-    t = moment(F.col("year"), month_number(g(1)), F.coalesce(_digits(g(3)), _digits(g(2))), BOARD_ANNOUNCEMENT)
+    e = e.withColumn("_y", F.get(years, F.lit(0)).cast("int")).withColumn("year", F.last("_y", ignorenulls=True).over(w))
+    e = e.where(~(F.col("tag").isin(*HEADINGS) & F.col("_y").isNotNull()) & F.col("year").isNotNull())
+    e = e.select(*keys, "year", F.explode(dates("_t", (*_BETWEEN, ","))).alias("d"))
+    t = moment(F.col("year"), F.col("d.month"), F.col("d.day"), BOARD_ANNOUNCEMENT)
     out = e.select(*keys, F.lit(f"{prefix}_meeting").alias("event_type"), t.alias("scheduled_time"), F.lit(3).alias("impact_score"))
     return _clip(out.distinct(), start, end)
