@@ -2,21 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import risk as K
 from ..sources import views as V
 from ..streaming import jobs as J
-from . import query, r, rounded, rs
+from . import SQL, query, r, rounded
 from .orderflow import _BOOK, _OFI_OUT, _ofi_sql
 
 _T = V.with_views("ticks")
 c = F.col
 
 
-def _stream(spark, d):
+def _stream(spark, d, replay=None, files_per_trigger=64):
     """The tick view over the event table read as a stream."""
     J.use_rocksdb(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    e = J.read_table_stream(spark, d, "events")
+    e = J.read_table_stream(spark, d, "events", files_per_trigger)
+    e = replay.open(e, "ts") if replay else e
     qty = F.get_json_object("props", "$.k").cast("long") + 1
     p = c("value")
     return e.select(
@@ -39,37 +39,59 @@ def stream_normalized_ticks(spark, d):
 
 @query(
     "stream_bars",
-    _T + f""", w AS (SELECT max(timestamp) - INTERVAL 10 MINUTE AS wm FROM ticks), s(bar_seconds) AS (VALUES (3600), (14400)),
+    _T + f""", s(bar_seconds) AS (VALUES (3600), (14400)),
     b AS (SELECT symbol, bar_seconds, to_timestamp((epoch_us(timestamp) // 1000000) // bar_seconds * bar_seconds)::TIMESTAMP AS timestamp, first(price ORDER BY timestamp, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY timestamp, seq) AS close, sum(quantity) AS volume, sum(price * quantity) / sum(quantity) AS vwap, count(*) AS trade_count
       FROM (SELECT t.*, s.bar_seconds FROM ticks t CROSS JOIN s) x GROUP BY symbol, bar_seconds, 3)
-    SELECT symbol, bar_seconds, timestamp, open, high, low, close, volume, {r('vwap')}, trade_count FROM b, w WHERE timestamp + to_seconds(bar_seconds) <= wm""",
+    SELECT symbol, bar_seconds, timestamp, open, high, low, close, volume, {r('vwap')}, trade_count FROM b""",
 )
 def stream_bars(spark, d):
-    x = J.drain(J.tumbling_bars(_stream(spark, d), (3600, 14400)))
+    play = J.Replay(spark)
+    x = play.drain(J.tumbling_bars(_stream(spark, d, play), (3600, 14400)))
     return rounded(rounded(x.withColumn("vwap", F.round(c("vwap") + 1.7e-10, 6))), None)
 
 
-@query("stream_microstructure", None)
+@query("stream_microstructure", SQL["recent_microstructure"])
 def stream_microstructure(spark, d):
-    return rounded(J.drain(J.microstructure_stream(_stream(spark, d))).drop("timestamp"), 5)
+    play = J.Replay(spark)
+    return rounded(play.drain(J.microstructure_stream(_stream(spark, d, play))).drop("timestamp"))
 
 
 @query("stream_order_flow", _T + _ofi_sql(_BOOK) + f" SELECT symbol, seq, {r('ofi_signal')} FROM ofi")
 def stream_order_flow(spark, d):
-    return rounded(J.drain(J.feature_stream(_stream(spark, d))).select("symbol", "seq", F.nanvl("ofi_signal", F.lit(None).cast("double")).alias("ofi_signal")))
+    play = J.Replay(spark)
+    return rounded(play.drain(J.feature_stream(_stream(spark, d, play))).select("symbol", "seq", F.nanvl("ofi_signal", F.lit(None).cast("double")).alias("ofi_signal")))
 
 
-@query("stream_vpin")
+@query(
+    "stream_vpin",
+    _T.replace("WITH ", "WITH RECURSIVE ", 1) + f""", n AS (SELECT symbol, timestamp, quantity AS q, CASE WHEN side = 'BUY' THEN 1.0e0 ELSE 0.0e0 END AS share, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS i FROM ticks),
+    c AS (SELECT symbol, 0::BIGINT AS i, 0.0e0 AS buy, 0.0e0 AS sell, NULL::TIMESTAMP AS timestamp, false AS closed, 0.0e0 AS b, 0.0e0 AS s FROM (SELECT DISTINCT symbol FROM ticks)
+      UNION ALL SELECT symbol, i, CASE WHEN fills THEN tb * (tb + ts - 500) / (tb + ts) ELSE tb END, CASE WHEN fills THEN ts * (tb + ts - 500) / (tb + ts) ELSE ts END, timestamp, fills, tb * 500 / (tb + ts), ts * 500 / (tb + ts)
+        FROM (SELECT n.symbol, n.i, n.timestamp, c.buy + q * share AS tb, c.sell + q * (1 - share) AS ts, c.buy + c.sell + q >= 500 AS fills FROM c JOIN n ON n.symbol = c.symbol AND n.i = c.i + 1)),
+    k AS (SELECT symbol, timestamp, b, s, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS bucket FROM c WHERE closed)
+    SELECT symbol, bucket, timestamp, {r('b', 4, 'buy_volume')}, {r('s', 4, 'sell_volume')}, {r('sum(abs(b - s)) OVER w / sum(b + s) OVER w', 4, 'vpin')}, {r('sum(b) OVER w / sum(b + s) OVER w', 4, 'buy_volume_pct')} FROM k WINDOW w AS (PARTITION BY symbol ORDER BY bucket ROWS 49 PRECEDING)""",
+)
 def stream_vpin(spark, d):
-    return rounded(J.drain(J.vpin_stream(_stream(spark, d), 500.0)), 5)
+    play = J.Replay(spark)
+    return rounded(play.drain(J.vpin_stream(_stream(spark, d, play), 500.0)), 4)
 
 
-@query("stream_breaker")
+@query(
+    "stream_breaker",
+    _T.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT symbol AS account, seq, timestamp, epoch_us(timestamp) AS us, CASE WHEN seq % 97 = 0 THEN 'daily_drawdown' WHEN seq % 89 = 0 THEN 'vix_spike' END AS trig, CASE WHEN seq % 5 = 0 THEN seq % 41 - 20 END AS pnl, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, seq) AS i FROM ticks),
+    x AS (SELECT account, 0::BIGINT AS i, 0::BIGINT AS seq, NULL::TIMESTAMP AS timestamp, 'CLOSED' AS status, 0::BIGINT AS tripped, NULL::VARCHAR AS reason, true AS allowed, 0::BIGINT AS losses FROM (SELECT DISTINCT account FROM e)
+      UNION ALL SELECT account, i, seq, timestamp, CASE WHEN shut THEN 'OPEN' WHEN half AND pnl >= 0 THEN 'CLOSED' WHEN half AND pnl < 0 THEN 'OPEN' WHEN half THEN 'HALF_OPEN' ELSE was END,
+        CASE WHEN shut OR (half AND pnl < 0) THEN us WHEN half AND pnl >= 0 THEN 0 ELSE tripped END, CASE WHEN shut THEN trig WHEN half AND pnl >= 0 THEN NULL ELSE reason END, NOT shut AND (half OR was <> 'OPEN'),
+        CASE WHEN shut OR (half AND pnl < 0) THEN losses + 1 WHEN half AND pnl >= 0 THEN 0 ELSE losses END
+      FROM (SELECT e.account, e.i, e.seq, e.timestamp, e.us, e.trig, e.pnl, x.status AS was, x.tripped, x.reason, x.losses, x.status = 'HALF_OPEN' OR (x.status = 'OPEN' AND e.us - x.tripped >= 1800000000) AS half, x.status = 'CLOSED' AND e.trig IS NOT NULL AS shut FROM x JOIN e ON e.account = x.account AND e.i = x.i + 1))
+    SELECT account, seq, timestamp, status, reason, allowed, losses FROM x WHERE i > 0""",
+)
 def stream_breaker(spark, d):
-    t = _stream(spark, d)
+    play = J.Replay(spark)
+    t = _stream(spark, d, play)
     trig = F.when(c("seq") % 97 == 0, "daily_drawdown").when(c("seq") % 89 == 0, "vix_spike")
     e = t.select(c("symbol").alias("account"), "seq", "timestamp", trig.alias("trigger"), F.when(c("seq") % 5 == 0, c("seq") % 41 - 20).alias("pnl"))
-    return rounded(J.drain(J.breaker_stream(e)))
+    return rounded(play.drain(J.breaker_stream(e)))
 
 
 @query(

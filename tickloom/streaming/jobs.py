@@ -1,12 +1,14 @@
 """Streams: every function takes and returns a streaming DataFrame.
 
-Arrival order is not trusted: every stateful job has a watermark (ten minutes by default) or
-keeps per-key state that orders the rows of a micro-batch by time. Trigger sizes
-(``maxFilesPerTrigger``) bound what one task sees of a busy key at once."""
+Neither arrival order nor the size of a trigger shows in a result. Every stateful job has a watermark (ten minutes by
+default): rows wait in state until it has passed them and are then worked on in event-time order, by a timer if no other row
+comes. Rows behind the watermark are late: jobs of this module let them out with ``late`` set and nothing else; those that Spark
+itself leaves out are counted, and :func:`shut_out` tells how many. State of a key that has been silent for ``EXPIRY_DAYS`` is given up."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -14,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..sources import ingest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DELAY = "10 minutes"
+#: Event time of the row that closes a bounded replay.
+END = "9000-01-01"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -44,7 +48,7 @@ def tumbling_bars(ticks: DataFrame, seconds: Sequence[int] = (60, 300, 900, 3600
         (F.sum(F.col("price") * F.col("quantity")) / F.sum("quantity")).alias("vwap"),
         F.count(F.lit(1)).alias("trade_count"),
     ]
-    t = ticks.withWatermark("timestamp", delay)
+    t = ticks.withWatermark("timestamp", delay).where(F.col("timestamp") < F.lit(END).cast("timestamp"))
     out = None
     for s in seconds:
         one = t.groupBy("symbol", F.window("timestamp", f"{s} seconds")).agg(*aggs).withColumn("bar_seconds", F.lit(s))
@@ -52,34 +56,105 @@ def tumbling_bars(ticks: DataFrame, seconds: Sequence[int] = (60, 300, 900, 3600
     return out.select("symbol", "bar_seconds", F.col("window.start").alias("timestamp"), "open", "high", "low", "close", "volume", "vwap", "trade_count")
 
 
-# -- state over the last rows of a key ------------------------------------------------------------------
-class Tail(StatefulProcessor):
-    """Keeps the last ``size`` rows per key and calls ``fn(rows, first_new)`` on history plus new rows.
+# -- rows of a key in event-time order -------------------------------------------------------------------
+EXPIRY_DAYS = 90
+_DAY_MS = 86_400_000
 
-    ``fn`` gets a frame ordered by time and the position of the first new row, and returns the output
-    rows for the new part. It depends on numpy and pandas only."""
 
-    def __init__(self, size: int, columns: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame, int], pd.DataFrame]):
-        self.size, self.columns, self.order, self.fn = size, list(columns), list(order), fn
+class InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them, then gives them to ``step`` ordered by time and ``seq``.
+
+    ``step(state, rows)`` takes a tuple (None at first) and a frame, and returns the new tuple and a frame of results. Every
+    column of ``schema`` is kept while a row waits; ``us`` is its event time in microseconds."""
+
+    def __init__(self, schema: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]], names: Sequence[str]):
+        self.schema, self.kept, self.step, self.names = schema, state, step, list(names)
 
     def init(self, handle) -> None:
-        schema = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in self.columns])
-        self.state = handle.getValueState("tail", schema)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.state = handle.getValueState("state", self.kept)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int) -> None:
+        """One timer, at the earliest time that matters."""
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is None or at < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable").reset_index(drop=True)
-        old = self.state.get() if self.state.exists() else None
-        hist = pd.DataFrame({c: list(v) for c, v in zip(self.columns, old)}) if old else pd.DataFrame({c: [] for c in self.columns})
-        both = pd.concat([hist, new[self.columns].astype(float)], ignore_index=True)
-        self.state.update(tuple(both[c].tail(self.size).tolist() for c in self.columns))
-        out = self.fn(both, len(hist))
-        head = new.drop(columns=[c for c in self.columns if c in out.columns])
-        yield pd.concat([head.reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+        columns, mark = [c.strip().split()[0] for c in self.schema.split(",")], timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            late = pdf["us"] // 1000 < mark  # what they belong to has been told
+            if late.any():
+                out = pdf.loc[late, ["us", "seq"]].assign(late=True)
+                yield self._told(key, out)
+            part = pdf.loc[~late, columns].astype(object)
+            if len(part):
+                self.waiting.appendList(list(part.where(part.notna(), None).itertuples(index=False, name=None)))
+                self._wake(int(part["us"].min()) // 1000 + 1)
+
+    def _told(self, key, out: pd.DataFrame) -> pd.DataFrame:
+        out = out.assign(**{self.key_name: key[0]}, timestamp=pd.to_datetime(out["us"], unit="us"))
+        return out.reindex(columns=self.names).astype(object).where(lambda x: x.notna(), None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        columns = [c.strip().split()[0] for c in self.schema.split(",")]
+        self.timer.clear()
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        if not rows:  # silent since the last rows: nothing to go on from
+            self.state.clear()
+            return
+        at = columns.index("us")
+        ready = sorted((r for r in rows if r[at] // 1000 < mark), key=lambda r: (r[at], r[columns.index("seq")]))
+        rest = [r for r in rows if r[at] // 1000 >= mark]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(min(r[at] for r in rest) // 1000 + 1)
+        elif ready:
+            self._wake(ready[-1][at] // 1000 + EXPIRY_DAYS * _DAY_MS)
+        if ready:
+            state = self.state.get() if self.state.exists() else None
+            state, out = self.step(state, pd.DataFrame(ready, columns=columns))
+            self.state.update(state)
+            yield self._told(key, out.assign(late=False))
 
     def close(self) -> None:
         pass
 
 
+def _in_order(rows: DataFrame, key: str, schema: str, state: str, step: Callable, out: str, delay: str) -> DataFrame:
+    """``rows`` has the key, ``timestamp`` and the columns of ``schema`` but ``us``. Late rows come out with ``late`` set and no
+    results, for a table of their own."""
+    out += ", late boolean"
+    names = [x.strip().split()[0] for x in out.split(",")]
+    job = InOrder(f"us long, {schema}", state, step, names)
+    job.key_name = key
+    marked = rows.withWatermark("timestamp", delay).where(F.col("timestamp") < F.lit(END).cast("timestamp"))
+    return marked.withColumn("us", F.unix_micros("timestamp")).groupBy(key).transformWithStateInPandas(job, outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+def _tail(size: int, columns: Sequence[str], fn: Callable[[pd.DataFrame, int], pd.DataFrame]) -> Callable:
+    """Step that calls ``fn(rows, first_new)`` on the last ``size`` rows of a key and the new ones behind them."""
+
+    def step(state, new):
+        hist = pd.DataFrame({c: np.asarray(v, float) for c, v in zip(columns, state)}) if state else pd.DataFrame({c: np.zeros(0) for c in columns})
+        both = pd.concat([hist, new[list(columns)].astype(float)], ignore_index=True)
+        out = fn(both, len(hist)).reset_index(drop=True)
+        return tuple(both[c].tail(size).tolist() for c in columns), pd.concat([new[["us", "seq"]], out], axis=1)
+
+    return step
+
+
+def _arrays(columns: Sequence[str]) -> str:
+    return ", ".join(f"{c} array<double>" for c in columns)
+
+
 def _recent(b: pd.DataFrame, first: int) -> pd.DataFrame:
     """Microstructure values over the last 100 rows, for the rows from ``first`` on."""
     w = 100
@@ -94,10 +169,13 @@ def _recent(b: pd.DataFrame, first: int) -> pd.DataFrame:
     bps = pd.Series(np.where(ok, (ask - bid) / np.where(ok, (ask + bid) / 2, 1) * 1e4, np.nan))
     dp, prev = b["price"].diff(), net.shift()
     var, cov = roll(prev, w - 1).var(), dp.rolling(w - 1, min_periods=2).cov(prev)
-    ms = np.floor(b["us"].to_numpy() / 1000.0)
+    ms = np.floor(b["clock"].to_numpy() / 1000.0)
     gap = ms - ms[start]
     few = n < 2
     v = vol.to_numpy()
+    sell = b["quantity"].where(b["sign"] < 0, 0.0)
+    step, move = roll(dp.abs(), w - 1).mean(), b["price"].diff(5).abs()
+    absorbed = (n >= 10) & (sell > roll(sell).mean() + 2 * roll(sell).std()) & (step > 0) & (move < step)
     res = pd.DataFrame(
         {
             "ofi": np.where(few | (v == 0), 0.0, imb / np.where(v == 0, 1, v)),
@@ -105,6 +183,7 @@ def _recent(b: pd.DataFrame, first: int) -> pd.DataFrame:
             "kyle_lambda": np.where((n < 3) | ~(var > 0), 0.0, cov / var.where(var > 0, 1.0)),
             "spread_bps": np.where(few, 0.0, bps.rolling(w, min_periods=1).mean().fillna(0.0)),
             "trade_intensity": np.where(gap > 0, n / (np.where(gap > 0, gap, 1) / 1000.0), 0.0),
+            "absorption": absorbed.to_numpy(bool),
         }
     )
     return res.iloc[first:]
@@ -124,82 +203,57 @@ _TICK = ("symbol string", "seq long", "timestamp timestamp")
 
 
 def _state_columns(ticks: DataFrame) -> DataFrame:
-    return ticks.withColumn("sign", F.when(F.col("side") == "BUY", 1.0).when(F.col("side") == "SELL", -1.0).otherwise(0.0)).withColumn("us", F.unix_micros("timestamp").cast("double"))
+    return ticks.withColumn("sign", F.when(F.col("side") == "BUY", 1.0).when(F.col("side") == "SELL", -1.0).otherwise(0.0)).withColumn("clock", F.unix_micros("timestamp").cast("double"))
 
 
-def microstructure_stream(ticks: DataFrame) -> DataFrame:
+def microstructure_stream(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
     """Values over the last 100 ticks after every tick."""
-    cols = ["price", "quantity", "bid", "ask", "sign", "us"]
+    cols = ["price", "quantity", "bid", "ask", "sign", "clock"]
     t = _state_columns(ticks).select("symbol", "seq", "timestamp", *cols)
-    out = ", ".join([*_TICK, *[f"{c} double" for c in ("ofi", "cvd", "kyle_lambda", "spread_bps", "trade_intensity")]])
-    return _tail(t, Tail(100, cols, ["timestamp", "seq"], _recent), out)
+    out = ", ".join([*_TICK, *[f"{c} double" for c in ("ofi", "cvd", "kyle_lambda", "spread_bps", "trade_intensity")], "absorption boolean"])
+    return _in_order(t, "symbol", "seq long, " + ", ".join(f"{c} double" for c in cols), _arrays(cols), _tail(100, cols, _recent), out, delay)
 
 
-def feature_stream(ticks: DataFrame) -> DataFrame:
+def feature_stream(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
     """Order-flow signal recomputed per observation from a ring buffer of 160 rows."""
     cols = ["bid_size", "ask_size"]
     t = ticks.select("symbol", "seq", "timestamp", *[F.col(c).cast("double").alias(c) for c in cols])
-    return _tail(t, Tail(160, cols, ["timestamp", "seq"], _ofi_signal), ", ".join([*_TICK, "ofi_signal double"]))
-
-
-class _Select(StatefulProcessor):
-    """Keeps only the declared output columns of another processor."""
-
-    def __init__(self, inner: StatefulProcessor, names: Sequence[str]):
-        self.inner, self.names = inner, list(names)
-
-    def init(self, handle) -> None:
-        self.inner.init(handle)
-
-    def handleInputRows(self, key, rows, timerValues):
-        for pdf in self.inner.handleInputRows(key, rows, timerValues):
-            yield pdf[self.names]
-
-    def close(self) -> None:
-        self.inner.close()
-
-
-def _tail(df: DataFrame, proc: StatefulProcessor, schema: str, key: str = "symbol") -> DataFrame:
-    names = [p.strip().split()[0] for p in schema.split(",")]
-    return df.groupBy(key).transformWithStateInPandas(_Select(proc, names), outputStructType=schema, outputMode="Append", timeMode="None")
+    return _in_order(t, "symbol", "seq long, bid_size double, ask_size double", _arrays(cols), _tail(160, cols, _ofi_signal), ", ".join([*_TICK, "ofi_signal double"]), delay)
 
 
 # -- volume buckets with exact carry ------------------------------------------------------------------------
-class VolumeBuckets(StatefulProcessor):
+def _buckets(size: float, window: int) -> Callable:
     """Buckets of fixed volume: what exceeds a bucket is carried in the bucket's own buy/sell mix, and at
-    most one bucket closes per tick."""
-
-    def __init__(self, size: float, window: int = 50):
-        self.size, self.window = float(size), window
-
-    def init(self, handle) -> None:
-        d = T.DoubleType()
-        self.state = handle.getValueState(
-            "bucket", T.StructType([T.StructField("buy", d), T.StructField("sell", d), T.StructField("b", T.ArrayType(d)), T.StructField("s", T.ArrayType(d)), T.StructField("n", T.LongType())])
-        )
+    most one bucket closes per tick. One round of the loop for each bucket; running sums find where it closes."""
 
-    def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], kind="stable")
-        buy, sell, bs, ss, n = self.state.get() if self.state.exists() else (0.0, 0.0, [], [], 0)
+    def step(state, new):
+        buy, sell, bs, ss, n = state or (0.0, 0.0, [], [], 0)
         bs, ss, out = list(bs), list(ss), []
-        for ts, q, share in zip(new["timestamp"], new["quantity"], new["share"]):
-            buy, sell = buy + q * share, sell + q * (1 - share)
-            total = buy + sell
-            if total >= self.size:
-                rest = (total - self.size) / total
-                bs, ss = (bs + [buy * (1 - rest)])[-self.window :], (ss + [sell * (1 - rest)])[-self.window :]
-                buy, sell = buy * rest, sell * rest
-                vol = sum(bs) + sum(ss)
-                out.append((key[0], n, ts, bs[-1], ss[-1], sum(abs(x - y) for x, y in zip(bs, ss)) / vol, sum(bs) / vol))
-                n += 1
-        self.state.update((buy, sell, bs, ss, n))
-        yield pd.DataFrame(out, columns=["symbol", "bucket", "timestamp", "buy_volume", "sell_volume", "vpin", "buy_volume_pct"])
-
-    def close(self) -> None:
-        pass
-
-
-def vpin_stream(ticks: DataFrame, bucket_size: float, window: int = 50) -> DataFrame:
+        q, share = new["quantity"].to_numpy(float), new["share"].to_numpy(float)
+        all_, bought = np.concatenate([[0.0], np.cumsum(q)]), np.concatenate([[0.0], np.cumsum(q * share)])
+        at = 0
+        while at < len(q):
+            end = int(np.searchsorted(all_, all_[at] + size - buy - sell, side="left"))  # rows up to the one that fills it
+            end = max(end, at + 1)
+            if end > len(q):
+                break
+            b = buy + bought[end] - bought[at]
+            total = buy + sell + all_[end] - all_[at]
+            rest = max(total - size, 0.0) / total
+            bs, ss = (bs + [b * (1 - rest)])[-window:], (ss + [(total - b) * (1 - rest)])[-window:]
+            buy, sell = b * rest, (total - b) * rest
+            vol = sum(bs) + sum(ss)
+            out.append((new["us"].iat[end - 1], n, bs[-1], ss[-1], sum(abs(x - y) for x, y in zip(bs, ss)) / vol, sum(bs) / vol))
+            n, at = n + 1, end
+        if at < len(q):
+            b = bought[-1] - bought[at]
+            buy, sell = buy + b, sell + all_[-1] - all_[at] - b
+        return (float(buy), float(sell), bs, ss, n), pd.DataFrame(out, columns=["us", "bucket", "buy_volume", "sell_volume", "vpin", "buy_volume_pct"])
+
+    return step
+
+
+def vpin_stream(ticks: DataFrame, bucket_size: float, window: int = 50, delay: str = DELAY) -> DataFrame:
     share = (
         F.when(F.col("side") == "BUY", 1.0)
         .when(F.col("side") == "SELL", 0.0)
@@ -207,51 +261,62 @@ def vpin_stream(ticks: DataFrame, bucket_size: float, window: int = 50) -> DataF
         .when(F.col("price") >= (F.col("bid") + F.col("ask")) / 2, 0.6)
         .otherwise(0.4)
     )
-    t = ticks.select("symbol", "seq", "timestamp", "quantity", share.alias("share"))
+    t = ticks.select("symbol", "seq", "timestamp", F.col("quantity").cast("double").alias("quantity"), share.alias("share"))
     schema = "symbol string, bucket long, timestamp timestamp, buy_volume double, sell_volume double, vpin double, buy_volume_pct double"
-    return t.groupBy("symbol").transformWithStateInPandas(VolumeBuckets(bucket_size, window), outputStructType=schema, outputMode="Append", timeMode="None")
+    state = "buy double, sell double, b array<double>, s array<double>, n long"
+    return _in_order(t, "symbol", "seq long, quantity double, share double", state, _buckets(float(bucket_size), window), schema, delay)
 
 
 # -- circuit breaker -------------------------------------------------------------------------------------------
-class Breaker(StatefulProcessor):
-    """CLOSED -> OPEN on a trigger; OPEN -> HALF_OPEN after the cooldown; there a profit closes the breaker
-    and a loss opens it again. Emits the state after every event."""
-
-    def __init__(self, recovery_minutes: int = 30):
-        self.cooldown = pd.Timedelta(minutes=recovery_minutes)
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("breaker", "status string, tripped_us long, reason string, losses long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "seq"], kind="stable")
-        status, tripped, reason, losses = self.state.get() if self.state.exists() else ("CLOSED", 0, None, 0)
-        out = []
-        for ts, seq, trig, pnl in zip(new["timestamp"], new["seq"], new["trigger"], new["pnl"]):
-            us = int(ts.value // 1000)
-            if status == "OPEN" and us - tripped >= self.cooldown.value // 1000:
-                status = "HALF_OPEN"
-            allowed = status != "OPEN"
-            if status == "HALF_OPEN":
-                if pnl == pnl and pnl is not None:
-                    status, tripped, losses = ("CLOSED", 0, 0) if pnl >= 0 else ("OPEN", us, losses + 1)
+def _breaker(cooldown_us: int) -> Callable:
+    """CLOSED -> OPEN on a trigger; OPEN -> HALF_OPEN after the cooldown; there a profit closes the breaker and a loss opens it
+    again. The loop goes from one change of the state to the next; the rows between are filled in at once."""
+
+    def step(state, new):
+        status, tripped, reason, losses = state or ("CLOSED", 0, None, 0)
+        us, pnl = new["us"].to_numpy(np.int64), pd.to_numeric(new["pnl"]).to_numpy(float)
+        triggers, results = np.flatnonzero(new["trigger"].notna()), np.flatnonzero(~np.isnan(pnl))
+        n, at, marks = len(us), 0, []  # marks: (first row, status, reason, allowed, losses) until the next mark
+
+        def after(rows: np.ndarray, i: int) -> int:
+            k = int(np.searchsorted(rows, i))
+            return int(rows[k]) if k < len(rows) else n
+
+        while at < n:
+            if status == "CLOSED":
+                i = after(triggers, at)
+                marks.append((at, status, reason, True, losses))
+                if i < n:
+                    status, tripped, reason, losses = "OPEN", int(us[i]), new["trigger"].iat[i], losses + 1
+                    marks.append((i, status, reason, False, losses))
+                at = i + 1
+            elif status == "OPEN":
+                i = max(at, int(np.searchsorted(us, tripped + cooldown_us)))
+                marks.append((at, status, reason, False, losses))
+                at = i
+                if i < n:
+                    status = "HALF_OPEN"
+            else:
+                i = after(results, at)
+                marks.append((at, status, reason, True, losses))
+                if i < n:
+                    status, tripped, losses = ("CLOSED", 0, 0) if pnl[i] >= 0 else ("OPEN", int(us[i]), losses + 1)
                     reason = None if status == "CLOSED" else reason
-            elif status == "CLOSED" and isinstance(trig, str):
-                status, tripped, reason, losses, allowed = "OPEN", us, trig, losses + 1, False
-            out.append((key[0], seq, ts, status, reason, allowed, losses))
-        self.state.update((status, tripped, reason, losses))
-        yield pd.DataFrame(out, columns=["account", "seq", "timestamp", "status", "reason", "allowed", "losses"])
+                    marks.append((i, status, reason, True, losses))
+                at = i + 1
+        first = np.array([m[0] for m in marks], np.int64)
+        mark = pd.DataFrame(marks, columns=["at", "status", "reason", "allowed", "losses"]).iloc[np.searchsorted(first, np.arange(n), side="right") - 1]
+        return (status, tripped, reason, losses), pd.concat([new[["us", "seq"]], mark.drop(columns="at").reset_index(drop=True)], axis=1)
 
-    def close(self) -> None:
-        pass
+    return step
 
 
-def breaker_stream(events: DataFrame, recovery_minutes: int = 30) -> DataFrame:
-    """``events``: account, seq, timestamp, trigger (null if none), pnl (result of a closed trade or null)."""
-    schema = "account string, seq long, timestamp timestamp, status string, reason string, allowed boolean, losses long"
-    return events.select("account", "seq", "timestamp", "trigger", F.col("pnl").cast("double").alias("pnl")).groupBy("account").transformWithStateInPandas(
-        Breaker(recovery_minutes), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+def breaker_stream(events: DataFrame, recovery_minutes: int = 30, delay: str = DELAY) -> DataFrame:
+    """``events``: account, seq, timestamp, trigger (null if none), pnl (result of a closed trade or null). The state after every
+    event, and whether trading was allowed at it."""
+    out = "account string, seq long, timestamp timestamp, status string, reason string, allowed boolean, losses long"
+    rows = events.select("account", "seq", "timestamp", "trigger", F.col("pnl").cast("double").alias("pnl"))
+    return _in_order(rows, "account", "seq long, trigger string, pnl double", "status string, tripped_us long, reason string, losses long", _breaker(recovery_minutes * 60_000_000), out, delay)
 
 
 # -- heartbeats -------------------------------------------------------------------------------------------------
@@ -336,21 +401,61 @@ def regime_snapshot(macro: DataFrame, roles: Mapping[str, str]) -> DataFrame:
 
 
 # -- running a bounded stream -----------------------------------------------------------------------------------------
+def _shared(spark: SparkSession, shared: str | None) -> str:
+    top = shared or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{top}/stream-{uuid.uuid4().hex}"
+
+
 def read_table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 64) -> DataFrame:
     """A Parquet table as a stream of its files."""
     schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(directory)
 
 
-def drain(stream: DataFrame, shared: str | None = None) -> DataFrame:
-    """Process everything available once into Parquet and return it as a table.
+class Replay:
+    """A bounded replay of a stream: :meth:`open` adds a source for one last row that :meth:`drain` writes when all others are
+    in. Its event time, far ahead, moves the watermark past every row, so nothing is left waiting in state."""
+
+    def __init__(self, spark: SparkSession, shared: str | None = None):
+        self.spark, self.root = spark, _shared(spark, shared)
 
-    Output and checkpoint go to the shared folder of the cluster (``spark.checkpoint.dir``)."""
-    spark = stream.sparkSession
-    base = shared or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
+    def open(self, stream: DataFrame, time: str) -> DataFrame:
+        last = [T.StructField(f.name, f.dataType) for f in stream.schema.fields]
+        ahead = F.lit("9998-12-31").cast(stream.schema[time].dataType)
+        self.last = self.spark.range(1).select(*[(ahead if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name) for f in last])
+        self.last.where("false").write.parquet(f"{self.root}/end")
+        return stream.unionByName(self.spark.readStream.schema(T.StructType(last)).parquet(f"{self.root}/end"))
 
-    root = f"{base}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    def _run(self, stream: DataFrame) -> int:
+        q = stream.writeStream.format("parquet").option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return shut_out(q)
+
+    def drain(self, stream: DataFrame, late: bool = False) -> DataFrame:
+        """Everything that came in time as a table. Late rows are an error unless ``late`` is set; ``late_rows`` has them then, as
+        far as the job lets them out, and ``late`` their number."""
+        self.late = self._run(stream)
+        if hasattr(self, "last"):
+            self.last.write.mode("append").parquet(f"{self.root}/end")
+            self.late += self._run(stream)
+        out = self.spark.read.schema(stream.schema).parquet(f"{self.root}/out")
+        if "late" in out.columns:
+            self.late_rows, out = out.where("late"), out.where("not late").drop("late")
+            self.late += self.late_rows.count()
+        if self.late and not late:
+            raise ValueError(f"{self.late} rows came later than the watermark allows")
+        return out
+
+
+def shut_out(q: StreamingQuery) -> int:
+    """Rows that the watermark of a query has made Spark leave out so far."""
+    return sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
+
+
+def drain(stream: DataFrame, shared: str | None = None) -> DataFrame:
+    """Process everything available once into Parquet and return it as a table, for streams that hold nothing back."""
+    return Replay(stream.sparkSession, shared).drain(stream)
