@@ -26,8 +26,7 @@ def bars_1h(spark, d):
       last(price ORDER BY timestamp, seq) AS close, sum(quantity) AS volume, count(*) AS trade_count
       FROM (SELECT t.symbol, t.timestamp, t.seq, t.price, t.quantity, tf.timeframe, tf.s FROM ticks t CROSS JOIN tf) x
       GROUP BY symbol, timeframe, 3)
-    SELECT symbol, timeframe, timestamp, open, high, low, close, volume, CAST(trade_count AS BIGINT) AS trade_count FROM
-      (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY timestamp DESC) AS rn FROM b) WHERE rn <= 500""",
+    SELECT symbol, timeframe, timestamp, open, high, low, close, volume, CAST(trade_count AS BIGINT) AS trade_count FROM b""",
 )
 def bars_multi_timeframe(spark, d):
     return rounded(B.resample_many(V.ticks(spark, d)), None)

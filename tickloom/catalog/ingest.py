@@ -68,10 +68,13 @@ def ingest_bar_payload(spark, d):
 
 @query(
     "ingest_daily_index",
-    V.with_views("bars_1d") + f" SELECT symbol, timestamp + INTERVAL 5 HOUR AS timestamp, {rs('close')}, {r('CASE WHEN volume > 40 THEN 0 ELSE volume END', name='volume')} FROM bars_1d WHERE month(timestamp) = 1",
+    # clocks go forward on the first Sunday of April and back on the last of October (1987 to 2006), after midnight
+    V.with_views("bars_1d") + f""", z AS (SELECT *, make_date(year(timestamp), 4, 1) AS a, make_date(year(timestamp), 10, 31) AS o FROM bars_1d),
+    y AS (SELECT *, CAST(timestamp AS DATE) > a + CAST((7 - isodow(a)) % 7 AS INTEGER) AND CAST(timestamp AS DATE) <= o - CAST(isodow(o) % 7 AS INTEGER) AS summer FROM z)
+    SELECT symbol, timestamp + CASE WHEN summer THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS timestamp, {rs('close')}, {r('CASE WHEN volume > 40 THEN 0 ELSE volume END', name='volume')} FROM y""",
 )
 def ingest_daily_index(spark, d):
-    b = V.bars_1d(spark, d).filter("month(timestamp) = 1")
+    b = V.bars_1d(spark, d)
     raw = b.withColumn("volume", F.when(c("volume") > 45, F.lit(float("nan"))).when(c("volume") > 40, None).otherwise(c("volume")))
     return rounded(I.normalize_daily_index(raw).select("symbol", "timestamp", "close", "volume"))
 

@@ -98,7 +98,7 @@ def sharpe_significance(spark, d):
 def sharpe_probabilities(spark, d):
     x = P.daily_returns(P.daily_equity(V.trades(spark, d), 100_000.0)).withColumn("ret", F.col("ret") - 0.05 / 252)
     s = P.probabilities(P.sharpe_significance(P.return_moments(x, K), n_trials=10))
-    s = P.track_record_length(s, F.abs(F.col("sr")) * P.ANNUAL, F.lit(0.0), F.col("skewness"), F.col("excess_kurtosis"))
+    s = P.track_record_length(s, F.col("sr") * P.ANNUAL, F.lit(0.0), F.col("skewness"), F.col("excess_kurtosis"))
     return rounded(s.select("strategy_id", "psr", "dsr", "min_track_record"))
 
 
@@ -165,10 +165,10 @@ def cost_sensitivity(spark, d):
 @query("bootstrap_sharpe_interval")
 def bootstrap_sharpe_interval(spark, d):
     x = P.daily_returns(P.daily_equity(V.trades(spark, d), 1_000_000.0))
-    return rounded(P.bootstrap_interval(x, n_boot=100))
+    return rounded(P.bootstrap_interval(x, n_boot=1000))
 
 
 @query("simulated_value_at_risk")
 def simulated_value_at_risk(spark, d):
     x = P.daily_returns(P.daily_equity(V.trades(spark, d), 10_000_000.0))
-    return rounded(P.simulated_risk(x, n_paths=200))
+    return rounded(P.simulated_risk(x, n_paths=1000))

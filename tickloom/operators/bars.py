@@ -37,8 +37,9 @@ def resample(ticks: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def resample_many(ticks: DataFrame, timeframes: Sequence[str] = tuple(TIMEFRAMES), keep_last: int | None = 500) -> DataFrame:
-    """All timeframes, built from the finest up: each coarser bar aggregates finer bars, not ticks."""
+def resample_many(ticks: DataFrame, timeframes: Sequence[str] = tuple(TIMEFRAMES), keep_last: int | None = None) -> DataFrame:
+    """All timeframes, built from the finest up: each coarser bar aggregates finer bars, not ticks. ``keep_last`` bars for each
+    symbol and timeframe, all by default."""
     tfs = sorted(timeframes, key=TIMEFRAMES.get)
     fine = resample(ticks, TIMEFRAMES[tfs[0]])
     if any(TIMEFRAMES[t] % TIMEFRAMES[tfs[0]] for t in tfs):

@@ -143,10 +143,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.ordered import INDEX, TICKS
-
-    t = TICKS.running(ticks(spark, sf_dir)).filter(F.col(INDEX) % 25 == 0)
-    return t.select(
+    return ticks(spark, sf_dir).select(
         F.col("seq").alias("order_id"),
         "symbol",
         "timestamp",
@@ -212,7 +209,7 @@ VIEW_SQL = {
     "order_candidates": """order_candidates AS (SELECT seq AS order_id, symbol, timestamp, price, price AS entry,
       price * 0.98e0 AS stop_loss, price * CASE WHEN seq % 2 = 0 THEN 1.03e0 ELSE 1.02e0 END AS target, quantity AS size,
       CASE WHEN seq % 3 = 0 THEN 'short' ELSE 'long' END AS direction
-      FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, seq) - 1 AS i FROM ticks) WHERE i % 25 = 0)""",
+      FROM ticks)""",
     "fundamentals_wide": """fundamentals_wide AS (SELECT p_partkey AS asset_id, DATE '2020-01-01' + p_size AS report_date,
       CASE WHEN p_partkey % 4 = 0 THEN 'annual' WHEN p_partkey % 4 = 1 THEN 'quarterly' END AS period_type,
       p_size + 0.0e0 AS size, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS retail_price FROM part)""",
