@@ -29,7 +29,8 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Works inside each row, without a shuffle. An 8-word window is named by a 64-bit hash built by doubling (1, 2, 4, 8
     words); only texts in which a name repeats are sorted to find which words the repeated windows cover. A null or empty
-    text has no words; every ratio is then 0. Working columns begin with ``_q``; given columns of the new names are replaced.
+    text has no words; every ratio is then 0. Working columns begin with ``_q`` (``_qrow``, of no meaning, is left to filters);
+    given columns of the new names are replaced.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES]
     keep = [c for c in docs.columns if c not in names]
@@ -61,11 +62,13 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     share = lambda x, of: F.when(F.col(of) > 0, F.col(x) / F.col(of)).otherwise(0.0)
     ratios = (("word_chars", "n_words"), ("n_symbols", "n_words"), ("_qmarks", "n_words"), ("_qupper", "word_chars"), ("n_repeat_words", "n_words"), ("n_dup_lines", "_qlines"), ("_qdistinct", "n_words"))
-    return df.select(*keep, *names[:5], *[share(*r).alias(f) for f, r in zip(FEATURES, ratios)])
+    # the optimizer would move a later filter below all this and compute it several times over; it never passes by a
+    # non-deterministic column that the filter needs
+    return df.select(*keep, *names[:5], *[share(*r).alias(f) for f, r in zip(FEATURES, ratios)], F.spark_partition_id().alias("_qrow"))
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))) & (F.col("_qrow") >= 0)
 
 
 @dataclass(frozen=True)
@@ -93,15 +96,14 @@ def _binned(rows: DataFrame, bins: int) -> DataFrame:
     return rows.withColumn("bins", F.array(*[F.struct(F.lit(f).alias("f"), number(f).alias("bin"), F.col(f).alias("v")) for f in FEATURES]))
 
 
-def _best_test(rows: DataFrame) -> Test | None:
-    """The condition of highest FOIL gain, from counts of bad and good rows for each feature and bin."""
+def _best_test(rows: DataFrame) -> tuple[int, int, Test | None]:
+    """Good and bad rows, and the condition of highest FOIL gain, from counts for each feature and bin."""
     stats = rows.select("bad", F.explode("bins").alias("b")).groupBy("b.f", "b.bin").agg(F.sum("bad").alias("p"), F.count("*").alias("n"), F.min("b.v").alias("lo"), F.max("b.v").alias("hi")).collect()
-    best = (0.0, None)
+    good, bad, best = 0, 0, (0.0, None)
     for f in FEATURES:
         by_bin = sorted((r.bin, r.p, r.n - r.p, r.lo, r.hi) for r in stats if r.f == f)
         p_all, n_all = sum(r[1] for r in by_bin), sum(r[2] for r in by_bin)
-        if not p_all:
-            return None
+        good, bad = n_all, p_all
         p_low = n_low = 0
         for (_, p, n, _, hi), (_, _, _, lo, _) in zip(by_bin, by_bin[1:]):
             p_low, n_low = p_low + p, n_low + n
@@ -109,7 +111,7 @@ def _best_test(rows: DataFrame) -> Test | None:
                 if pos:
                     gain = pos * (log2(pos / (pos + neg)) - log2(p_all / (p_all + n_all)))
                     best = max(best, (gain, Test(f, above, (lo + hi) / 2)), key=lambda x: x[0])
-    return best[1]
+    return good, bad, best[1]
 
 
 def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 4, bins: int = 64, precision: float = 0.95, support: int = 10) -> list[list[Test]]:
@@ -123,9 +125,8 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 4, bins: int
     while len(rules) < max_rules:
         tests: list[Test] = []
         while len(tests) < max_tests:
-            now = rest.where(F.col("grow") & _all(tests))
-            good, bad = now.agg(F.count_if(F.col("bad") == 0), F.count_if(F.col("bad") == 1)).first()
-            if not bad or tests and not good or (test := _best_test(now)) is None:
+            good, bad, test = _best_test(rest.where(F.col("grow") & _all(tests)))
+            if not bad or tests and not good or test is None:
                 break
             tests.append(test)
         if not tests:
@@ -159,11 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[list[T
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_qid"), F.col("quality").alias("_quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_qid"))
-    rows = counts(rows).where(~base_failed())
+    rows = cut_lineage(counts(rows)).where(~base_failed()).coalesce(8)  # a bounded sample
     return learn(rows.select(*FEATURES, (F.col("_quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("_qid", F.lit(1)), F.lit(3)) > 0).alias("grow")))
 
 
 def judged(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     """All columns, the counts and ratios, ``base_failed``, ``rule`` (first that holds, 0: none) and ``kept``."""
     df = counts(docs).withColumn("base_failed", base_failed()).withColumn("rule", decision(rules))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    return df.withColumn("kept", (F.col("_qrow") >= 0) & ~F.col("base_failed") & (F.col("rule") == 0)).drop("_qrow")
