@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[list[T
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_qid"), F.col("quality").alias("_quality"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_qid"))
-    rows = cut_lineage(counts(rows)).where(~base_failed()).coalesce(8)  # a bounded sample
+    rows = cut_lineage(counts(rows).drop("doc_id", "text")).where(~base_failed()).coalesce(8)  # a bounded sample
     return learn(rows.select(*FEATURES, (F.col("_quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("_qid", F.lit(1)), F.lit(3)) > 0).alias("grow")))
 
 
