@@ -83,6 +83,18 @@ def test_links_cover_radius(spark):
     assert len(masks) == 7 and all(any(not (m >> i | m >> j) & 1 for m in masks) for i in range(64) for j in range(64))
 
 
+def test_links_of_a_wide_radius(spark):
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(30)]
+    fps = {b: b for b in base} | {b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randrange(1, 7))): b for b in base for _ in range(20)}
+    signed = {simhash._signed(x): simhash._signed(b) for x, b in fps.items()}
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 6)
+    assert found.where("bit_count(a ^ b) > 6").count() == 0
+    root = {r.node: r.root for r in components.components(found, "a", "b").collect()}
+    same = sum(root.get(x) == root.get(b) for x, b in signed.items())
+    assert same >= 0.93 * len(signed)  # a star of twenty copies each up to six bits away is the hard case
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}

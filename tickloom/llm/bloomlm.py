@@ -314,31 +314,56 @@ def _base(parts: int, frequent):
     return run
 
 
+HOMEWARD = "home int, data binary"
 PARTIAL = "row_id long, h long, n_tokens long, logs double, n_known long"
 _PARTIAL = pa.schema([("row_id", pa.int64()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("logs", pa.float64()), ("n_known", pa.int64())])
 
 
-def _partial(who: np.ndarray, n, logs, known) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(who[:, 0]), pa.array(who[:, 1]), pa.array(n.astype(np.int64)), pa.array(logs.astype(np.float64)), pa.array(known.astype(np.int64))], schema=_PARTIAL)
+def _homeward(parts: int, who: np.ndarray, n, logs, known) -> Iterator[pa.RecordBatch]:
+    """Sums of documents on their way to the part of each document, packed: a row for each part, not for each document."""
+    columns = [who[:, 0], who[:, 1], n.astype("<i8"), logs.astype("<f8").view("<i8"), known.astype("<i8")]
+    home = who[:, 0] % parts
+    for p in np.unique(home).tolist():
+        some = home == p
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.stack([c[some] for c in columns]).tobytes()], pa.binary())], ["home", "data"])
 
 
-def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for docs, n, logs, known in zip(*(batch.column(c) for c in ("docs", "key", "doc", "times"))):
-            yield from _partial(np.frombuffer(docs.as_py(), "<i8").reshape(-1, 2), np.frombuffer(n.as_py(), "<i8"), np.frombuffer(logs.as_py(), "<f8"), np.frombuffer(known.as_py(), "<i8")).to_batches()
+def _whole_rows(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, n, logs, known in zip(*(batch.column(c) for c in ("docs", "key", "doc", "times"))):
+                yield from _homeward(parts, np.frombuffer(docs.as_py(), "<i8").reshape(-1, 2), np.frombuffer(n.as_py(), "<i8"), np.frombuffer(logs.as_py(), "<f8"), np.frombuffer(known.as_py(), "<i8"))
 
+    return run
 
-def _rare_rows(rare: pa.Table, words: pa.Table) -> pa.Table:
-    n = words.column("n")[0].as_py() if words.num_rows else 0
-    keys, counts = (_unplanes(words.column(c)[0].as_py(), n) if n else np.zeros(0, np.uint64) for c in ("key", "count"))
-    out = []
-    for r in range(rare.num_rows):
-        m, docs, key, doc, times = (rare.column(c)[r].as_py() for c in ("n", "docs", "key", "doc", "times"))
-        who = np.frombuffer(docs, "<i8").reshape(-1, 2)
-        key, doc, times = _unplanes(key, m), _unplanes(doc, m).astype(np.int64), _unplanes(times, m).astype(np.int64)
-        c = counts[np.searchsorted(keys, key)].astype(np.int64)  # every word of a text was counted
-        out.append(_partial(who, np.zeros(len(who)), np.bincount(doc, times * np.log10(c + 0.1), minlength=len(who)), np.bincount(doc, times * (c > 0), minlength=len(who))))
-    return pa.concat_tables(out) if out else _PARTIAL.empty_table()
+
+def _rare_rows(parts: int):
+    def run(rare: pa.Table, words: pa.Table) -> pa.Table:
+        n = words.column("n")[0].as_py() if words.num_rows else 0
+        keys, counts = (_unplanes(words.column(c)[0].as_py(), n) if n else np.zeros(0, np.uint64) for c in ("key", "count"))
+        found = []
+        for r in range(rare.num_rows):
+            m, docs, key, doc, times = (rare.column(c)[r].as_py() for c in ("n", "docs", "key", "doc", "times"))
+            who = np.frombuffer(docs, "<i8").reshape(-1, 2)
+            key, doc, times = _unplanes(key, m), _unplanes(doc, m).astype(np.int64), _unplanes(times, m).astype(np.int64)
+            c = counts[np.searchsorted(keys, key)].astype(np.int64)  # every word of a text was counted
+            found.append((who, np.bincount(doc, times * np.log10(c + 0.1), minlength=len(who)), np.bincount(doc, times * (c > 0), minlength=len(who))))
+        if not found:
+            return pa.table({"home": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+        who, logs, known = (np.concatenate(x) for x in zip(*found))
+        return pa.Table.from_batches(list(_homeward(parts, who, np.zeros(len(who)), logs, known)))
+
+    return run
+
+
+def _summed_up(table: pa.Table) -> pa.Table:
+    """One row for each document of a part."""
+    rows = np.concatenate([np.frombuffer(x.as_py(), "<i8").reshape(5, -1) for x in table.column("data")], axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    begin = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
+    add = lambda x: np.add.reduceat(x, begin)
+    cells = [rows[0][begin], rows[1][begin], add(rows[2]), add(np.ascontiguousarray(rows[3]).view("<f8")), add(rows[4])]
+    return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cells], schema=_PARTIAL)
 
 
 def _model(parts: int, words, pairs, n_train: int, n_types: int):
@@ -399,9 +424,9 @@ def score(docs: DataFrame) -> DataFrame:
     frequent = sc.broadcast(_frequent(counts, max(1.0, SHARE * n_train)))
     rare = rows.select("row_id", "h", "text").mapInArrow(_base(parts, frequent), RARE)
     rare = common.written(rare)
-    base = rare.where("part < 0").select("docs", "key", "doc", "times").mapInArrow(_whole_rows, PARTIAL)
-    far = rare.where("part >= 0").groupBy("part").cogroup(counts.where("words").groupBy("part")).applyInArrow(_rare_rows, PARTIAL)
-    sums = base.union(far).groupBy("row_id", "h").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("logs").alias("logs"), F.sum("n_known").alias("n_known"))
+    base = rare.where("part < 0").select("docs", "key", "doc", "times").mapInArrow(_whole_rows(parts), HOMEWARD)
+    far = rare.where("part >= 0").groupBy("part").cogroup(counts.where("words").groupBy("part")).applyInArrow(_rare_rows(parts), HOMEWARD)
+    sums = base.union(far).groupBy("home").applyInArrow(_summed_up, PARTIAL)
 
     words, scores = sc.broadcast(single), None
     for i in range(0, parts, per_pass):

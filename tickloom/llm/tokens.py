@@ -15,7 +15,7 @@ class Encoder:
     Such a tokenizer never joins two words that a single space or line end separates, so each distinct word goes to
     the library once. A text with any other run of white space goes there whole. At most ``keep`` words stay."""
 
-    def __init__(self, path: str, keep: int = 400_000) -> None:
+    def __init__(self, path: str, keep: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
