@@ -99,7 +99,24 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op10_repeats")
+@query(
+    "op10_repeats",
+    """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    w AS (SELECT doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM d),
+    s AS (SELECT doc_id, i, b[i + 1 : i + 50] AS s FROM w),
+    m AS (SELECT s, min(doc_id) AS f FROM s GROUP BY s),
+    g AS (SELECT s.doc_id, s.i FROM s JOIN m USING (s) WHERE m.f < s.doc_id),
+    p AS (SELECT doc_id, b, unnest(range(0, octet_length(b))) AS p FROM d),
+    c AS (SELECT p.doc_id, p.p, coalesce(max(g.i) OVER (PARTITION BY p.doc_id ORDER BY p.p) > p.p - 50, false) AS gone FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.p),
+    e AS (SELECT *, gone <> coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), NOT gone) AS turns FROM c),
+    r AS (SELECT doc_id, p AS lo, gone, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS hi FROM e WHERE turns),
+    k AS (SELECT r.doc_id, sum(coalesce(hi, octet_length(b)) - lo) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans,
+      string_agg(hex(b[lo + 1 : coalesce(hi, octet_length(b))]), '' ORDER BY lo) FILTER (NOT gone) AS kept FROM r JOIN d USING (doc_id) GROUP BY r.doc_id)
+    SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = refine.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
