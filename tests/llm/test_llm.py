@@ -80,6 +80,11 @@ def test_links_cover_radius(spark):
         want.setdefault(top(x), []).append(x)
     assert {x: root.get(x, x) for x in signed} == {x: min(g) for g in want.values() for x in g}
     masks = simhash.covering_masks(2)
+    for radius in range(1, 7):
+        weights = [m.bit_count() for m in simhash.covering_masks(radius)]
+        assert len(weights) == 2 ** (radius + 1) - 1 and min(weights) >= 30
+    wide = simhash.covering_masks(6)
+    assert all(any(not m & d for m in wide) for d in (sum(1 << x for x in rnd.sample(range(64), 6)) for _ in range(300)))
     assert len(masks) == 7 and all(any(not (m >> i | m >> j) & 1 for m in masks) for i in range(64) for j in range(64))
 
 

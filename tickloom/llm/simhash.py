@@ -56,9 +56,10 @@ def covering_masks(radius: int) -> list[int]:
 
     Each position has a non-zero vector of radius + 1 bits, and each non-zero vector v a mask: the positions whose vector
     has an odd product with v. Vectors of ``radius`` positions leave a direction free, so some v has even products with
-    all of them, and two fingerprints that differ only there agree on the mask of v."""
+    all of them, and two fingerprints that differ only there agree on the mask of v. The vectors are dealt so that all masks
+    have about half of the bits: all in turn, or for seven bits a one and the position (a first-order Reed-Muller code)."""
     full = (1 << radius + 1) - 1
-    vectors = [1 + i % full for i in range(BITS)]
+    vectors = [64 + i if radius == 6 else 1 + i % full for i in range(BITS)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, full + 1)]
 
 
@@ -74,9 +75,9 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     value ties its at most 65 owners to the least of them. Whatever the size of a bucket, a row makes at most 65 rows
     and no two rows of a bucket are paired. For radius 1 only the pairs of those that differ in one bit are kept.
 
-    For a radius of 3 to 8 see :func:`_by_leaders`."""
-    if not 1 <= radius <= 8:
-        raise ValueError("radius 1 to 8")
+    For a radius of 3 to 6 see :func:`_by_leaders`."""
+    if not 1 <= radius <= 6:
+        raise ValueError("radius 1 to 6")
     masks = [_signed(m) for m in covering_masks(radius)]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.k")
