@@ -21,13 +21,13 @@ JOBS = {
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """Ticks of a month in twelve files: a file holds about two days and a half, with rows up to a day out of place."""
+    """Ticks of a month in six files: a file holds about five days, with rows up to a day out of place."""
     J.use_rocksdb(spark)
     top = tmp_path_factory.mktemp("ticks")
     t = V.ticks(spark, SF).withColumn("bid", F.col("bid").cast("double")).withColumn("ask", F.col("ask").cast("double"))
     rows = t.toPandas()
     order = (rows["timestamp"].astype("int64") // 10**9 + rows["seq"] * 7919 % 86_400).rank(method="first")
-    rows["f"] = ((order - 1) * 12 // len(rows)).astype(int)
+    rows["f"] = ((order - 1) * 6 // len(rows)).astype(int)
     for f, part in rows.groupby("f"):
         part.drop(columns="f").to_parquet(top / f"ticks{f:02d}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
         time.sleep(0.02)  # sources take files by age

@@ -71,10 +71,26 @@ _ICS = """, ix AS (SELECT *, row_number() OVER (PARTITION BY symbol, feature, ho
     ic AS (SELECT symbol, feature, a, a + 251 AS period, corr(rx, ry) AS ic FROM wr GROUP BY 1, 2, 3)"""
 
 
-@query("rolling_ic_series", _WIDE + _RND + _ICS + f" SELECT symbol, feature, 20 AS horizon, period, {r('ic', 5)} FROM ic")
+def _ics(step: str) -> str:
+    """Windows of 252 rows that begin every ``step`` rows, for all horizons of the panel."""
+    k = "symbol, feature, horizon"
+    w = "PARTITION BY ws.symbol, ws.feature, ws.horizon, ws.a"
+    return f""", ix AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY timestamp, seq) - 1 AS i FROM pr),
+    wn AS (SELECT {k}, max(i) AS last FROM ix GROUP BY ALL),
+    ws AS (SELECT {k}, unnest(range(0, last - 250, {step})) AS a FROM wn),
+    wr AS (SELECT ws.symbol, ws.feature, ws.horizon, ws.a, rank() OVER ({w} ORDER BY value) + (count(*) OVER ({w}, value) - 1) / 2.0e0 AS rx, rank() OVER ({w} ORDER BY fwd) + (count(*) OVER ({w}, fwd) - 1) / 2.0e0 AS ry
+      FROM ws JOIN ix ON ix.symbol = ws.symbol AND ix.feature = ws.feature AND ix.horizon = ws.horizon AND ix.i BETWEEN a AND a + 251)
+    SELECT symbol, feature, CAST(horizon AS INTEGER) AS horizon, a + 251 AS period, {r('corr(rx, ry)', 5, 'ic')} FROM wr GROUP BY symbol, feature, horizon, a"""
+
+
+@query("rolling_ic_series", _WIDE + _RND + _ics("CAST(horizon AS BIGINT)"))
 def rolling_ic_series(spark, d):
-    p = _rounded_panel(spark, d).filter("horizon = 20")
-    return rounded(R.ic_series(p, _SER), 5)
+    return rounded(R.ic_series(_rounded_panel(spark, d), _SER), 5)
+
+
+@query("rolling_ic_every_row", _WIDE + _RND + _ics("1"))
+def rolling_ic_every_row(spark, d):
+    return rounded(R.ic_series(_rounded_panel(spark, d), _SER, every=1), 5)
 
 
 @query(

@@ -104,8 +104,8 @@ def _chunk_ic(keys: list[str], w: int, st: int):
     return calc
 
 
-def ic_series(panel: DataFrame, s: Ordered, window: int = 252, keys: Sequence[str] = PANEL_KEYS) -> DataFrame:
-    """Rank correlation per rolling window of max(window, 10h) rows, stepped by the horizon h.
+def ic_series(panel: DataFrame, s: Ordered, window: int = 252, keys: Sequence[str] = PANEL_KEYS, every: int | None = None) -> DataFrame:
+    """Rank correlation per rolling window of max(window, 10h) rows, stepped by the horizon h or by ``every`` rows.
 
     ``s`` orders the panel rows per ``keys``. Windows are ranked with NumPy on row chunks that carry the
     rows before them, so a long series is many independent tasks. Series with fewer than three windows
@@ -115,7 +115,7 @@ def ic_series(panel: DataFrame, s: Ordered, window: int = 252, keys: Sequence[st
     rows = s.running(panel)
     n = panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = F.greatest(F.lit(window), F.col("horizon") * 10)
-    step = F.greatest(F.col("horizon"), F.lit(1))
+    step = F.lit(every) if every else F.greatest(F.col("horizon"), F.lit(1))
     rows = rows.join(n, keys).withColumn("_w", size).withColumn("_st", step)
     many = F.col("_n") >= F.col("_w") + 2 * F.col("_st")
 
@@ -124,7 +124,7 @@ def ic_series(panel: DataFrame, s: Ordered, window: int = 252, keys: Sequence[st
     parts = None
     horizons = [r[0] for r in panel.select("horizon").distinct().collect()]  # a handful of parameters
     for h in sorted(horizons):
-        w, st = max(window, 10 * h), max(h, 1)
+        w, st = max(window, 10 * h), every or max(h, 1)
         chunk = s.with_(chunk_rows=max(8192, w))
         one = rows.filter(many & (F.col("horizon") == h)).select(*keys, INDEX, "value", "fwd")
 
@@ -203,8 +203,11 @@ def ic_summary(panel: DataFrame, s: Ordered, window: int = 252, n_boot: int = 0,
     g = g.withColumn("turnover_adj_ic", F.when(F.col("ic") >= 0, F.col("ic") - cost).otherwise(F.col("ic") + cost))
     g = g.withColumn("is_significant", F.abs("ic_t_stat") > 1.96)
     base = [k for k in keys if k != "horizon"]
-    dec = spearman(panel, keys, min_samples).groupBy(*base).agg(F.sort_array(F.collect_list(F.struct("horizon", "ic"))).alias("_d"))
-    g = g.join(dec.select(*base, F.transform("_d", lambda x: x.ic).alias("ic_decay")), base, "left")
+    # one place for each horizon of the panel, 0 where a feature has no value for it
+    horizons = sorted(r[0] for r in panel.select("horizon").distinct().collect())
+    dec = spearman(panel, keys, min_samples).groupBy(*base).agg(F.map_from_entries(F.collect_list(F.struct("horizon", "ic"))).alias("_d"))
+    decay = F.array(*[F.coalesce(F.try_element_at("_d", F.lit(h)), F.lit(0.0)) for h in horizons])
+    g = g.join(dec.select(*base, decay.alias("ic_decay")), base, "left")
     if n_boot:
         pos = series.withColumn("pos", F.col("period"))
         g = g.join(block_interval(pos, keys, n_boot, seed), keys, "left")
@@ -433,7 +436,9 @@ def split_sharpes(returns: DataFrame, keys: Sequence[str], n_splits: int = 6, n_
     """In- and out-of-sample Sharpe per key and combination, from per-group sums only.
 
     ``pos`` numbers the rows of a key from 0. The last group takes the remainder; rows right after a test
-    group are embargoed. No row is repeated per combination. (The embargo must be shorter than a group.)"""
+    group are embargoed. No row is repeated per combination. The embargo must be shorter than a group."""
+    if embargo_pct * n_splits >= 1:
+        raise ValueError("the embargo reaches over a whole group")
     keys = list(keys)
     v = returns.withColumn("_x", F.col(value) - risk_free / ANNUAL**2)
     g = _group_sums(v, keys, n_splits, embargo_pct, "_x")
