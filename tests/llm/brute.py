@@ -103,7 +103,8 @@ def top_k(rows, k=5):
     out = []
     for q, a in ok:
         if q % 50 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))
+            far = (1 << 63) - 1  # scores are held at the ends of a long
+            s = sorted((-max(-far, min(far, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q and len(a) == len(b))
             out += [(q, r, i, -x) for r, (x, i) in enumerate(s[:k], 1)]
     return out
 

@@ -89,7 +89,7 @@ def estimate(level: np.ndarray) -> np.ndarray:
 def _bits(key: np.ndarray, level: np.ndarray | int, i: int, size: int) -> np.ndarray:
     salt = np.atleast_1d(np.asarray(level)).astype(np.uint64) + np.uint64(1)  # arrays wrap around without a warning
     x = common.mix(key + np.uint64(0x632BE59BD9B4E019) * salt)
-    step = (x >> np.uint64(31)) | np.uint64(1)
+    step = (x << np.uint64(32)) | (x >> np.uint64(32)) | np.uint64(1)
     return (((x + np.uint64(i) * step) >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
 
 

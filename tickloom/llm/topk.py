@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a query block and of a shard: a task holds one block and one shard, whatever the size of the tables.
 BLOCK, SHARD, FAN = 16_384, 8_192, 16
+#: Scores beyond this, about the range of a long, are held at it.
+FAR = (1 << 63) - 1
 
 
 def usable(vector: Column) -> Column:
@@ -51,15 +53,17 @@ def tile_lists(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarra
                 at = np.flatnonzero(row >= cut)
                 at = at[np.argsort(-row[at], kind="stable")[:k]]
             else:
+                row = [max(-FAR, min(FAR, int(x))) for x in row]
                 at = np.array(sorted(range(len(ids)), key=lambda j: (-row[j], j))[:k])
-            yield int(qid), ids[at].tolist(), [max(1 - (1 << 63), min((1 << 63) - 1, int(row[j]))) for j in at]
+            yield int(qid), ids[at].tolist(), [int(row[j]) for j in at]
 
 
 def top_k(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int = 5, scale: float = 256.0) -> DataFrame:
     """``query_id``, ``rank`` (from 1), the id and ``score`` of the k rows with the highest inner product, own id left out.
 
     Components become floor(scale * x). Rows without an id or with a null vector or component, a NaN or an infinity take
-    no part; vectors of different length have no product and are not compared. Ties go to the smaller id. An id that has
+    no part; vectors of different length have no product and are not compared. Scores beyond the range of a long are held at its
+    ends. Ties go to the smaller id. An id that has
     several rows counts with each of them; a query with fewer than k others gets fewer ranks, and an empty table none.
 
     Every query meets every row, by tiles: queries are cut into blocks, rows into shards, and each (block, shard) is one
