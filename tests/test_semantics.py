@@ -151,39 +151,52 @@ def test_stream_equals_batch(spark):
     from tickloom.operators import orderflow as O
     from tickloom.streaming import jobs as J
 
-    s = J.drain(J.microstructure_stream(streams._stream(spark, SF))).toPandas().sort_values("seq").set_index("seq")
+    play = J.Replay(spark)
+    s = play.drain(J.microstructure_stream(streams._stream(spark, SF, play))).toPandas().sort_values("seq").set_index("seq")
     b = O.recent_microstructure(V.ticks(spark, SF)).toPandas().sort_values("seq").set_index("seq")
     cols = ["ofi", "cvd", "kyle_lambda", "spread_bps", "trade_intensity"]
+    assert s["absorption"].astype(bool).equals(b["absorption"])
     np.testing.assert_allclose(s[cols].to_numpy(), b[cols].to_numpy(), rtol=1e-7, atol=1e-9)
 
 
-def test_breaker_state_machine(spark):
-    from tickloom.streaming import jobs as J
-
-    p = J.Breaker(30)
-
-    class H:
-        v = None
-
-        def getValueState(self, *_):
-            return self
+def test_breaker_state_machine():
+    import pandas as pd
 
-        def exists(self):
-            return self.v is not None
+    from tickloom.streaming import jobs as J
 
-        def get(self):
-            return self.v
+    minute = 60_000_000
+    rows = pd.DataFrame({"us": [m * minute for m in (0, 1, 5, 31, 32, 65)], "seq": range(6), "trigger": [None, "vix_spike", None, None, None, None], "pnl": [np.nan, np.nan, np.nan, -1.0, np.nan, 2.0]})
+    for cut in range(7):  # in one go or in two
+        state, parts = None, []
+        for part in (rows[:cut], rows[cut:]):
+            if len(part):
+                state, out = J._breaker(30 * minute)(state, part.reset_index(drop=True))
+                parts.append(out)
+        out = pd.concat(parts)
+        assert out["status"].tolist() == ["CLOSED", "OPEN", "OPEN", "OPEN", "OPEN", "CLOSED"]
+        assert out["allowed"].tolist() == [True, False, False, True, False, True]
 
-        def update(self, v):
-            self.v = v
 
+def test_buckets_close_where_a_loop_over_ticks_closes_them():
     import pandas as pd
 
-    p.init(H())
-    t0 = pd.Timestamp("2024-01-01")
-    rows = pd.DataFrame(
-        {"timestamp": [t0 + pd.Timedelta(minutes=m) for m in (0, 1, 5, 31, 32, 65)], "seq": range(6), "trigger": [None, "vix_spike", None, None, None, None], "pnl": [np.nan, np.nan, np.nan, -1.0, np.nan, 2.0]}
-    )
-    out = next(iter(p.handleInputRows(("a",), iter([rows]), None)))
-    assert out["status"].tolist() == ["CLOSED", "OPEN", "OPEN", "OPEN", "OPEN", "CLOSED"]
-    assert out["allowed"].tolist() == [True, False, False, True, False, True]
+    from tickloom.streaming import jobs as J
+
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"us": np.arange(400), "seq": np.arange(400), "quantity": rng.integers(1, 60, 400).astype(float), "share": rng.choice([0.0, 0.4, 0.6, 1.0], 400)})
+    rows.loc[50, "quantity"] = 900.0  # several buckets at once: one closes with each tick
+    buy = sell = 0.0
+    want = []
+    for us, q, share in zip(rows["us"], rows["quantity"], rows["share"]):
+        buy, sell = buy + q * share, sell + q * (1 - share)
+        if buy + sell >= 200:
+            rest = (buy + sell - 200) / (buy + sell)
+            want.append((us, buy * (1 - rest), sell * (1 - rest)))
+            buy, sell = buy * rest, sell * rest
+    state, parts = None, []
+    for part in (rows[:33], rows[33:210], rows[210:]):
+        state, out = J._buckets(200.0, 5)(state, part.reset_index(drop=True))
+        parts.append(out)
+    out = pd.concat(parts)
+    assert out["us"].tolist() == [w[0] for w in want] and out["bucket"].tolist() == list(range(len(want)))
+    np.testing.assert_allclose(out[["buy_volume", "sell_volume"]].to_numpy(float), np.array([w[1:] for w in want]), rtol=1e-9)
