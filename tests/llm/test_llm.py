@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import bloomlm, components, curvepack, feistel, mixture, pagediff, refine, rules, simhash, tokenfile, tokens, topk
 
+SMALLEST = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i * 7919 % 100003}" for i in range(9000))
 
 
@@ -360,18 +361,17 @@ def test_sharding(spark, rows):
 
 def test_pipeline_on_the_smallest_table(spark):
     import corpus_pipeline
-    from conftest import SF
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{SMALLEST}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, kept, SF)
+        out = stage(spark, kept, SMALLEST)
         assert out.columns == docs.columns, name
         n, before = out.count(), kept.count()
         assert 0 < n <= before, name
         kept = corpus_pipeline.common.written(out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeats", "mixing", "packing"]
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+    packed = corpus_pipeline.STAGES[-1][1](spark, kept, SMALLEST)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
     want = brute.repeats([(r.doc_id, r.text) for r in kept.collect()])
     assert all(x[1] == 0 or x[0] > 0 for x in want.values())
