@@ -222,6 +222,18 @@ def test_page_text(spark):
     assert pagediff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_lines_in_an_article_go(spark):
+    """Adverts and notices without a telling class; a quote of two neighbours and an article under several URLs stay."""
+    story = lambda i: " ".join(f"s{i}w{k}" for k in range(30))
+    body = "<body><article><h1>Title {0}</h1><p>Buy our kettle today</p><p>{1}</p>{2}<p>Tell your friends</p></article></body>"
+    rows = [(i, f"http://a.org/x/{i:02d}", body.format(i, story(i), "<p>A famous quote</p>" if i in (4, 5) else "")) for i in range(12)]
+    rows += [(50 + i, f"http://b.org/{i}", f"<main><p>{story(99)}</p><p>Copy {i}</p></main>") for i in range(3)]
+    out = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), sample=3).collect()}
+    for i in range(12):
+        assert out[i].split("\n\n") == [f"Title {i}", story(i), *(["A famous quote"] if i in (4, 5) else [])]
+    assert all(out[50 + i] == f"{story(99)}\n\nCopy {i}" for i in range(3))
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     def length(a, b):
         row = [0] * (len(b) + 1)

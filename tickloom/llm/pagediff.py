@@ -34,6 +34,8 @@ CHROME_WORDS = re.compile(
 )
 #: Elements that hold the article; a heading block inside stays even where it is called a header.
 ROOTS = frozenset(("article", "main"))
+#: Articles that share so much of their characters are copies of each other.
+COPY = 0.75
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that a new one of these closes, as far as the nearest of the second set.
@@ -168,17 +170,28 @@ def _back(b: list[int], x: int, before: int, length: int, j: int) -> int:
     raise AssertionError
 
 
+def _size(page: list[tuple[str, int]]) -> int:
+    """Characters inside an article."""
+    return sum(len(x) for x, mark in page if mark == 1)
+
+
 def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
     """Lines of the page without those it shares, in order, with two line ends between.
 
-    What a longest common subsequence with a neighbour holds is deleted as template. Lines inside an article come back,
-    since two articles may quote the same text; of the lines that differ, those in chrome go, and on a page with an article
-    those outside of it."""
+    What a longest common subsequence with a neighbour holds is deleted as template. Inside an article a shared line comes
+    back as quoted only if a neighbour speaks for that: the article on the other side lacks the line, or each one that holds
+    it is nearly the same (:data:`COPY` of the characters of the longer one), so that nothing can be told from it.
+    Of the lines that differ, those in chrome go, and on a page with an article those outside of it."""
     number: dict[tuple[str, int], int] = {}
     own = [number.setdefault(x, len(number)) for x in page]
-    gone = {i for other in neighbours for i in shared(own, [number.setdefault(x, len(number)) for x in other])}
-    wanted = 1 if any(mark == 1 for _, mark in page) else 0
-    return "\n\n".join(x for i, (x, mark) in enumerate(page) if mark == wanted and (i not in gone or mark == 1))
+    held = [set(shared(own, [number.setdefault(x, len(number)) for x in other])) for other in neighbours]
+    gone = set().union(*held)
+    if not any(mark == 1 for _, mark in page):
+        return "\n\n".join(x for i, (x, mark) in enumerate(page) if mark == 0 and i not in gone)
+    size = _size(page)
+    telling = [h for h, other in zip(held, neighbours) if 0 < (n := _size(other)) and _size([page[i] for i in h]) < COPY * max(size, n)]
+    gone = set.intersection(*telling) if telling else set()
+    return "\n\n".join(x for i, (x, mark) in enumerate(page) if mark == 1 and i not in gone)
 
 
 def _order_key(url: pd.Series) -> pd.DataFrame:
