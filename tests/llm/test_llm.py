@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import bloomlm, components, curvepack, feistel, mixture, pagediff, refine, rules, simhash, tokenfile, tokens, topk
+from tickloom.llm import bloomlm, components, curvepack, feistel, minhash, mixture, pagediff, refine, rules, simhash, tokenfile, tokens, topk
 
 SMALLEST = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i * 7919 % 100003}" for i in range(9000))
@@ -101,6 +101,45 @@ def test_links_of_a_wide_radius(spark):
     assert same >= 0.93 * len(signed)  # a star of twenty copies each up to six bits away is the hard case
 
 
+def test_near_duplicate_stage_against_all_pairs(spark, monkeypatch):
+    """Stars of copies with a few changed words, similarities around 0.8: the kept ids equal those of comparing every pair."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rnd = random.Random(6)
+    docs = []
+    for _ in range(12):
+        base = [f"v{rnd.randrange(3000)}" for _ in range(200)]
+        for c in range(20):
+            w = list(base)
+            for at in rnd.sample(range(200), c % 8):
+                w[at] = f"new{rnd.randrange(10**6)}"
+            docs.append(" ".join(w))
+    docs += [docs[0], docs[0].upper(), "one", "", " ", "two words"]
+    rnd.shuffle(docs)
+    sets = [minhash.shingles(t, 5) for t in docs]
+    root = list(range(len(docs)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if both >= 0.8 * (len(a) + len(b) - both):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    want = {top(i) for i in range(len(docs))}
+    assert 20 < len(want) < 150
+    df = spark.createDataFrame([*enumerate(docs), (None, docs[3])], "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, df, SMALLEST)
+    assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == sorted(want)
+    assert out.where("doc_id is null").count() == 1
+    assert minhash.kept_ids(empty(spark)).count() == 0
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
     out = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
