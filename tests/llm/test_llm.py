@@ -313,6 +313,22 @@ def test_mixing_meets_targets(spark):
     assert {r.rate for r in mixture.rates(df, labels.where("false")).collect()} == {1.0}
 
 
+def test_mixing_stage_keeps_clean_documents(spark, tmp_path):
+    """Clean documents use a few rude words, toxic ones many: posteriors are soft. Counted on documents without a label, too."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    good, bad, rude = ([f"{p}{chr(97 + i % 20)}{chr(97 + i // 20)}" for i in range(40)] for p in ("good", "poor", "rude"))  # words are letters
+    say = lambda own, share: " ".join(rnd.choice(rude if rnd.random() < share else own) for _ in range(40))
+    docs = [(i, say((good, bad, good)[i % 3], 0.7 if i % 3 == 2 else rnd.uniform(0, 0.45))) for i in range(1200)]
+    spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(0, 1200, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.mixing(spark, frame(spark, docs), str(tmp_path)).collect()}
+    for odd in (0, 1):  # labelled, not labelled
+        clean, toxic = ([i for i in range(odd, 1200, 2) if (i % 3 == 2) == t] for t in (False, True))
+        assert sum(i in kept for i in clean) >= 0.95 * len(clean)
+        assert sum(i in kept for i in toxic) <= 0.1 * len(toxic)
+
+
 def test_steps_solve_least_squares(spark):
     rnd = np.random.default_rng(0)
     p = rnd.dirichlet([0.5, 0.5, 0.2], 300)

@@ -102,17 +102,26 @@ def natural(rows: DataFrame) -> list[float]:
     return [x or 0.0 for x in rows.agg(*[F.sum(F.col("tokens") * F.element_at("p", i + 1)) for i in range(len(DOMAINS))]).first()]
 
 
+def without_toxic(rows: DataFrame) -> list[float]:
+    """Good and poor tokens as they are; of toxic ones what the posteriors of documents imply that are likelier not toxic.
+
+    A target of zero can't be met while clean documents have any toxic posterior, and would push down all of them."""
+    clean = F.element_at("p", 3) < F.greatest(F.element_at("p", 1), F.element_at("p", 2))
+    floor = rows.where(clean).agg(F.sum(F.col("tokens") * F.element_at("p", 3))).first()[0]
+    return [*natural(rows)[:2], floor or 0.0]
+
+
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """``doc_id``, ``h`` (hash of doc_id and text), ``tokens``, ``p``, ``rate`` and ``copies`` (long) of every document.
 
     ``weights`` are shares of the tokens of the table that each domain shall have; by default good and poor stay as they are
-    and toxic tokens go. ``rate`` is how often a document is to be seen on average; ``copies`` is that number rounded up or
+    and toxic tokens go as far as they can (:func:`without_toxic`). ``rate`` is how often a document is to be seen on average; ``copies`` is that number rounded up or
     down by a hash of doc_id, so the expected totals meet the targets as well as the rates do. A null or empty text has no
     tokens. Equal rows get equal answers; an empty table gives none. Other columns are not used."""
     key = F.xxhash64("doc_id", "text")
     small = common.written(posteriors(docs.select("doc_id", "text", key.alias("h")), fit(docs, labels)).select("doc_id", "h", "tokens", "p"))
-    now = natural(small)
-    goal = [sum(now) * weights.get(d, 0.0) for d in DOMAINS] if weights else [now[0], now[1], 0.0]
+    total = sum(natural(small))
+    goal = [total * weights.get(d, 0.0) for d in DOMAINS] if weights else without_toxic(small)
     steps, _ = solve(small, goal)
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return small.withColumn("rate", rate_column(steps)).withColumn("copies", F.floor(F.col("rate") + u))
