@@ -342,6 +342,26 @@ def test_steps_solve_least_squares(spark):
     assert (rates >= 0).all() and np.allclose((t[:, None] * p * rates[:, None]).sum(0), reached)
 
 
+def test_steps_at_a_target_on_the_border(spark):
+    """No toxic tokens wanted where every row has some: as good as a long run of an accelerated gradient over all rates."""
+    rnd = np.random.default_rng(3)
+    p = rnd.dirichlet([2.0, 0.6, 0.3], 400) * 0.97 + 0.01
+    t = rnd.integers(10, 500, 400)
+    a = (t[:, None] * p).T
+    goal = np.array([0.85, 0.15, 0.0]) * t.sum()
+    weight = np.linalg.inv(a @ p)
+    loss = lambda r: float((a @ r - goal) @ weight @ (a @ r - goal)) / t.sum()
+    r, y, m = np.ones(400), np.ones(400), 1.0
+    for _ in range(40_000):
+        new = np.maximum(0, y - p @ (weight @ (a @ y - goal)))
+        n = (1 + (1 + 4 * m * m) ** 0.5) / 2
+        r, y, m = new, new + (m - 1) / n * (new - r), n
+    rows = spark.createDataFrame([(int(x), b.tolist()) for x, b in zip(t, p)], "tokens long, p array<double>")
+    steps, reached = mixture.solve(rows, goal.tolist())
+    found = np.array([x[0] for x in rows.select(mixture.rate_column(steps)).collect()])
+    assert np.allclose(a @ found, reached) and loss(found) <= loss(r) * 1.02 + 1e-5
+
+
 @pytest.fixture(scope="module")
 def ids(rows):
     from tokenizers import Tokenizer

@@ -15,7 +15,9 @@ from . import common
 
 #: Domains of the labelled table, in order: toxic ones whatever their quality, else by quality.
 DOMAINS = ("good", "poor", "toxic")
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
+#: Weight of the rates' distance from 1 beside the residual.
+EPSILON = 1e-6
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -41,7 +43,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> LogisticReg
         return None
     # a row without words for each domain keeps the classes at three where the sample lacks one
     empty = _features(docs.sparkSession.createDataFrame([("", float(i)) for i in range(len(DOMAINS))], "text string, _qy double").coalesce(1)).select("_qx", "_qy")
-    return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=25, standardization=False, featuresCol="_qx", labelCol="_qy", probabilityCol="_qp", rawPredictionCol="_qr", predictionCol="_qc").fit(rows.union(empty))
+    return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, standardization=False, featuresCol="_qx", labelCol="_qy", probabilityCol="_qp", rawPredictionCol="_qr", predictionCol="_qc").fit(rows.union(empty))
 
 
 def posteriors(docs: DataFrame, model: LogisticRegressionModel | None) -> DataFrame:
@@ -66,35 +68,54 @@ def rate_column(steps: list[list[float]]) -> Column:
     return F.aggregate(all_steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - _dot(F.col("p"), g)))
 
 
-def solve(rows: DataFrame, targets: list[float], tolerance: float = 1e-4, rounds: int = 40) -> tuple[list[list[float]], list[float]]:
-    """Steps of projected gradient descent for min |A r - targets|, r >= 0, where A has tokens * p of each row of ``rows``.
+def solve(rows: DataFrame, targets: list[float], tolerance: float = 1e-6, rounds: int = 60) -> tuple[list[list[float]], list[float]]:
+    """Rates r >= 0 for min |A r - targets|, where A has tokens * p of each row of ``rows``; of the best ones those nearest to 1.
 
-    The unknowns, one for each document, never leave the table. A step is the same short vector for all of them, and a rate
-    is what the steps make of a row's posteriors, so a round is one sum over the table and only domain totals come back.
-    Residuals are weighed by the inverse of the Gram matrix of A (tokens as the metric of the rates), which makes 1 a safe
-    step length and takes one round where no rate meets 0. Ends when totals are off by less than ``tolerance`` of the sum of
-    targets, or a round gains less than a hundredth. Returns the steps and the totals reached."""
+    The unknowns, one for each document, never leave the table. Residuals are weighed by the inverse of the Gram matrix G of A
+    (tokens as the metric of the rates), and EPSILON times the squared distance from 1 is added. Then the best rates are
+    max(0, 1 - p . x) with a number x for each domain, and x is the least of a convex function of as many unknowns:
+    sum tokens * rate^2 / 2 + x . targets + EPSILON * x G x / 2. Newton's steps, halved until it falls, find it; a round is one
+    sum over the table and only domain totals and products come back. Its slope, A r - targets - EPSILON * G x, is the
+    condition for the best: the search ends when no domain's is over ``tolerance`` of the sum of targets, or when rounding
+    lets nothing fall. Returns x as one step (none if 1 is the answer) and the totals reached."""
     k = len(targets)
     p = [F.element_at("p", i + 1) for i in range(k)]
-    sums = [F.sum(F.col("tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]
-    gram = np.array([x or 0.0 for x in rows.agg(*sums).first()]).reshape(k, k)
-    weight = np.linalg.pinv(gram + 1e-9 * (np.trace(gram) / k or 1.0) * np.eye(k))
     goal, scale = np.array(targets, float), max(sum(targets), 1.0)
-    steps: list[list[float]] = []
-    best = (np.inf, [], np.zeros(k))
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Half of the sum of tokens * rate^2, domain totals, and products of the rows that have a rate."""
+        rated = rows.withColumn("rate", rate_column([x.tolist()]))
+        live = F.when(F.col("rate") > 0, F.col("tokens"))
+        sums = [F.sum(F.col("tokens") * F.col("rate") * F.col("rate") / 2), *[F.sum(F.col("tokens") * y * F.col("rate")) for y in p], *[F.sum(live * p[i] * p[j]) for i, j in upper]]
+        half, *rest = [y or 0.0 for y in rated.agg(*sums).first()]
+        products = np.zeros((k, k))
+        for (i, j), y in zip(upper, rest[k:]):
+            products[i, j] = products[j, i] = y
+        return half, np.array(rest[:k]), products
+
+    x = np.zeros(k)
+    half, totals, products = at(x)
+    ridge = EPSILON * products
+    live = np.flatnonzero(np.diag(products) > 1e-12 * np.trace(products))  # a domain that no row has can't be met
+    value = half
     for _ in range(rounds):
-        rated = rows.withColumn("rate", rate_column(steps))
-        totals = np.array([x or 0.0 for x in rated.agg(*[F.sum(F.col("tokens") * x * F.col("rate")) for x in p]).first()])
-        gap = totals - goal
-        loss = float(gap @ weight @ gap)
-        if loss < best[0] * (1 - 1e-2):
-            best = (loss, list(steps), totals)
-        elif steps:
+        slope = (goal - totals + ridge @ x)[live]
+        if not len(live) or np.abs(slope).max() <= tolerance * scale:
             break
-        if np.abs(gap).max() <= tolerance * scale:
+        step = np.zeros(k)
+        step[live] = np.linalg.lstsq((products + ridge)[np.ix_(live, live)], -slope, rcond=None)[0]
+        while True:
+            tried = x + step
+            half, now, found = at(tried)
+            new = half + goal @ tried + tried @ ridge @ tried / 2
+            if new < value or np.abs(step).max() <= 1e-9 * max(1.0, np.abs(x).max()):
+                break
+            step /= 2
+        if new >= value:
             break
-        steps.append((weight @ gap).tolist())
-    return best[1], best[2].tolist()
+        x, value, totals, products = tried, new, now, found
+    return ([x.tolist()] if x.any() else []), totals.tolist()
 
 
 def natural(rows: DataFrame) -> list[float]:
