@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, common, curvepack, feistel, mixture, pagediff, refine, rules, simhash, squares, tokenfile, topk
+from . import bloomlm, common, curvepack, feistel, licenses, mixture, pagediff, refine, rules, simhash, squares, tokenfile, topk
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,13 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
         F.expr("(1000 * best.length) div (-best.q)").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_licenses")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"), joined(F.concat("places.label", "detections.label")).alias("labels"), "score", F.size("detections").cast("long").alias("n_detections"),
+    )
