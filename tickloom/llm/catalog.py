@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, common, curvepack, feistel, licenses, mixture, pagediff, refine, rules, simhash, squares, tokenfile, topk
+from . import bloomlm, collocations, common, curvepack, feistel, licenses, mixture, pagediff, refine, rules, simhash, squares, tokenfile, topk
 from .tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,35 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
         joined(F.col("places.label")).alias("base_labels"), joined(F.concat("places.label", "detections.label")).alias("labels"), "score", F.size("detections").cast("long").alias("n_detections"),
     )
+
+
+@query(
+    "op11_phrases",
+    r"""
+    WITH d AS (
+        SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+        FROM documents
+    ), p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)
+    ), t AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p
+    ), g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM t, (VALUES (1), (2), (3), (4)) AS s(m) WHERE i + m - 1 <= len(w)
+    ), f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL
+    ), n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+    ), c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE m > 1 AND a >= 30
+    ), k AS (SELECT *, unnest(range(1, m)) AS cut FROM c
+    ), s AS (
+        SELECT k.lang, k.phrase, k.a, cut, x.a AS l, y.a AS r, ((2000000::HUGEINT * k.a) // (x.a + y.a))::BIGINT AS score
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[: cut], ' ') AND x.m = cut
+        JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[cut + 1 :], ' ') AND y.m = k.m - cut
+    ), b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM s
+    ), h AS (
+        SELECT lang, array_to_string(w[i : i + z - 1], ' ') AS phrase, max(a) AS above
+        FROM (SELECT lang, w, a, m, unnest(range(1, m)) AS i FROM c WHERE m > 2), (VALUES (2), (3)) AS q(z) WHERE z < m AND i + z - 1 <= m GROUP BY ALL
+    ), v AS (
+        SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+        FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE o = 1 AND (above IS NULL OR 100 * above < 80 * a)
+    )
+    SELECT v.lang, rank, phrase, a, l, r, n, score, cut FROM v JOIN n ON n.lang = v.lang WHERE rank <= 2000
+    """,
+)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"), least=30, longest=4, keep=2000, share=80)
