@@ -100,7 +100,7 @@ def test_products_beyond_64_bits(spark):
 
 def test_tiles():
     rnd = np.random.default_rng(0)
-    u, v = (rnd.integers(0, 1 << rnd.integers(1, 40, 3000)) for _ in "uv")
+    u, v = (rnd.integers(0, 1 << rnd.integers(1, 31, 3000)) for _ in "uv")
     for slots in (1, 7):
         tile, cell = collocations.tile_of(u, v, slots)
         assert len(set(zip(tile.tolist(), cell.tolist()))) == len(set(zip(u.tolist(), v.tolist())))
@@ -109,3 +109,5 @@ def test_tiles():
             assert cell[own].max() < collocations.tile_cells(t, slots)
             x, y = collocations.tile_pairs(t, cell[own], slots)
             assert (x == u[own]).all() and (y == v[own]).all()
+    with pytest.raises(OverflowError):
+        collocations.tile_of(u << 20, v << 20, 1)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens that share one dictionary; a longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Ranks of the first band; every further band is as wide as all before it.
 RANKS = 1 << 10
 #: A tile of at most so many cells is a dense array, a larger one a sorted list of cells.
@@ -95,6 +95,8 @@ def band_edge(b):
 
 def tile_of(u: np.ndarray, v: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Tile of each pair of ranks (bands of both, then the slot of the first) and its cell there."""
+    if len(u) and (int(u.max()) // slots + 1) * 2 * (int(v.max()) + 1) >= 1 << 62:
+        raise OverflowError("ranks too large for cells of 64 bits: set more shuffle partitions")
     bu, bv = band(u), band(v)
     (lo_u, _), (lo_v, wide) = band_edge(bu), band_edge(bv)
     row = u - lo_u
@@ -131,11 +133,11 @@ def tally(u: np.ndarray, v: np.ndarray, local: np.ndarray) -> tuple[np.ndarray,
 
 def count_chunks(rows: DataFrame, slots: int, last: bool) -> DataFrame:
     """Counts of neighbouring names in each chunk, one row for each tile that has any: ``tile``, ``chunk``, ``cells`` (differences
-    of the rising cells), ``counts`` and ``at`` (numbers of the pairs in the chunk). Unless this is the ``last`` level, a row of
+    of the rising cells), ``counts`` and ``at`` (number in the chunk of the first of these pairs; the others follow). Unless this is the ``last`` level, a row of
     tile -1 holds the chunk's ``stream`` of pair numbers. ``rows`` hold a stream, or numbers ``at`` of it and their names ``id``."""
     ordered = rows.repartition(common.n_parts(rows.sparkSession), "chunk").sortWithinPartitions("chunk", F.col("stream").isNull())
     names = ["tile", "chunk", "cells", "counts", "at", "stream"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
     def counted(chunk: int, stream: np.ndarray, at: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         size = int(stream.max(initial=-1)) + 1
@@ -150,10 +152,12 @@ def count_chunks(rows: DataFrame, slots: int, last: bool) -> DataFrame:
         edges = [*np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]).tolist(), len(tile)] if len(tile) else []
         out = []
         for s, e in zip(edges, edges[1:]):
-            out.append((int(tile[s]), chunk, np.diff(cell[s:e], prepend=0).tobytes(), many[s:e].astype(np.int32).tobytes(), None if last else order[s:e].astype(np.int32).tobytes(), None))
+            out.append((int(tile[s]), chunk, np.diff(cell[s:e], prepend=0).tobytes(), many[s:e].astype(np.int32).tobytes(), s, None))
         if not last and len(tile):
+            turned = np.empty(len(order), np.int32)
+            turned[order] = np.arange(len(order), dtype=np.int32)
             new = np.full(len(stream), -1, np.int32)
-            new[where] = number
+            new[where] = turned[number]
             out.append((-1, chunk, None, None, None, new.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], k) for c, k in enumerate(kinds)], names)
 
@@ -172,7 +176,7 @@ def count_chunks(rows: DataFrame, slots: int, last: bool) -> DataFrame:
         if at:
             yield counted(now, stream, at, ids)
 
-    return common.written(ordered.mapInArrow(run, "tile long, chunk long, cells binary, counts binary, at binary, stream binary"))
+    return common.written(ordered.mapInArrow(run, "tile long, chunk long, cells binary, counts binary, at long, stream binary"))
 
 
 def frequent_pairs(counted: DataFrame, slots: int, least: int) -> DataFrame:
@@ -229,7 +233,7 @@ def frequent_pairs(counted: DataFrame, slots: int, least: int) -> DataFrame:
 def renamed(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     """The chunks with frequent pairs for words: rows (``chunk``, ``stream``), and rows (``chunk``, ``at``, ``id``) that name the pairs of
     a chunk. In a tile the frequent pairs come first and the chunks pass behind them, so neither side is copied."""
-    known = pairs.selectExpr("tile", "-1L AS chunk", "cell", "id", "CAST(NULL AS BINARY) AS cells", "CAST(NULL AS BINARY) AS at")
+    known = pairs.selectExpr("tile", "-1L AS chunk", "cell", "id", "CAST(NULL AS BINARY) AS cells", "CAST(NULL AS BIGINT) AS at")
     asked = counted.where("tile >= 0").selectExpr("tile", "chunk", "CAST(NULL AS BIGINT) AS cell", "CAST(NULL AS BIGINT) AS id", "cells", "at")
     both = known.unionByName(asked).repartition(common.n_parts(counted.sparkSession), "tile").sortWithinPartitions("tile", "chunk", "cell")
 
@@ -237,7 +241,7 @@ def renamed(counted: DataFrame, pairs: DataFrame) -> DataFrame:
         now, cells, ids = None, [], []
         for batch in batches:
             tile, chunk = (batch.column(c).to_numpy() for c in ("tile", "chunk"))
-            cell, name = (batch.column(c).fill_null(-1).to_numpy() for c in ("cell", "id"))
+            cell, name, at = (batch.column(c).fill_null(-1).to_numpy() for c in ("cell", "id", "at"))
             turns = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]) | ((chunk[1:] < 0) != (chunk[:-1] < 0))])
             out: list[list] = [[], [], []]
             for s, e in zip(turns.tolist(), [*turns[1:].tolist(), len(tile)] if len(tile) else []):
@@ -257,7 +261,7 @@ def renamed(counted: DataFrame, pairs: DataFrame) -> DataFrame:
                     hit = all_cells[place] == own
                     if hit.any():
                         out[0].append(int(chunk[i]))
-                        out[1].append(np.frombuffer(batch.column("at")[i].as_py(), np.int32)[hit])
+                        out[1].append((at[i] + np.flatnonzero(hit)).astype(np.int32))
                         out[2].append(all_ids[place[hit]])
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["chunk", "at", "id"])
