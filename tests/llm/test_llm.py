@@ -462,3 +462,49 @@ def test_pipeline_on_the_smallest_table(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
     want = brute.repeats([(r.doc_id, r.text) for r in kept.collect()])
     assert all(x[1] == 0 or x[0] > 0 for x in want.values())
+
+
+def test_no_pairs_of_unlike_rows_leave_a_tile(spark, monkeypatch):
+    """600 texts that all share half of their words (similarity about 0.7, so bands meet but nothing links), and a chain of near
+    copies among them: the kept ids equal those of all pairs, and no step of the plan makes rows by the square."""
+    rnd = random.Random(21)
+    base = [f"b{i}" for i in range(200)]
+    docs = []
+    for i in range(600):
+        w = list(base)
+        for at in rnd.sample(range(40), 8):  # clustered changes: similarity about 0.7 between most
+            w[at * 5] = f"c{i}x{at}"
+        docs.append(" ".join(w))
+    for i in range(0, 60, 2):
+        docs.append(docs[i].replace(" b199", f" tail{i}"))
+    sets = [set(minhash.shingles(t, 5).tolist()) for t in docs]
+    root = list(range(len(docs)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    want = {top(i) for i in range(len(docs))}
+    made = []
+    real = minhash._other_links
+    monkeypatch.setattr(minhash, "_other_links", lambda *a: made.append(minhash.common.written(real(*a))) or made[-1])
+    kept = {r.doc_id for r in minhash.kept_ids(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert kept == want and len(want) > 300
+    assert made[0].count() <= len(docs) * minhash.BANDS / 4
+
+
+def test_ranges_of_the_curve_hold_like_token_totals(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(1 << 60), 20_000 if i % 97 == 0 else rnd.randrange(1, 400)) for i in range(4000)]
+    cuts, totals = curvepack.token_ranges(spark.createDataFrame(rows, "place long, n_tokens long"), 8)
+    want = [0] * (len(cuts) + 1)
+    for place, n in rows:
+        want[int(np.searchsorted(cuts, place, side="right"))] += n
+    assert [totals[p] for p in range(len(want))] == want and max(want) < 1.35 * sum(want) / 8
+    assert curvepack.token_ranges(spark.createDataFrame([], "place long, n_tokens long"), 8)[1] == {0: 0}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder
 
-DIMS, DEPTH, BUCKETS = 3, 15, 1024
+DIMS, DEPTH, BUCKETS, FINE = 3, 15, 1024, 16
 
 
 def hilbert_key(points: np.ndarray, depth: int) -> np.ndarray:
@@ -49,11 +49,20 @@ class Projector:
         self.axes = np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
         self.bucket = (common.mix(np.arange(1 << 17, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
 
-    def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(docs), DIMS))
-        for i, ids in enumerate(docs):
-            v = np.log1p(np.bincount(self.bucket[ids & 0x1FFFF], minlength=BUCKETS))
-            out[i] = v @ self.axes / max(np.sqrt(v @ v), 1e-12)
+    def __call__(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Points of all documents of a batch: ``ids`` one after another, ``ends`` of each document there."""
+        n = len(ends)
+        owner = np.repeat(np.arange(n, dtype=np.int64) * BUCKETS, np.diff(ends, prepend=0))
+        many = np.bincount(owner + self.bucket[ids.astype(np.int32) & 0x1FFFF], minlength=n * BUCKETS)
+        cell = np.flatnonzero(many)
+        value = np.log1p(many[cell])
+        rows = np.searchsorted(cell, np.arange(n + 1, dtype=np.int64) * BUCKETS)
+        parts = np.zeros((len(cell) + 1, DIMS + 1))
+        parts[1:, :DIMS] = self.axes[cell % BUCKETS] * value[:, None]
+        parts[1:, DIMS] = value * value
+        run = np.cumsum(parts, axis=0)
+        total = run[rows[1:]] - run[rows[:-1]]
+        out = total[:, :DIMS] / np.sqrt(np.maximum(total[:, DIMS:], 1e-12))
         return np.clip((out + 3) / 6 * (1 << DEPTH), 0, (1 << DEPTH) - 1).astype(np.int64)
 
 
@@ -69,16 +78,32 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                raw = [x + end for x in enc.encode(batch.column("text").to_pylist())]
-                docs_ids = [np.frombuffer(x, enc.kind) for x in raw]
-                key = hilbert_key(project([x[:-1].astype(np.int64) for x in docs_ids]), DEPTH)
+                plain = enc.encode(batch.column("text").to_pylist())
+                n = np.array([len(x) // enc.kind.itemsize for x in plain], np.int64)
+                key = hilbert_key(project(np.frombuffer(b"".join(plain), enc.kind), np.cumsum(n)), DEPTH)
                 place = (key << 18) | (batch.column("h").to_numpy() & ((1 << 18) - 1))
-                n = np.array([len(x) for x in docs_ids], np.int64)
+                raw = [x + end for x in plain]
+                n += 1
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(place), pa.array(n), pa.array(raw, pa.binary())], ["doc_id", "place", "n_tokens", "ids"])
 
     return common.written(rows.mapInArrow(encode, "doc_id long, place long, n_tokens long, ids binary"))
 
 
+def token_ranges(table: DataFrame, parts: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Cuts of the curve into ranges of like token totals, and these totals. Finer ranges of like row counts are joined until each
+    has its share of tokens; their totals, FINE numbers for each range, pass the driver."""
+    fine = common.cut_points(table, F.col("place"), parts * FINE)
+    totals = table.select(common.part_of(F.col("place"), fine).alias("part"), "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sizes = np.zeros(len(fine) + 1, np.int64)
+    for part, n in totals.collect():
+        sizes[part] = n
+    middle = np.cumsum(sizes) - sizes // 2
+    owner = np.minimum(middle * parts // max(int(sizes.sum()), 1), parts - 1)
+    turns = np.flatnonzero(owner[1:] != owner[:-1])
+    cuts = fine[turns]
+    return cuts, {p: int(x.sum()) for p, x in enumerate(np.split(sizes, turns + 1))}
+
+
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens, one row for each piece:
     ``doc_id``, ``start`` and ``doc_tokens`` in its document, ``sequence_id``, ``offset`` and ``length`` in its sequence, ``ids``
@@ -92,9 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1) -
     spark = docs.sparkSession
     table = token_table(docs, tokenizer, end_id)
     key = F.col("place")
-    cuts = common.cut_points(table, key, common.n_parts(spark))
-    totals = table.select(common.part_of(key, cuts).alias("part"), "n_tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    rows = {r[0]: r[1] for r in totals.collect()}
+    cuts, rows = token_ranges(table, common.n_parts(spark))
     first, total = {}, 0
     for p in sorted(rows):
         first[p], total = total, total + rows[p]
