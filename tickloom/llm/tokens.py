@@ -34,24 +34,29 @@ class Encoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, known: dict, words: set[str], lead: str) -> None:
-        new = [w for w in words - known.keys()]
-        plain = []
-        for w in new:
-            if not w or w[0].isspace() or w[-1].isspace():
-                known[w] = None
-            elif "<|" in w or len(w) > 200 or len(w.split()) > 1 or not lead:
-                known[w] = self.raw(lead + w)
-            else:
-                plain.append(w)
+        new = words - known.keys()
+        if not new:
+            return
+        whole = "x".join(new)
+        if lead and "" not in new and "<|" not in whole and len(whole.split()) == 1 and not whole[0].isspace() and not whole[-1].isspace() and max(map(len, new)) <= 200:
+            plain = list(new)
+        else:
+            plain = []
+            for w in new:
+                if not w or w[0].isspace() or w[-1].isspace():
+                    known[w] = None
+                elif "<|" in w or len(w) > 200 or len(w.split()) > 1 or not lead:
+                    known[w] = self.raw(lead + w)
+                else:
+                    plain.append(w)
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for group, e in zip(groups, self.lib.encode_batch_fast(["".join(lead + w for w in g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self.lib.encode_batch_fast([lead + lead.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(group):
                 data, width = ids.tobytes(), self.kind.itemsize
-                ends = [*(at[1:] * width).tolist(), len(data)]
-                for w, s, t in zip(group, (at * width).tolist(), ends):
-                    known[w] = data[s:t]
+                begins = (at * width).tolist()
+                known.update(zip(group, map(data.__getitem__, map(slice, begins, [*begins[1:], len(data)]))))
             else:
                 known.update((w, self.raw(lead + w)) for w in group)
 
