@@ -14,6 +14,8 @@ from . import common
 
 #: Tokens that share one dictionary; a longer document is a chunk of its own.
 CHUNK = 1 << 20
+#: Partitions of packed rows for each one that the session asks for: a task holds whole batches of them outside the JVM's heap.
+FINER = 4
 #: Ranks of the first band; every further band is as wide as all before it.
 RANKS = 1 << 10
 #: A tile of at most so many cells is a dense array, a larger one a sorted list of cells.
@@ -135,7 +137,7 @@ def count_chunks(rows: DataFrame, slots: int, last: bool) -> DataFrame:
     """Counts of neighbouring names in each chunk, one row for each tile that has any: ``tile``, ``chunk``, ``cells`` (differences
     of the rising cells), ``counts`` and ``at`` (number in the chunk of the first of these pairs; the others follow). Unless this is the ``last`` level, a row of
     tile -1 holds the chunk's ``stream`` of pair numbers. ``rows`` hold a stream, or numbers ``at`` of it and their names ``id``."""
-    ordered = rows.repartition(common.n_parts(rows.sparkSession), "chunk").sortWithinPartitions("chunk", F.col("stream").isNull())
+    ordered = rows.repartition(FINER * common.n_parts(rows.sparkSession), "chunk").sortWithinPartitions("chunk", F.col("stream").isNull())
     names = ["tile", "chunk", "cells", "counts", "at", "stream"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()]
 
@@ -184,7 +186,7 @@ def frequent_pairs(counted: DataFrame, slots: int, least: int) -> DataFrame:
 
     Rows of a tile pass one after another through one array of its cells or, in a tile of many cells, through a sorted list."""
     tiles = counted.where("tile >= 0").select("tile", "cells", "counts")
-    ordered = tiles.repartition(common.n_parts(counted.sparkSession), "tile").sortWithinPartitions("tile")
+    ordered = tiles.repartition(FINER * common.n_parts(counted.sparkSession), "tile").sortWithinPartitions("tile")
     names = ["tile", "cell", "u", "v", "a"]
 
     def summed(cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +237,7 @@ def renamed(counted: DataFrame, pairs: DataFrame) -> DataFrame:
     a chunk. In a tile the frequent pairs come first and the chunks pass behind them, so neither side is copied."""
     known = pairs.selectExpr("tile", "-1L AS chunk", "cell", "id", "CAST(NULL AS BINARY) AS cells", "CAST(NULL AS BIGINT) AS at")
     asked = counted.where("tile >= 0").selectExpr("tile", "chunk", "CAST(NULL AS BIGINT) AS cell", "CAST(NULL AS BIGINT) AS id", "cells", "at")
-    both = known.unionByName(asked).repartition(common.n_parts(counted.sparkSession), "tile").sortWithinPartitions("tile", "chunk", "cell")
+    both = known.unionByName(asked).repartition(FINER * common.n_parts(counted.sparkSession), "tile").sortWithinPartitions("tile", "chunk", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cells, ids = None, [], []
