@@ -3,7 +3,8 @@
 Neither arrival order nor the size of a trigger shows in a result. Every stateful job has a watermark (ten minutes by
 default): rows wait in state until it has passed them and are then worked on in event-time order, by a timer if no other row
 comes. Rows behind the watermark are late: jobs of this module let them out with ``late`` set and nothing else; those that Spark
-itself leaves out are counted, and :func:`shut_out` tells how many. State of a key that has been silent for ``EXPIRY_DAYS`` is given up."""
+itself leaves out are counted, and :func:`shut_out` tells how many. State of a key that has been silent for ``expiry_days`` (90 by
+default) is given up."""
 
 from __future__ import annotations
 
@@ -59,22 +60,32 @@ def tumbling_bars(ticks: DataFrame, seconds: Sequence[int] = (60, 300, 900, 3600
 # -- rows of a key in event-time order -------------------------------------------------------------------
 EXPIRY_DAYS = 90
 _DAY_MS = 86_400_000
+#: Rows wait in buckets of so many milliseconds of event time.
+BUCKET_MS = 60_000
 
 
 class InOrder(StatefulProcessor):
     """Holds the rows of a key until the watermark has passed them, then gives them to ``step`` ordered by time and ``seq``.
 
-    ``step(state, rows)`` takes a tuple (None at first) and a frame, and returns the new tuple and a frame of results. Every
+    Rows wait in time buckets, each arrival an entry of its own in a map by (bucket, arrival). A timer at the end of the first
+    bucket reads the entries of the buckets that the watermark has passed and no others, so every row is written once and
+    read once, however many wait. ``step(state, rows)`` takes a tuple (None at first) and a frame, and returns the new tuple
+    and a frame of results. ``idle(state, until)``, where given, is asked after that: the time until which everything is
+    known has come, what does it mean that no row did? It returns the state, results and when to be asked again. Every
     column of ``schema`` is kept while a row waits; ``us`` is its event time in microseconds."""
 
-    def __init__(self, schema: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]], names: Sequence[str]):
-        self.schema, self.kept, self.step, self.names = schema, state, step, list(names)
+    def __init__(self, schema: str, state: str, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]], names: Sequence[str], key_name: str,
+                 idle: Callable[[tuple, int], tuple[tuple, pd.DataFrame, int | None]] | None = None, bucket_ms: int = BUCKET_MS, expiry_days: int = EXPIRY_DAYS):
+        self.columns = [c.strip().split() for c in schema.split(",")]
+        self.kept, self.step, self.names, self.key_name = state, step, list(names), key_name
+        self.idle, self.bucket_ms, self.expiry_ms = idle, bucket_ms, expiry_days * _DAY_MS
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getMapState("waiting", "bucket long, arrival long", ", ".join(f"{c} array<{t}>" for c, t in self.columns))
         self.state = handle.getValueState("state", self.kept)
         self.timer = handle.getValueState("timer", "at long")
+        self.clock = handle.getValueState("clock", "arrivals long, last_ms long")
 
     def _wake(self, at: int) -> None:
         """One timer, at the earliest time that matters."""
@@ -86,55 +97,72 @@ class InOrder(StatefulProcessor):
             self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        columns, mark = [c.strip().split()[0] for c in self.schema.split(",")], timerValues.getCurrentWatermarkInMs()
+        names, mark = [c for c, _ in self.columns], timerValues.getCurrentWatermarkInMs()
+        arrivals, last = self.clock.get() if self.clock.exists() else (0, 0)
         for pdf in rows:
             late = pdf["us"] // 1000 < mark  # what they belong to has been told
             if late.any():
-                out = pdf.loc[late, ["us", "seq"]].assign(late=True)
-                yield self._told(key, out)
-            part = pdf.loc[~late, columns].astype(object)
-            if len(part):
-                self.waiting.appendList(list(part.where(part.notna(), None).itertuples(index=False, name=None)))
-                self._wake(int(part["us"].min()) // 1000 + 1)
+                yield self._told(key, pdf.loc[late, ["us", "seq"]].assign(late=True))
+            part = pdf.loc[~late, names]
+            if not len(part):
+                continue
+            for bucket, own in part.groupby(part["us"] // 1000 // self.bucket_ms):
+                own = own.astype(object).where(own.notna(), None)
+                self.waiting.updateValue((int(bucket), arrivals), tuple(own[c].tolist() for c in names))
+                arrivals += 1
+            last = max(last, int(part["us"].max()) // 1000)
+            self._wake((int(part["us"].min()) // 1000 // self.bucket_ms + 1) * self.bucket_ms)
+        self.clock.update((arrivals, last))
 
     def _told(self, key, out: pd.DataFrame) -> pd.DataFrame:
         out = out.assign(**{self.key_name: key[0]}, timestamp=pd.to_datetime(out["us"], unit="us"))
         return out.reindex(columns=self.names).astype(object).where(lambda x: x.notna(), None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        columns = [c.strip().split()[0] for c in self.schema.split(",")]
         self.timer.clear()
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        if not rows:  # silent since the last rows: nothing to go on from
-            self.state.clear()
+        passed = timerValues.getCurrentWatermarkInMs() // self.bucket_ms
+        entries = sorted(tuple(k) for k in self.waiting.keys()) if self.waiting.exists() else []
+        due, rest = [k for k in entries if k[0] < passed], [k for k in entries if k[0] >= passed]
+        state, told = (self.state.get() if self.state.exists() else None), []
+        if due:
+            held = [self.waiting.getValue(k) for k in due]
+            for k in due:
+                self.waiting.removeKey(k)
+            ready = pd.DataFrame({c: [x for h in held for x in h[n]] for n, (c, _) in enumerate(self.columns)})
+            ready = ready.sort_values(["us", "seq"], kind="stable", ignore_index=True)
+            state, out = self.step(state, ready)
+            told.append(out)
+        again = None
+        if self.idle is not None and state is not None:
+            state, out, again = self.idle(state, passed * self.bucket_ms * 1000)
+            told.append(out)
+        told = [x for x in told if len(x)]
+        last = self.clock.get()[1] if self.clock.exists() else 0
+        if not due and not rest and again is None and not told and last + self.expiry_ms <= timerValues.getCurrentWatermarkInMs():
+            self.state.clear()  # silent for too long: nothing to go on from
+            self.clock.clear()
             return
-        at = columns.index("us")
-        ready = sorted((r for r in rows if r[at] // 1000 < mark), key=lambda r: (r[at], r[columns.index("seq")]))
-        rest = [r for r in rows if r[at] // 1000 >= mark]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake(min(r[at] for r in rest) // 1000 + 1)
-        elif ready:
-            self._wake(ready[-1][at] // 1000 + EXPIRY_DAYS * _DAY_MS)
-        if ready:
-            state = self.state.get() if self.state.exists() else None
-            state, out = self.step(state, pd.DataFrame(ready, columns=columns))
+        if state is not None:
             self.state.update(state)
-            yield self._told(key, out.assign(late=False))
+        if rest:
+            self._wake((rest[0][0] + 1) * self.bucket_ms)
+        if again is not None:
+            self._wake((again // 1000 // self.bucket_ms + 1) * self.bucket_ms)
+        if not rest and again is None:
+            self._wake(last + self.expiry_ms)
+        if told:
+            yield self._told(key, pd.concat(told, ignore_index=True).assign(late=False))
 
     def close(self) -> None:
         pass
 
 
-def _in_order(rows: DataFrame, key: str, schema: str, state: str, step: Callable, out: str, delay: str) -> DataFrame:
+def _in_order(rows: DataFrame, key: str, schema: str, state: str, step: Callable, out: str, delay: str, idle: Callable | None = None, expiry_days: int = EXPIRY_DAYS) -> DataFrame:
     """``rows`` has the key, ``timestamp`` and the columns of ``schema`` but ``us``. Late rows come out with ``late`` set and no
     results, for a table of their own."""
     out += ", late boolean"
     names = [x.strip().split()[0] for x in out.split(",")]
-    job = InOrder(f"us long, {schema}", state, step, names)
-    job.key_name = key
+    job = InOrder(f"us long, {schema}", state, step, names, key, idle, expiry_days=expiry_days)
     marked = rows.withWatermark("timestamp", delay).where(F.col("timestamp") < F.lit(END).cast("timestamp"))
     return marked.withColumn("us", F.unix_micros("timestamp")).groupBy(key).transformWithStateInPandas(job, outputStructType=out, outputMode="Append", timeMode="EventTime")
 
@@ -222,33 +250,39 @@ def feature_stream(ticks: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 # -- volume buckets with exact carry ------------------------------------------------------------------------
+#: Volumes are whole multiples of this part of one: whether a bucket is full is decided on whole numbers alone.
+VOLUME_UNITS = 10**8
+
+
 def _buckets(size: float, window: int) -> Callable:
-    """Buckets of fixed volume: what exceeds a bucket is carried in the bucket's own buy/sell mix, and at
-    most one bucket closes per tick. One round of the loop for each bucket; running sums find where it closes."""
+    """Buckets of fixed volume: what exceeds a bucket is carried in the bucket's own buy/sell mix, and at most one bucket closes
+    per tick. The volume of a bucket is a whole number of units and decides when it closes; its mix is kept apart, so where
+    running sums of it began does not show. One round of the loop for each bucket."""
+    full = round(size * VOLUME_UNITS)
 
     def step(state, new):
-        buy, sell, bs, ss, n = state or (0.0, 0.0, [], [], 0)
+        fill, mix, bs, ss, n = state or (0, 0.0, [], [], 0)  # units in the open bucket, bought share of them
         bs, ss, out = list(bs), list(ss), []
-        q, share = new["quantity"].to_numpy(float), new["share"].to_numpy(float)
-        all_, bought = np.concatenate([[0.0], np.cumsum(q)]), np.concatenate([[0.0], np.cumsum(q * share)])
+        units = np.rint(new["quantity"].to_numpy(float) * VOLUME_UNITS).astype(np.int64)
+        all_ = np.concatenate([[0], np.cumsum(units)])
+        bought = np.concatenate([[0.0], np.cumsum(units * new["share"].to_numpy(float))])
         at = 0
-        while at < len(q):
-            end = int(np.searchsorted(all_, all_[at] + size - buy - sell, side="left"))  # rows up to the one that fills it
-            end = max(end, at + 1)
-            if end > len(q):
+        while at < len(units):
+            end = max(int(np.searchsorted(all_, all_[at] + full - fill, side="left")), at + 1)  # rows up to the one that fills it
+            if end > len(units):
                 break
-            b = buy + bought[end] - bought[at]
-            total = buy + sell + all_[end] - all_[at]
-            rest = max(total - size, 0.0) / total
-            bs, ss = (bs + [b * (1 - rest)])[-window:], (ss + [(total - b) * (1 - rest)])[-window:]
-            buy, sell = b * rest, (total - b) * rest
+            total = fill + int(all_[end] - all_[at])
+            mix = (mix * fill + bought[end] - bought[at]) / total
+            bs, ss = (bs + [mix * min(full, total) / VOLUME_UNITS])[-window:], (ss + [(1 - mix) * min(full, total) / VOLUME_UNITS])[-window:]
+            fill = max(total - full, 0)
             vol = sum(bs) + sum(ss)
             out.append((new["us"].iat[end - 1], n, bs[-1], ss[-1], sum(abs(x - y) for x, y in zip(bs, ss)) / vol, sum(bs) / vol))
             n, at = n + 1, end
-        if at < len(q):
-            b = bought[-1] - bought[at]
-            buy, sell = buy + b, sell + all_[-1] - all_[at] - b
-        return (float(buy), float(sell), bs, ss, n), pd.DataFrame(out, columns=["us", "bucket", "buy_volume", "sell_volume", "vpin", "buy_volume_pct"])
+        more = int(all_[-1] - all_[at])
+        if more:
+            mix = (mix * fill + bought[-1] - bought[at]) / (fill + more)
+            fill += more
+        return (fill, float(mix), bs, ss, n), pd.DataFrame(out, columns=["us", "bucket", "buy_volume", "sell_volume", "vpin", "buy_volume_pct"])
 
     return step
 
@@ -263,7 +297,7 @@ def vpin_stream(ticks: DataFrame, bucket_size: float, window: int = 50, delay: s
     )
     t = ticks.select("symbol", "seq", "timestamp", F.col("quantity").cast("double").alias("quantity"), share.alias("share"))
     schema = "symbol string, bucket long, timestamp timestamp, buy_volume double, sell_volume double, vpin double, buy_volume_pct double"
-    state = "buy double, sell double, b array<double>, s array<double>, n long"
+    state = "fill long, mix double, b array<double>, s array<double>, n long"
     return _in_order(t, "symbol", "seq long, quantity double, share double", state, _buckets(float(bucket_size), window), schema, delay)
 
 
@@ -319,52 +353,134 @@ def breaker_stream(events: DataFrame, recovery_minutes: int = 30, delay: str = D
     return _in_order(rows, "account", "seq long, trigger string, pnl double", "status string, tripped_us long, reason string, losses long", _breaker(recovery_minutes * 60_000_000), out, delay)
 
 
-# -- heartbeats -------------------------------------------------------------------------------------------------
-class Silence(StatefulProcessor):
-    """Emits a row when a source was silent longer than the limit: at its next beat, or, with ``timers``,
-    when a processing-time timer fires first."""
+# -- circuit breaker from raw streams -----------------------------------------------------------------------------
+_HALF_HOUR_US, _HOUR_US, _DAY_US = 1_800_000_000, 3_600_000_000, 86_400_000_000
 
-    def __init__(self, seconds: int, timers: bool):
-        self.ms, self.timers = seconds * 1000, timers
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("last", "last_ms long")
-
-    def _row(self, key, last, gap, open_):
-        return pd.DataFrame({"source": [key[0]], "silent_since": [pd.Timestamp(last, unit="ms")], "gap_seconds": [gap / 1000.0], "still_silent": [open_]})
-
-    def handleInputRows(self, key, rows, timerValues):
-        beats = np.sort(np.concatenate([p["ms"].to_numpy() for p in rows]))
-        last = self.state.get()[0] if self.state.exists() else None
-        allb = beats if last is None else np.concatenate([[last], beats])
-        gaps = np.diff(allb)
-        bad = np.flatnonzero(gaps > self.ms)
-        self.state.update((int(max(allb)),))
-        if self.timers:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ms)
-        yield pd.DataFrame({"source": key[0], "silent_since": pd.to_datetime(allb[bad], unit="ms"), "gap_seconds": gaps[bad] / 1000.0, "still_silent": False})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentProcessingTimeInMs()
-        last = self.state.get()[0] if self.state.exists() else now
-        yield self._row(key, last, now - last, True)
+def _after(us: np.ndarray, value: np.ndarray, old: tuple[list, list] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of a series, the remembered ones first."""
+    then, was = old or ([], [])
+    return np.concatenate([np.array(then, np.int64), us]), np.concatenate([np.array(was, float), value])
+
+
+def _triggers(capital: float, limits: Mapping[str, float]) -> Callable:
+    """First trigger that fires at each row of an account: loss of the UTC day, loss of the last half hour, rise of the volatility
+    index within the hour, silence of a source that has been heard before. What is remembered: the day's total, results of half
+    an hour, readings of an hour and the one before them, the last beat of each source."""
+
+    def step(state, new):
+        day, total, then, was, vix_then, vix_was, sources, seen = state or (0, 0.0, [], [], [], [], [], [])
+        us, kind = new["us"].to_numpy(np.int64), new["kind"].to_numpy(object)
+        value = pd.to_numeric(new["value"]).to_numpy(float)
+        n, rows = len(us), np.arange(len(us))
+        paid = np.where(kind == "pnl", np.nan_to_num(value), 0.0)
+        days = us // _DAY_US
+        run = np.concatenate([[0.0], np.cumsum(paid)])
+        first = np.searchsorted(days, days, side="left")
+        daily = run[1:] - run[first] + np.where(days == day, total, 0.0)
+        t, v = _after(us, paid, (then, was))
+        sums, old = np.concatenate([[0.0], np.cumsum(v)]), len(then)
+        recent = sums[old + rows + 1] - sums[np.searchsorted(t, us - _HALF_HOUR_US, side="left")]
+        is_vix = kind == "vix"
+        vt, vv = _after(us[is_vix], value[is_vix], (vix_then, vix_was))
+        now = len(vix_then) + np.cumsum(is_vix) - 1
+        ago = np.searchsorted(vt, us - _HOUR_US, side="right") - 1
+        both = (now >= 0) & (ago >= 0)
+        padded = np.append(vv, np.nan)
+        level, before = np.where(both, padded[now], np.nan), np.where(both, padded[ago], np.nan)
+        last = dict(zip(sources, seen))
+        longest = np.zeros(n)
+        beat = kind == "beat"
+        names = new["source"].to_numpy(object)
+        for name in sorted({*last, *names[beat]}):
+            own = np.where(beat & (names == name), us, last.get(name, -1))
+            heard = np.maximum.accumulate(own)
+            longest = np.maximum(longest, np.where(heard >= 0, us - heard, 0))
+            last[name] = int(heard[-1])
+        funded = capital > 0
+        spike = np.zeros(n, bool)
+        ok = both & (before > 0)
+        spike[ok] = (level[ok] - before[ok]) / before[ok] > limits["vix_spike"]
+        fired = [funded & (-daily / (capital or 1.0) > limits["daily_loss"]), funded & (-recent / (capital or 1.0) > limits["intraday_loss_30m"]), spike, longest > limits["silence_seconds"] * 1e6]
+        reason = np.full(n, None, object)
+        for rule, name in reversed(list(zip(fired, ("daily_drawdown", "intraday_loss", "vix_spike", "source_silent")))):
+            reason[rule] = name
+        keep = t >= us[-1] - _HALF_HOUR_US
+        from_ = max(int(np.searchsorted(vt, us[-1] - _HOUR_US, side="right")) - 1, 0)
+        kept = (int(days[-1]), float(daily[-1]), t[keep].tolist(), v[keep].tolist(), vt[from_:].tolist(), vv[from_:].tolist(), list(last), list(last.values()))
+        return kept, pd.DataFrame({"us": us, "seq": new["seq"], "trigger": reason, "pnl": np.where(kind == "pnl", value, np.nan)})
+
+    return step
 
-    def close(self) -> None:
-        pass
 
+def triggered_breaker_stream(pnl: DataFrame, vix: DataFrame, beats: DataFrame, capital: float, recovery_minutes: int = 30, limits: Mapping[str, float] | None = None, delay: str = DELAY) -> DataFrame:
+    """The breaker from raw streams: ``pnl`` (account, seq, timestamp, pnl of a closed trade), ``vix`` (account, seq, timestamp, vix) and
+    ``beats`` (account, seq, timestamp, source). Readings that concern several accounts come once for each.
 
-def silence_stream(beats: DataFrame, seconds: int = 60, timers: bool = True) -> DataFrame:
-    """``beats``: source, timestamp. Timers suit a running service; a bounded replay ends only without them."""
-    b = beats.select("source", F.unix_millis("timestamp").alias("ms"))
-    return b.groupBy("source").transformWithStateInPandas(
-        Silence(seconds, timers),
-        outputStructType="source string, silent_since timestamp, gap_seconds double, still_silent boolean",
-        outputMode="Append",
-        timeMode="ProcessingTime" if timers else "None",
+    The three are one stream in event-time order; at each of its rows the triggers are evaluated and drive the breaker, whose
+    state after the row comes out with the ``trigger``. ``limits`` replaces entries of ``operators.risk.LIMITS``. Rows of equal
+    time are taken by ``seq``."""
+    from ..operators.risk import LIMITS
+
+    base = ["account", "seq", "timestamp"]
+    none = F.lit(None).cast("string")
+    rows = (
+        pnl.select(*base, F.lit("pnl").alias("kind"), F.col("pnl").cast("double").alias("value"), none.alias("source"))
+        .unionByName(vix.select(*base, F.lit("vix").alias("kind"), F.col("vix").cast("double").alias("value"), none.alias("source")))
+        .unionByName(beats.select(*base, F.lit("beat").alias("kind"), F.lit(None).cast("double").alias("value"), F.col("source")))
     )
+    judge, switch = _triggers(float(capital), {**LIMITS, **(limits or {})}), _breaker(recovery_minutes * 60_000_000)
+
+    def step(state, new):
+        seen, judged = judge(state[:8] if state else None, new)
+        turned, out = switch(state[8:] if state else None, judged)
+        return (*seen, *turned), out.assign(trigger=judged["trigger"])
+
+    held = "day long, total double, then array<long>, was array<double>, vix_then array<long>, vix_was array<double>, sources array<string>, seen array<long>"
+    out = "account string, seq long, timestamp timestamp, trigger string, status string, reason string, allowed boolean, losses long"
+    return _in_order(rows, "account", "seq long, kind string, value double, source string", f"{held}, status string, tripped_us long, reason string, losses long", step, out, delay)
+
+
+# -- heartbeats -------------------------------------------------------------------------------------------------
+_SILENCE = ["us", "seq", "event", "silent_since", "gap_seconds"]
+
+
+def _silence(limit_us: int) -> tuple[Callable, Callable]:
+    """Step and idle call that tell of gaps between beats longer than the limit: once it is sure that no beat came in time, and
+    again at the next beat."""
+
+    def alert(since: int) -> tuple:
+        return (since + limit_us, 0, "silent", pd.Timestamp(since, unit="us"), None)
+
+    def step(state, new):
+        us = new["us"].to_numpy(np.int64)
+        last, told = state or (int(us[0]), False)
+        all_ = np.concatenate([[last], us])
+        out = []
+        for i in np.flatnonzero(np.diff(all_) > limit_us).tolist():
+            since, back = int(all_[i]), int(all_[i + 1])
+            if i or not told:
+                out.append(alert(since))
+            out.append((back, int(new["seq"].iat[i]), "back", pd.Timestamp(since, unit="us"), (back - since) / 1e6))
+        return (int(us[-1]), False), pd.DataFrame(out, columns=_SILENCE)
+
+    def idle(state, until):
+        last, told = state
+        if told or last + limit_us >= until:
+            return state, pd.DataFrame(columns=_SILENCE), None if told else last + limit_us
+        return (last, True), pd.DataFrame([alert(last)], columns=_SILENCE), None
+
+    return step, idle
+
+
+def silence_stream(beats: DataFrame, seconds: float = 60, delay: str = DELAY, expiry_days: int = EXPIRY_DAYS) -> DataFrame:
+    """``beats``: source, timestamp. Two rows for each gap longer than ``seconds``: ``silent`` at the moment when the limit ran out, sent
+    as soon as the watermark is past it, and ``back`` at the beat that ends it, with ``gap_seconds``. Gaps are those of event
+    time: beats that arrive in another order, or together, give the same rows."""
+    step, idle = _silence(round(seconds * 1e6))
+    out = "source string, timestamp timestamp, event string, silent_since timestamp, gap_seconds double"
+    rows = beats.select("source", "timestamp", F.lit(0).cast("long").alias("seq"))
+    return _in_order(rows, "source", "seq long", "last long, told boolean", step, out, delay, idle, expiry_days)
 
 
 def silent_sources(beats: DataFrame, as_of, seconds: int = 60) -> DataFrame:
@@ -400,6 +516,48 @@ def regime_snapshot(macro: DataFrame, roles: Mapping[str, str]) -> DataFrame:
     return macro_state(wide.fillna(0.0, ["dollar_change", "funding_rate"]))
 
 
+# Levels of the volatility regimes and their size factors, as in operators.scoring.macro_state.
+_REGIMES = ((35.0, "crisis", 0.0), (25.0, "high", 0.3), (15.0, "normal", 1.0))
+_CALM = ("low", 1.2)
+_READINGS = ("vix", "dollar_change", "yield_10y", "yield_2y", "funding_rate")
+_MACRO = ["us", "seq", "vix", "vol_regime", "yield_curve_inverted", "risk_mode", "macro_mult"]
+
+
+def _regimes(state, new):
+    """Latest reading of each kind at every row, the regime that follows, and the rows at which it changes."""
+    old = state or (*[None] * len(_READINGS), None)
+    value, kind = pd.to_numeric(new["value"]).to_numpy(float), new["kind"].to_numpy(object)
+    now = {}
+    for name, was in zip(_READINGS, old):
+        x = pd.Series(np.where(kind == name, value, np.nan))
+        now[name] = x.ffill().fillna(np.nan if was is None else was).to_numpy(float)
+    vix, dollar, funding = now["vix"], np.nan_to_num(now["dollar_change"]), np.nan_to_num(now["funding_rate"])
+    known = ~(np.isnan(now["yield_10y"]) | np.isnan(now["yield_2y"]))
+    inverted = known & (now["yield_2y"] > now["yield_10y"])
+    regime, base = np.full(len(new), _CALM[0], object), np.full(len(new), _CALM[1])
+    for level, name, factor in reversed(_REGIMES):
+        regime[vix >= level], base[vix >= level] = name, factor
+    regime[np.isnan(vix)], base[np.isnan(vix)] = "normal", 1.0
+    mult = base * np.where(dollar > 0.5, 0.7, 1.0) * np.where(inverted, 0.8, 1.0) * np.where(np.abs(funding) > 0.03, 0.9, 1.0)
+    mult = np.floor(mult * 1000 + 0.5 + 1e-9) / 1000
+    mode = np.where((dollar > 0.3) | inverted | np.isin(regime, ("crisis", "high")), "reduced", "normal")
+    sign = np.array([f"{a}|{b}|{c}|{d:.3f}" for a, b, c, d in zip(regime, inverted, mode, mult)], object)
+    turns = sign != np.concatenate([[old[-1]], sign[:-1]])
+    out = pd.DataFrame({"us": new["us"], "seq": new["seq"], "vix": vix, "vol_regime": regime, "yield_curve_inverted": inverted, "risk_mode": mode, "macro_mult": mult})[turns]
+    kept = tuple(None if np.isnan(now[name][-1]) else float(now[name][-1]) for name in _READINGS)
+    return (*kept, sign[-1]), out.reset_index(drop=True)
+
+
+def regime_stream(readings: DataFrame, delay: str = DELAY, expiry_days: int = EXPIRY_DAYS) -> DataFrame:
+    """``readings``: market, seq, timestamp, kind (vix, dollar_change, yield_10y, yield_2y, funding_rate), value. The regime of a market
+    after every reading that changes it, and after its first; a kind not read yet has the meaning that a missing one has in
+    the batch form. Other kinds change nothing."""
+    out = "market string, seq long, timestamp timestamp, vix double, vol_regime string, yield_curve_inverted boolean, risk_mode string, macro_mult double"
+    rows = readings.select("market", "seq", "timestamp", "kind", F.col("value").cast("double").alias("value"))
+    state = ", ".join(f"{x} double" for x in _READINGS) + ", sign string"
+    return _in_order(rows, "market", "seq long, kind string, value double", state, _regimes, out, delay, expiry_days=expiry_days)
+
+
 # -- running a bounded stream -----------------------------------------------------------------------------------------
 def _shared(spark: SparkSession, shared: str | None) -> str:
     top = shared or spark.conf.get("spark.checkpoint.dir", None)
