@@ -121,3 +121,44 @@ def test_har_forecast_equals_least_squares(spark):
         want = max(0.0, beta @ np.array([1.0, h[-1], h[-5:].mean(), h[-22:].mean()]))
         assert got[t] == pytest.approx(want, rel=1e-8)
     assert np.isnan(got[:30]).all()
+
+
+def test_fractional_difference_by_blocks(spark):
+    """One key with all rows, more weights than a chunk would hold, nulls; orders of a grid against the plain sums."""
+    import numpy as np
+
+    from tickloom.operators import volatility as X
+
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=45_000)) * 0.01 + 5
+    holes = {20_000, 20_001, 44_000}
+    rows = [("A", i, None if i in holes else float(v)) for i, v in enumerate(x)] + [("B", i, float(i % 3)) for i in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, s long, p double").selectExpr("symbol", "timestamp_seconds(s) AS timestamp", "p", "s")
+    out = {(r.symbol, r.s): r.frac_diff for r in X.frac_diff(df, 0.4, "p").collect()}
+    w = np.array(X.frac_weights(0.4))
+    n = len(w)
+    assert n > 1000 and len(out) == len(x) - n + 1
+    bad = {i for h in holes for i in range(h, h + n)}
+    for i in range(n - 1, len(x), 97):
+        if i in bad:
+            assert out["A", i] is None
+        else:
+            assert abs(out["A", i] - float(w @ x[i - n + 1 : i + 1][::-1])) < 1e-9
+    chunks = X._series(("symbol",), ("timestamp",), n).chunks(df, halo=n - 1).groupBy("symbol", "_c").count()
+    assert chunks.agg({"count": "max"}).first()[0] <= 16_384 + n
+
+    short = df.where("symbol = 'A' and s < 20000")
+    got = X.minimum_d(short, "p", steps=6).collect()
+    y = x[:20_000]
+    for step in range(6):
+        d = step / 5
+        w = np.array(X.frac_weights(d))
+        z = np.convolve(y, w)[len(w) - 1 : len(y)]
+        level, change = z[:-1], np.diff(z)
+        a, b = level - level.mean(), change - change.mean()
+        slope = (a @ b) / (a @ a)
+        t = slope / np.sqrt(max(1e-12, (b @ b - slope * (a @ b)) / (len(a) - 2) / (a @ a)))
+        if t < -2.86 or step == 5:
+            assert abs(got[0].d - d) < 1e-12 and got[0].n_lags == len(w) and abs(got[0].t_stat - t) < 1e-6 * abs(t)
+            break
+    assert abs(X.memory_retained(0.0, 1) - 1.0) < 1e-12 and 0 < X.memory_retained(0.4, 100) < 1

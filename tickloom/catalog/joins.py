@@ -138,7 +138,7 @@ def asof_join_strict(spark, d):
     return rounded(j)
 
 
-_REG = """, reg AS (SELECT n_name AS symbol, o_orderdate AS timestamp, max(o_orderpriority) AS state FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
+_REG = """, reg AS (SELECT n_name AS symbol, o_orderdate AS timestamp, max(o_orderpriority) AS state FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
     pt AS (SELECT o_orderkey, n_name AS symbol, o_orderdate AS timestamp FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
@@ -146,7 +146,7 @@ def _states(spark, d):
     o, c, n = (V.table(spark, d, t) for t in ("orders", "customer", "nation"))
     x = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     x = x.select("o_orderkey", "o_orderpriority", F.col("n_name").alias("symbol"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
-    return x.select("o_orderkey", "symbol", "timestamp"), x.filter("o_orderkey % 3 = 0").groupBy("symbol", "timestamp").agg(F.max("o_orderpriority").alias("state"))
+    return x.select("o_orderkey", "symbol", "timestamp"), x.groupBy("symbol", "timestamp").agg(F.max("o_orderpriority").alias("state"))
 
 
 # Codes of the ordered states (fixed values of this query).
@@ -182,11 +182,11 @@ def previous_value(spark, d):
     return rounded(X.previous_value(V.macro_series(spark, d), 7 * 86_400), 2)
 
 
-_EV = """, ee AS (SELECT event_id, DATE '2024-01-01' + CAST(event_id % 31 AS INTEGER) + to_hours(CAST(event_id % 24 AS BIGINT)) AS ev FROM (SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 500 = 0))"""
+_EV = """, ee AS (SELECT event_id, DATE '2024-01-01' + CAST(event_id % 31 AS INTEGER) + to_hours(CAST(event_id % 24 AS BIGINT)) AS ev FROM (SELECT o_orderkey AS event_id FROM orders))"""
 
 
 def _calendar(spark, d):
-    o = V.table(spark, d, "orders").filter("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("event_id"))
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
     t = F.timestamp_seconds(F.lit(1704067200) + (F.col("event_id") % 31) * 86400 + (F.col("event_id") % 24) * 3600)
     return o.select("event_id", t.alias("ev"))
 
@@ -219,8 +219,8 @@ def orphan_events(spark, d):
     return rounded(X.orphans(e, V.bars(spark, d), "t0"))
 
 
-_CORR = """, hr AS (SELECT symbol, timestamp, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY timestamp)) AS lr FROM bars_1h WHERE symbol IN ('S0','S1','S2','S3')),
-    ok AS (SELECT timestamp FROM hr WHERE lr IS NOT NULL GROUP BY 1 HAVING count(*) = 4), z AS (SELECT hr.* FROM hr JOIN ok USING (timestamp)),
+_CORR = """, hr AS (SELECT symbol, timestamp, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY timestamp)) AS lr FROM bars_1h),
+    ok AS (SELECT timestamp FROM hr WHERE lr IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM hr)), z AS (SELECT hr.* FROM hr JOIN ok USING (timestamp)),
     cm AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.lr, b.lr) AS c FROM z a JOIN z b USING (timestamp) WHERE a.symbol < b.symbol GROUP BY 1, 2)"""
 
 
@@ -234,7 +234,7 @@ def pair_correlation_lookup(spark, d):
     from ..operators import volatility as vol
 
     b = V.bars(spark, d)
-    m = vol.asset_correlations(vol.with_returns(b), ["S0", "S1", "S2", "S3"]).filter("a < b").select("a", "b", "correlation")
+    m = vol.asset_correlations(vol.with_returns(b), [f"S{i}" for i in range(12)]).filter("a < b").select("a", "b", "correlation")
     p = b.select(F.col("symbol").alias("a"), F.lit("S1").alias("b")).distinct()
     return rounded(X.pair_lookup(p, m))
 

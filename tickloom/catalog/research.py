@@ -63,24 +63,19 @@ def spearman_ic(spark, d):
     return rounded(R.spearman(_rounded_panel(spark, d)).drop("p_value"), 5)
 
 
-_ICS = """, ix AS (SELECT *, row_number() OVER (PARTITION BY symbol, feature, horizon ORDER BY timestamp, seq) - 1 AS i FROM pr WHERE horizon = 20),
-    wn AS (SELECT symbol, feature, horizon, max(i) AS last FROM ix GROUP BY 1, 2, 3),
-    ws AS (SELECT symbol, feature, horizon, unnest(range(0, last - 250, 20)) AS a FROM wn),
-    wr AS (SELECT ws.symbol, ws.feature, ws.a, ix.value, ix.fwd, rank() OVER (PARTITION BY ws.symbol, ws.feature, ws.a ORDER BY value) + (count(*) OVER (PARTITION BY ws.symbol, ws.feature, ws.a, value) - 1) / 2.0e0 AS rx,
-      rank() OVER (PARTITION BY ws.symbol, ws.feature, ws.a ORDER BY fwd) + (count(*) OVER (PARTITION BY ws.symbol, ws.feature, ws.a, fwd) - 1) / 2.0e0 AS ry FROM ws JOIN ix ON ix.symbol = ws.symbol AND ix.feature = ws.feature AND ix.i BETWEEN a AND a + 251),
-    ic AS (SELECT symbol, feature, a, a + 251 AS period, corr(rx, ry) AS ic FROM wr GROUP BY 1, 2, 3)"""
-
-
-def _ics(step: str) -> str:
-    """Windows of 252 rows that begin every ``step`` rows, for all horizons of the panel."""
+def _ranks(step: str) -> str:
+    """Ranks in windows of 252 rows that begin every ``step`` rows, for all horizons of the panel."""
     k = "symbol, feature, horizon"
     w = "PARTITION BY ws.symbol, ws.feature, ws.horizon, ws.a"
     return f""", ix AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY timestamp, seq) - 1 AS i FROM pr),
     wn AS (SELECT {k}, max(i) AS last FROM ix GROUP BY ALL),
     ws AS (SELECT {k}, unnest(range(0, last - 250, {step})) AS a FROM wn),
     wr AS (SELECT ws.symbol, ws.feature, ws.horizon, ws.a, rank() OVER ({w} ORDER BY value) + (count(*) OVER ({w}, value) - 1) / 2.0e0 AS rx, rank() OVER ({w} ORDER BY fwd) + (count(*) OVER ({w}, fwd) - 1) / 2.0e0 AS ry
-      FROM ws JOIN ix ON ix.symbol = ws.symbol AND ix.feature = ws.feature AND ix.horizon = ws.horizon AND ix.i BETWEEN a AND a + 251)
-    SELECT symbol, feature, CAST(horizon AS INTEGER) AS horizon, a + 251 AS period, {r('corr(rx, ry)', 5, 'ic')} FROM wr GROUP BY symbol, feature, horizon, a"""
+      FROM ws JOIN ix ON ix.symbol = ws.symbol AND ix.feature = ws.feature AND ix.horizon = ws.horizon AND ix.i BETWEEN a AND a + 251)"""
+
+
+def _ics(step: str) -> str:
+    return _ranks(step) + f" SELECT symbol, feature, CAST(horizon AS INTEGER) AS horizon, a + 251 AS period, {r('corr(rx, ry)', 5, 'ic')} FROM wr GROUP BY symbol, feature, horizon, a"
 
 
 @query("rolling_ic_series", _WIDE + _RND + _ics("CAST(horizon AS BIGINT)"))
@@ -95,13 +90,14 @@ def rolling_ic_every_row(spark, d):
 
 @query(
     "ic_newey_west",
-    _WIDE + _RND + _ICS + f""", cn AS (SELECT *, ic - avg(ic) OVER p AS x, count(*) OVER p AS n, a / 20 AS w FROM ic WINDOW p AS (PARTITION BY symbol, feature)),
-    lg AS (SELECT a.symbol, a.feature, any_value(a.n) AS n, sum(a.x * b.x * CASE WHEN a.w = b.w THEN 1 ELSE 2 * (1 - (b.w - a.w) / 20.0e0) END) AS v FROM cn a JOIN cn b ON a.symbol = b.symbol AND a.feature = b.feature AND b.w BETWEEN a.w AND a.w + 19 GROUP BY 1, 2)
-    SELECT symbol, feature, 20 AS horizon, {r('sqrt(greatest(0, v / n) / n)', 5, 'nw_se')} FROM lg""",
+    _WIDE + _RND + _ranks("CAST(horizon AS BIGINT)") + f""", ic AS (SELECT symbol, feature, horizon, a, corr(rx, ry) AS ic FROM wr GROUP BY symbol, feature, horizon, a),
+    cn AS (SELECT *, ic - avg(ic) OVER p AS x, count(*) OVER p AS n, a // horizon AS w FROM ic WINDOW p AS (PARTITION BY symbol, feature, horizon)),
+    lg AS (SELECT a.symbol, a.feature, a.horizon, any_value(a.n) AS n, sum(a.x * b.x * CASE WHEN a.w = b.w THEN 1 ELSE 2 * (1 - (b.w - a.w) / (a.horizon + 0.0e0)) END) AS v
+      FROM cn a JOIN cn b ON a.symbol = b.symbol AND a.feature = b.feature AND a.horizon = b.horizon AND b.w BETWEEN a.w AND a.w + a.horizon - 1 GROUP BY 1, 2, 3)
+    SELECT symbol, feature, CAST(horizon AS INTEGER) AS horizon, {r('CASE WHEN n < 2 THEN 0 ELSE sqrt(greatest(0, v / n) / n) END', 5, 'nw_se')} FROM lg""",
 )
 def ic_newey_west(spark, d):
-    p = _rounded_panel(spark, d).filter("horizon = 20")
-    return rounded(R.newey_west(R.ic_series(p, _SER), _K), 5)
+    return rounded(R.newey_west(R.ic_series(_rounded_panel(spark, d), _SER), _K), 5)
 
 
 @query("ic_summary")

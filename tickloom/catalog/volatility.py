@@ -100,14 +100,14 @@ def tail_correlation(spark, d):
 @query(
     "asset_correlation_matrix",
     _H + f""", hr AS (SELECT symbol, timestamp, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY timestamp)) AS lr FROM bars_1h),
-    ok AS (SELECT timestamp FROM hr WHERE symbol IN ('S0','S1','S2','S3') AND lr IS NOT NULL GROUP BY 1 HAVING count(*) = 4),
-    z AS (SELECT hr.* FROM hr JOIN ok USING (timestamp) WHERE symbol IN ('S0','S1','S2','S3'))
+    ok AS (SELECT timestamp FROM hr WHERE lr IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM hr)),
+    z AS (SELECT hr.* FROM hr JOIN ok USING (timestamp))
     SELECT a.symbol AS a, b.symbol AS b, {r('CASE WHEN a.symbol = b.symbol THEN 1 ELSE covar_pop(a.lr, b.lr) / (stddev_pop(a.lr) * stddev_pop(b.lr)) END', name='correlation')},
     count(*) AS n_rows FROM z a JOIN z b USING (timestamp) GROUP BY 1, 2""",
 )
 def asset_correlation_matrix(spark, d):
     ret = X.with_returns(V.bars(spark, d))
-    return rounded(X.asset_correlations(ret, ["S0", "S1", "S2", "S3"]))
+    return rounded(X.asset_correlations(ret, [f"S{i}" for i in range(12)]))
 
 
 @query(
@@ -260,16 +260,20 @@ def _fw(d, th, mw=10_000):
     return ", ".join(f"({k}, {w!r})" for k, w in enumerate(X.frac_weights(d, th, mw)))
 
 
+_TK = V.with_views("ticks")
+
+
 @query(
     "frac_diff",
-    _B + f""", p AS (SELECT symbol, timestamp, ln(close) AS lp, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS i FROM bars_1d),
-    w(k, w) AS (VALUES {_fw(0.4, 1e-3)})
-    SELECT a.symbol, a.timestamp, {r('sum(w * b.lp)', name='frac_diff')} FROM p a JOIN w ON true JOIN p b ON b.symbol = a.symbol AND b.i = a.i - k
+    _TK + f""", p AS (SELECT side, timestamp, seq, ln(price) AS lp, row_number() OVER (PARTITION BY side ORDER BY timestamp, seq) - 1 AS i FROM ticks),
+    w(k, w) AS (VALUES {_fw(0.4, 1e-5)})
+    SELECT a.side, a.seq, {r('sum(w * b.lp)', name='frac_diff')} FROM p a JOIN w ON true JOIN p b ON b.side = a.side AND b.i = a.i - k
     GROUP BY 1, 2, a.i HAVING count(*) = (SELECT count(*) FROM w)""",
 )
 def frac_diff(spark, d):
-    p = V.bars_1d(spark, d).select("symbol", "timestamp", F.log("close").alias("log_price"))
-    return rounded(X.frac_diff(p, 0.4, "log_price", threshold=1e-3).select("symbol", "timestamp", "frac_diff"))
+    """Ticks of each side: two series, longer than the 1 500 weights of this order."""
+    p = V.ticks(spark, d).select("side", "timestamp", "seq", F.log("price").alias("log_price"))
+    return rounded(X.frac_diff(p, 0.4, "log_price", keys=("side",), order=("timestamp", "seq")).select("side", "seq", "frac_diff"))
 
 
 @query(
@@ -298,10 +302,24 @@ def stationarity(spark, d):
     return rounded(X.stationarity(p, "log_price"))
 
 
-@query("minimum_frac_order")
+@query(
+    "minimum_frac_order",
+    _B + f""", p AS (SELECT symbol, timestamp, ln(close) AS lp, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) - 1 AS i FROM bars_1d),
+    g AS (SELECT i AS step, i / 19.0e0 AS d FROM range(20) t(i)), ks AS (SELECT step, d, j FROM g, range(1, 10000) t(j)),
+    ws AS (SELECT step, 0 AS k, 1.0e0 AS w FROM g UNION ALL SELECT step, j, product((j - 1 - d) / j) OVER (PARTITION BY step ORDER BY j) FROM ks),
+    w AS (SELECT step, k, w FROM ws WHERE abs(w) >= 1e-5), n AS (SELECT step, count(*) AS n, sum(abs(w)) AS s FROM w GROUP BY 1), tt AS (SELECT step, sum(abs(w)) AS s FROM ws WHERE abs(w) >= 1e-8 GROUP BY 1),
+    len AS (SELECT symbol, count(*) AS len FROM p GROUP BY 1),
+    f AS (SELECT a.symbol, w.step, a.i, sum(w.w * b.lp) AS y FROM w JOIN n ON n.step = w.step JOIN len ON n.n <= len.len JOIN p a ON a.symbol = len.symbol AND a.i >= n.n - 1 JOIN p b ON b.symbol = a.symbol AND b.i = a.i - w.k GROUP BY 1, 2, 3),
+    l AS (SELECT symbol, step, y, lag(y) OVER (PARTITION BY symbol, step ORDER BY i) AS x FROM f),
+    m AS (SELECT symbol, step, count(*) AS m, count(*) * var_pop(x) AS sxx, count(*) * covar_pop(y - x, x) AS sxy, count(*) * var_pop(y - x) AS syy FROM l WHERE x IS NOT NULL GROUP BY 1, 2),
+    t AS (SELECT symbol, step, CASE WHEN m + 1 >= 20 AND sxx >= 1e-10 THEN sxy / sxx / sqrt(greatest(1e-12, greatest(0, syy - sxy * sxy / sxx) / (m - 2) / sxx)) END AS t FROM m),
+    b AS (SELECT symbol, coalesce(min(step) FILTER (t < -2.86), 19) AS step, count(*) FILTER (t < -2.86) > 0 AS stationary FROM len LEFT JOIN t USING (symbol) GROUP BY 1)
+    SELECT b.symbol, {r('step / 19.0e0', name='d')}, n.n AS n_lags, {r('100 * n.s / tt.s', name='memory_retained')}, {r('t.t', 4, 't_stat')}, stationary FROM b JOIN n USING (step) JOIN tt USING (step) LEFT JOIN t USING (symbol, step)""",
+)
 def minimum_frac_order(spark, d):
     p = V.bars_1d(spark, d).select("symbol", "timestamp", F.log("close").alias("log_price"))
-    return rounded(X.minimum_d(p, "log_price", steps=20, threshold=1e-3))
+    out = X.minimum_d(p, "log_price", steps=20)
+    return rounded(rounded(out.withColumn("t_stat", F.round("t_stat", 4)).withColumn("d", F.round("d", 6)).withColumn("memory_retained", F.round("memory_retained", 6)), None), None)
 
 
 _GEX = """, gr AS (SELECT timestamp, sum(CASE lower(trim(option_type)) WHEN 'call' THEN -1.0e0 ELSE 1.0e0 END * open_interest * gamma * spot_price * spot_price * 100) / 1e9 AS g,

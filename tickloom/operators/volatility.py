@@ -9,8 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import add, clamp, pick, ratio, safe_tanh
@@ -151,9 +154,18 @@ def moment_matrix(wide: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()
 
 
 def asset_correlations(returns: DataFrame, symbols: Sequence[str], value: str = "log_return") -> DataFrame:
-    """Correlation matrix of a given list of symbols over their common timestamps."""
-    wide = returns.filter(F.col("symbol").isin(*symbols)).groupBy("timestamp").pivot("symbol", list(symbols)).agg(F.first(value))
-    return moment_matrix(wide, list(symbols))
+    """Correlation matrix of a given list of symbols over their common timestamps (0 for constant series, 1 on the diagonal).
+
+    The symbols of a timestamp are gathered in one row, as many as the list names, and paired there."""
+    known = returns.filter(F.col("symbol").isin(*symbols) & F.col(value).isNotNull() & ~F.isnan(value))
+    one = known.groupBy("timestamp", "symbol").agg(F.first(value).alias("x"))
+    rows = one.groupBy("timestamp").agg(F.collect_list(F.struct(F.col("symbol").alias("a"), "x")).alias("_all")).filter(F.size("_all") == len(symbols))
+    pairs = rows.select("_all", F.explode("_all").alias("p")).select("p", F.explode("_all").alias("q"))
+    g = pairs.groupBy(F.col("p.a").alias("a"), F.col("q.a").alias("b")).agg(
+        F.covar_pop("p.x", "q.x").alias("c"), F.stddev_pop("p.x").alias("sa"), F.stddev_pop("q.x").alias("sb"), F.count(F.lit(1)).alias("n_rows")
+    )
+    rho = F.when(F.col("a") == F.col("b"), 1.0).otherwise(ratio(F.col("c"), F.col("sa") * F.col("sb"), 0.0))
+    return g.select("a", "b", rho.alias("correlation"), "n_rows")
 
 
 def cointegration(pairs: DataFrame, keys: Sequence[str] = ("symbol",), significance: float = 0.05) -> DataFrame:
@@ -464,29 +476,69 @@ def garch(series: DataFrame, omega: float = 1e-4, alpha: float = 0.1, beta: floa
     return s.withColumn("garch_vol", F.sqrt(F.greatest(var, F.lit(0.0)))).drop("_g", "_seed", "_i")
 
 
-def frac_weights(d: float, threshold: float = 1e-5, max_width: int = 10_000) -> list[float]:
+def frac_weights(d: float, threshold: float = 1e-5, max_width: int | None = None) -> list[float]:
     """Binomial weights of (1-L)^d, cut where they fall below the threshold."""
-    out, w = [1.0], 1.0
-    for k in range(1, max_width):
+    out, w, k = [1.0], 1.0, 1
+    while max_width is None or k < max_width:
         w *= (k - 1.0 - d) / k
         if abs(w) < threshold:
             break
         out.append(w)
+        k += 1
     return out
 
 
-def frac_diff(series: DataFrame, d: float, value: str, out: str = "frac_diff", threshold: float = 1e-5, max_width: int = 10_000) -> DataFrame:
-    """Fixed-width fractional difference; rows without a full window are dropped.
+def memory_retained(d: float, n_lags: int) -> float:
+    """Share of the absolute weight of order ``d`` in its first ``n_lags`` weights, against 10 000 weights or all above 1e-8."""
+    total = sum(map(abs, frac_weights(d, 1e-8, 10_000)))
+    return sum(map(abs, frac_weights(d)[:n_lags])) / total if total > 0 else 0.0
 
-    Each output row is the dot product of a bounded frame with the weight vector."""
-    weights = frac_weights(d, threshold, max_width)
-    n = len(weights)
-    w = by_time()
-    s = series.withColumn("_n", F.row_number().over(w)).withColumn("_a", F.collect_list(value).over(w.rowsBetween(-(n - 1), 0)))
-    s = s.filter(F.col("_n") >= n)
-    arr = F.array(*[F.lit(x) for x in reversed(weights)])
-    dot = F.aggregate(F.zip_with("_a", arr, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return s.withColumn(out, dot).drop("_n", "_a")
+
+def _convolved(x: np.ndarray, w: np.ndarray, spectrum: dict) -> np.ndarray:
+    """Weighted sums of the last ``len(w)`` values at every place (short windows at the start are not whole)."""
+    if len(w) <= 64:
+        return np.convolve(x, w)[: len(x)]
+    size = 1 << (len(x) + len(w) - 1).bit_length()
+    if size not in spectrum:  # one transform of the rows serves all orders
+        spectrum[size] = np.fft.rfft(x, size)
+    return np.fft.irfft(spectrum[size] * np.fft.rfft(w, size), size)[: len(x)]
+
+
+def _whole_windows(x: np.ndarray, n: int, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places with ``n`` values up to them (``before``: index of the first in its series), and those without a null there."""
+    missing = np.concatenate([[0], np.cumsum(np.isnan(x))])
+    at = np.arange(len(x))
+    start = np.maximum(at - n + 1, 0)
+    return before + at >= n - 1, missing[at + 1] == missing[start]
+
+
+def _series(keys: Sequence[str], order: Sequence[str], n: int):
+    from ..plans.ordered import Ordered
+
+    return Ordered(keys=tuple(keys), order=tuple(order), time=order[0], bucket_seconds=86_400 * 366, chunk_rows=max(16_384, 1 << (2 * n).bit_length()))
+
+
+def frac_diff(series: DataFrame, d: float, value: str, out: str = "frac_diff", threshold: float = 1e-5, max_width: int | None = None, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """Fixed-width fractional difference; rows without a full window are dropped, those with a null in it are null.
+
+    Block convolution: a series is cut into chunks of rows, each with the rows that the weights reach back to (overlap and
+    save), and a chunk is convolved by a fast transform, so neither a long series nor a wide window makes a row expensive."""
+    weights = np.array(frac_weights(d, threshold, max_width))
+    n, spec = len(weights), _series(keys, order, len(weights))
+    chunks = spec.chunks(series, halo=n - 1)
+    names = [*series.columns, out]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_i")
+        x = pd.to_numeric(rows[value]).to_numpy(float)
+        full, known = _whole_windows(x, n, int(rows["_i"].iat[0]))
+        y = _convolved(np.nan_to_num(x), weights, {})
+        rows[out] = np.where(known, y, np.nan)
+        return rows.loc[full & ~rows["_h"].to_numpy(bool), names]
+
+    schema = T.StructType([*series.schema.fields, T.StructField(out, T.DoubleType())])
+    found = chunks.groupBy(*keys, "_c").applyInPandas(run, schema)
+    return found.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
 def stationarity(series: DataFrame, value: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -510,28 +562,52 @@ def stationarity(series: DataFrame, value: str, keys: Sequence[str] = ("symbol",
     return g.select(*keys, F.when(ok, t).alias("t_stat"), F.coalesce(ok & (t < -2.86), F.lit(False)).alias("stationary"))
 
 
-def frac_diff_grid(series: DataFrame, orders: Sequence[float], value: str, threshold: float = 1e-5, max_width: int = 10_000) -> DataFrame:
-    """Fractional differences for several orders from one ordered pass: (symbol, timestamp, d, frac_diff)."""
-    sets = [(d, frac_weights(d, threshold, max_width)) for d in orders]
-    n = max(len(ws) for _, ws in sets)
-    w = by_time()
-    s = series.withColumn("_n", F.row_number().over(w)).withColumn(
-        "_a", F.reverse(F.collect_list(value).over(w.rowsBetween(-(n - 1), 0)))  # newest first
-    )
-    grid = F.array(*[F.struct(F.lit(float(d)).alias("d"), F.array(*[F.lit(x) for x in ws]).alias("w")) for d, ws in sets])
-    s = s.select("symbol", "timestamp", "_n", "_a", F.explode(grid).alias("_g")).filter(F.col("_n") >= F.size("_g.w"))
-    part = F.slice(F.col("_a"), F.lit(1), F.size("_g.w"))
-    dot = F.aggregate(F.zip_with(part, F.col("_g.w"), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    return s.select("symbol", "timestamp", F.col("_g.d").alias("d"), dot.alias("frac_diff"))
-
+def minimum_d(series: DataFrame, value: str, steps: int = 20, low: float = 0.0, high: float = 1.0, threshold: float = 1e-5, max_width: int | None = None, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("timestamp",)) -> DataFrame:
+    """Smallest order on a grid whose differenced series is stationary (``high`` if none), with the number of weights, the share
+    of memory retained (percent) and the test statistic of that order.
 
-def minimum_d(series: DataFrame, value: str, steps: int = 20, low: float = 0.0, high: float = 1.0, threshold: float = 1e-5, max_width: int = 10_000) -> DataFrame:
-    """Smallest order on a grid whose differenced series is stationary (``high`` if none)."""
+    All orders are convolved from one pass over the row chunks; a chunk gives the centred moments of level and change for each
+    order, and these are merged, so no row is repeated for an order."""
     grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
-    diffs = frac_diff_grid(series, grid, value, threshold, max_width)
-    test = stationarity(diffs, "frac_diff", ("symbol", "d"))
-    best = test.groupBy("symbol").agg(F.min(F.when(F.col("stationary"), F.col("d"))).alias("d"))
-    return best.select("symbol", F.coalesce("d", F.lit(high)).alias("d"))
+    weights = [np.array(frac_weights(d, threshold, max_width)) for d in grid]
+    widest = max(map(len, weights))
+    spec = _series(keys, order, widest)
+    chunks = spec.chunks(series.select(*keys, *order, value), halo=widest)
+    schema = T.StructType([series.schema[k] for k in keys] + [T.StructField(c, T.LongType() if c in ("step", "m") else T.DoubleType()) for c in ("step", "m", "mx", "my", "cxx", "cxy", "cyy")])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_i")
+        x = pd.to_numeric(rows[value]).to_numpy(float)
+        own, first, spectrum, out = ~rows["_h"].to_numpy(bool), int(rows["_i"].iat[0]), {}, []
+        for step, w in enumerate(weights):
+            full, known = _whole_windows(x, len(w), first)
+            ok = full & known
+            y = _convolved(np.nan_to_num(x), w, spectrum)
+            pair = np.flatnonzero(ok[1:] & ok[:-1] & own[1:])
+            if first and len(w) == widest:
+                pair = pair[pair >= len(w) - 1]
+            level, change = y[pair], y[pair + 1] - y[pair]
+            if len(pair):
+                a, b = level.mean(), change.mean()
+                out.append((*(rows[k].iat[0] for k in keys), step, len(pair), a, b, ((level - a) ** 2).sum(), ((level - a) * (change - b)).sum(), ((change - b) ** 2).sum()))
+        return pd.DataFrame(out, columns=schema.names)
+
+    c = F.col
+    part = chunks.groupBy(*keys, "_c").applyInPandas(run, schema)
+    g = part.groupBy(*keys, "step").agg(
+        F.sum("m").alias("m"), F.sum(c("m") * c("mx")).alias("sx"), F.sum(c("m") * c("my")).alias("sy"),
+        *[(F.sum(f"c{a}{b}") + F.sum(c("m") * c(f"m{a}") * c(f"m{b}")) - F.sum(c("m") * c(f"m{a}")) * F.sum(c("m") * c(f"m{b}")) / F.sum("m")).alias(f"s{a}{b}") for a, b in ("xx", "xy", "yy")],
+    )
+    slope = c("sxy") / F.when(c("sxx") > 0, c("sxx"))
+    se = F.sqrt(F.greatest(F.lit(1e-12), F.greatest(F.lit(0.0), c("syy") - slope * c("sxy")) / F.when(c("m") > 2, c("m") - 2) / F.when(c("sxx") > 0, c("sxx"))))
+    tested = g.select(*keys, "step", F.when((c("m") + 1 >= 20) & (c("sxx") >= 1e-10), slope / se).alias("t_stat"))
+    passed = tested.where(c("t_stat") < -2.86).groupBy(*keys).agg(F.min("step").alias("step"))
+    chosen = series.select(*keys).distinct().join(passed, list(keys), "left").withColumn("stationary", c("step").isNotNull()).withColumn("step", F.coalesce("step", F.lit(steps - 1).cast("long")))
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (c("step") + 1).cast("int"))
+    lags = [len(w) for w in weights]
+    record = chosen.join(tested, [*keys, "step"], "left")
+    kept = [100 * memory_retained(d, n) for d, n in zip(grid, lags)]
+    return record.select(*keys, at(grid).alias("d"), at(lags).cast("long").alias("n_lags"), at(kept).alias("memory_retained"), "t_stat", "stationary")
 
 
 # -- option gamma exposure ---------------------------------------------------------------------

@@ -113,7 +113,7 @@ def macro_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def economic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0")
+    o = table(spark, sf_dir, "orders")
     return o.select(
         F.col("o_orderkey").alias("event_id"),
         F.when(F.col("o_orderkey") % 100 == 0, "cpi").otherwise("rate_decision").alias("event_type"),
@@ -200,8 +200,7 @@ VIEW_SQL = {
     "economic_events": """economic_events AS (SELECT o_orderkey AS event_id,
       CASE WHEN o_orderkey % 100 = 0 THEN 'cpi' ELSE 'rate_decision' END AS event_type, o_orderdate AS scheduled_time,
       round(o_totalprice / 1000, 2) AS actual, round(o_totalprice / 1000 - o_orderkey % 7 + 3, 2) AS consensus,
-      CAST(o_orderkey % 3 + 1 AS INTEGER) AS impact_score FROM orders
-      WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0)""",
+      CAST(o_orderkey % 3 + 1 AS INTEGER) AS impact_score FROM orders)""",
     "assets": """assets AS (SELECT s_suppkey AS asset_id, s_name AS symbol, r_name AS exchange,
       CASE s_suppkey % 3 WHEN 0 THEN 'crypto' WHEN 1 THEN 'equity' ELSE 'forex' END AS asset_class,
       DATE '1996-01-01' AS listing_date FROM supplier JOIN nation ON s_nationkey = n_nationkey
