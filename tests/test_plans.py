@@ -13,7 +13,7 @@ from tickloom.operators import orderflow as O
 from tickloom.operators import volatility as X
 from tickloom.plans.asof import asof_join
 from tickloom.plans.ordered import INDEX, Ordered, TICKS
-from tickloom.plans.ranks import average_ranks
+from tickloom.plans.ranks import average_ranks, below, cells
 from tickloom.plans.recursion import decay, excitation
 from tickloom.plans.spans import interval_join
 from tickloom.sources import views as V
@@ -85,6 +85,21 @@ def test_excitation_equals_sum(spark):
     np.testing.assert_allclose(got["excitation"], want, atol=1e-15)
 
 
+def test_excitation_of_a_busy_stretch(spark):
+    """Ten thousand events in a few blocks, many at equal times, cut into small cells."""
+    rng = np.random.default_rng(8)
+    us = np.sort(np.r_[rng.integers(0, 90_000, 4000) * 10_000, rng.integers(0, 10**10, 200)])
+    df = spark.createDataFrame([("A", i, int(u)) for i, u in enumerate(us)] + [("A", 9999, None)], "symbol string, i int, us long").withColumn("timestamp", F.timestamp_micros("us"))
+    got = excitation(df, ("symbol",), "timestamp", 0.5, 1.0, rate=8, per_cell=4).toPandas().set_index("i").sort_index()
+    y, last, want = 0.0, us[0], []
+    for u, c in zip(*np.unique(us, return_counts=True)):
+        y *= math.exp(-(u - last) / 1e6)
+        want += [0.5 * y] * c
+        y, last = y + c, u
+    np.testing.assert_allclose(got.loc[: len(us) - 1, "excitation"], want, rtol=1e-9, atol=1e-12)
+    assert np.isnan(got.loc[9999, "excitation"])
+
+
 def test_asof(spark):
     ts = lambda d: d.withColumn("t", F.timestamp_seconds("t"))
     left = ts(spark.createDataFrame([("A", 5, 1), ("A", 10, 2), ("A", 200000, 3), ("B", 1, 4)], "k string, t long, id int"))
@@ -93,6 +108,24 @@ def test_asof(spark):
     loose = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "t", ["v"], False, 100).collect()}
     assert strict == {1: None, 2: 90, 3: 90, 4: None}
     assert loose == {1: 50, 2: 90, 3: 90, 4: None}
+    cut = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "t", ["v"], True, rate=1, per_cell=1).collect()}
+    assert cut == strict
+
+
+def test_asof_of_a_bursty_key(spark):
+    """Nearly all times of one key lie in one second: cells follow the rows, not the clock."""
+    rng = np.random.default_rng(5)
+    us = np.unique(np.r_[rng.integers(0, 1_000_000, 6000), rng.integers(0, 10**12, 300)])
+    side = rng.integers(0, 2, len(us))
+    df = spark.createDataFrame([("A", int(u), int(z)) for u, z in zip(us, side)], "k string, us long, side int").withColumn("t", F.timestamp_micros("us"))
+    left, right = df.filter("side = 0").select("k", "t", "us"), df.filter("side = 1").select("k", "t", F.col("us").alias("v"))
+    opts = dict(rate=16, per_cell=8)
+    got = {r.us: r.v for r in asof_join(left, right, ["k"], "t", "t", ["v"], True, **opts).collect()}
+    old = us[side == 1]
+    want = {int(u): (int(old[i - 1]) if (i := np.searchsorted(old, u)) else None) for u in us[side == 0]}
+    assert got == want
+    most = cells(df, ["k"], "us", **opts).groupBy("_cell").count().agg({"count": "max"}).first()[0]
+    assert most < 1000
 
 
 def test_interval_join(spark):
@@ -102,13 +135,50 @@ def test_interval_join(spark):
     assert got == {(i, 1) for i in range(20) if 1000 <= i * 600 < 5000} | {(8, 2)}
 
 
+def test_interval_join_over_all_lengths(spark):
+    """Intervals from nothing to months, nested and touching; null and reversed ones; both kinds of end; keys."""
+    rng = np.random.default_rng(6)
+    pts = [(i, "ab"[i % 2], int(x)) for i, x in enumerate(rng.integers(0, 10**7, 400))]
+    iv = [(i, "ab"[i % 2], int(a), int(a + w)) for i, (a, w) in enumerate(zip(rng.integers(-(10**6), 10**7, 80), (2 ** rng.uniform(0, 23, 80)).astype(int)))]
+    iv += [(80, "a", pts[0][2], pts[0][2]), (81, "a", 50, 40), (82, "a", None, 40), (83, "a", 40, None)]
+    p = spark.createDataFrame(pts, "id int, k string, s long").select("id", "k", F.timestamp_seconds("s").alias("t"))
+    v = spark.createDataFrame(iv, "ev int, k string, a long, b long").select("ev", "k", F.timestamp_seconds("a").alias("a"), F.timestamp_seconds("b").alias("b"))
+    for closed in (False, True):
+        got = sorted((r.id, r.ev) for r in interval_join(p, v, "t", "a", "b", ["k"], closed_end=closed).collect())
+        inside = lambda s, a, b: None not in (a, b) and a <= s and (s <= b if closed else s < b)
+        assert got == sorted((i, e) for i, k, s in pts for e, j, a, b in iv if j == k and inside(s, a, b))
+    assert interval_join(p, v.filter("ev < 0").drop("k"), "t", "a", "b").count() == 0
+
+
 def test_average_ranks(spark):
     v = [3.0, 1.0, 3.0, 2.0, None, 7.5, 7.5, 7.5]
     df = spark.createDataFrame([("A", i, x) for i, x in enumerate(v)], "k string, i int, v double")
-    got = {r.i: r.r for r in average_ranks(df, ["k"], {"v": "r"}, buckets=3).collect()}
+    got = {r.i: r.r for r in average_ranks(df, ["k"], {"v": "r"}, rate=1, per_cell=1).collect()}
     assert got == {0: 3.5, 1: 1.0, 2: 3.5, 3: 2.0, 4: None, 5: 6.0, 6: 6.0, 7: 6.0}
 
 
+def test_heavy_tail_and_constant_columns(spark):
+    """Equal-width cells would put nearly all of a heavy tail in one: sampled splitters keep cells alike."""
+    rng = np.random.default_rng(7)
+    x = np.exp(rng.normal(size=8000) * 9)
+    df = spark.createDataFrame([("A", i, float(v), 1.0) for i, v in enumerate(x)], "k string, i int, v double, c double").repartition(6)
+    opts = dict(rate=8, per_cell=16, max_cells=64)
+    got = average_ranks(df, ["k"], {"v": "r", "c": "s"}, **opts).toPandas().sort_values("i")
+    np.testing.assert_array_equal(got["r"], pd.Series(x).rank())
+    assert (got["s"] == 4000.5).all()
+    sizes = [r["count"] for r in cells(df, ["k"], "v", **opts).groupBy("_cell").count().collect()]
+    assert 50 <= len(sizes) <= 64
+    assert max(sizes) < 8000 / 20
+    assert cells(df, ["k"], "c", **opts).agg({"_cell": "max"}).first()[0] == 0
+    low = below(df, [], "v", {"n": F.lit(1), "t": F.col("c")}, **opts).toPandas().sort_values("i")
+    np.testing.assert_array_equal(low["n"], pd.Series(x).rank() - 1)
+    np.testing.assert_allclose(low["t"], low["n"])
+    odd = spark.createDataFrame([(None, 1.0), (None, 2.0), ("A", None), ("A", float("nan")), ("A", 3.0)], "k string, v double")
+    got = {(r.k, str(r.v)): r.n for r in below(odd, ["k"], "v", {"n": F.lit(1)}, rate=1, per_cell=1).collect()}
+    assert got == {(None, "1.0"): 0, (None, "2.0"): 1, ("A", "None"): 0, ("A", "3.0"): 1, ("A", "nan"): 2}
+    assert below(odd.filter("false"), ["k"], "v", {"n": F.lit(1)}).count() == 0
+
+
 def test_har_forecast_equals_least_squares(spark):
     rng = np.random.default_rng(1)
     rv = np.exp(rng.normal(size=60)) * 1e-4

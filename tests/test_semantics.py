@@ -92,6 +92,28 @@ def test_bootstrap_is_reproducible_and_centred(spark):
     assert a == b and a.ci_low < np.mean([r[2] for r in rows]) < a.ci_high
 
 
+def test_bootstrap_moments_equal_resampled_rows(spark):
+    """The blocks of every draw, written out row by row, give the same mean and deviation."""
+    rng = np.random.default_rng(9)
+    x = {"A": rng.normal(1e3, 1, 137), "B": rng.normal(size=1), "C": np.full(40, 2.5)}
+    rows = [(k, i, float(v)) for k, vs in x.items() for i, v in enumerate(vs)] + [("A", 500, None)]
+    d = spark.createDataFrame(rows, "strategy_id string, pos int, ret double").repartition(5)
+    for length in (1.0, 6.0, 500.0):
+        sizes = d.filter("ret IS NOT NULL").groupBy("strategy_id").agg(F.count("ret").alias("_n"))
+        blocks = P.bootstrap_blocks(sizes, ["strategy_id"], F.lit(length), 50).toPandas()
+        got = P.bootstrap_moments(d, ["strategy_id"], F.lit(length), 50, rate=2, per_cell=4).toPandas().set_index(["strategy_id", "boot"])
+        assert len(got) == 150
+        for (k, boot), g in blocks.groupby(["strategy_id", "boot"]):
+            v, n = x[k], len(x[k])
+            y = np.concatenate([v[(s + np.arange(m)) % n] for s, m in zip(g["start"], g["length"])])
+            assert len(y) == n
+            r = got.loc[(k, boot)]
+            assert r.m == pytest.approx(y.mean(), rel=1e-12)
+            assert (np.isnan(r.s) and n == 1) or r.s == pytest.approx(y.std(ddof=1), rel=1e-6, abs=1e-9)
+        if length == 6.0:
+            assert 3 < blocks[blocks.strategy_id == "A"]["length"].mean() < 8
+
+
 def test_cost_and_drawdown(spark):
     e = spark.createDataFrame([("A", i, v) for i, v in enumerate([100.0, 120.0, 90.0, 110.0, 130.0, 65.0])], "strategy_id string, pos int, equity double")
     r = P.drawdown(e).first()

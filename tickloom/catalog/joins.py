@@ -159,7 +159,7 @@ _CODES = {"1-URGENT": 4, "2-HIGH": 3, "3-MEDIUM": 2, "4-NOT SPECIFIED": 1, "5-LO
 )
 def asof_join_states(spark, d):
     pt, reg = _states(spark, d)
-    j = asof_join(pt, reg, ["symbol"], "timestamp", "timestamp", ["state"], strict=False, bucket_seconds=86_400 * 30)
+    j = asof_join(pt, reg, ["symbol"], "timestamp", "timestamp", ["state"], strict=False)
     code = F.create_map(*[F.lit(x) for kv in _CODES.items() for x in kv])
     return j.select("o_orderkey", "state", F.try_element_at(code, F.col("state")).alias("code"))
 
@@ -170,7 +170,7 @@ def asof_join_states(spark, d):
 )
 def asof_missing(spark, d):
     pt, reg = _states(spark, d)
-    return missing_matches(asof_join(pt, reg, ["symbol"], "timestamp", "timestamp", ["state"], strict=False, bucket_seconds=86_400 * 30), "state")
+    return missing_matches(asof_join(pt, reg, ["symbol"], "timestamp", "timestamp", ["state"], strict=False), "state")
 
 
 @query(

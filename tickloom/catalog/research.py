@@ -102,7 +102,7 @@ def ic_newey_west(spark, d):
 
 @query("ic_summary")
 def ic_summary(spark, d):
-    s = R.ic_summary(_panel(spark, d), _SER, n_boot=50)
+    s = R.ic_summary(_panel(spark, d), _SER, n_boot=1000)
     s = s.withColumn("decision", R.ic_decision(F.col("ic"), F.col("ic_ir")))
     return rounded(s.withColumn("ic_decay", F.concat_ws(",", F.transform("ic_decay", lambda x: F.round(x, 5).cast("string")))), 5)
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import ratio
 from ..functions.special import normal_cdf, ppf
 from ..plans.ordered import INDEX, Ordered
+from ..plans.ranks import below
 from . import trades as T
 
 ANNUAL = math.sqrt(252.0)
@@ -303,33 +304,69 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def stationary_bootstrap(returns: DataFrame, keys: Sequence[str] = ("strategy_id",), n_boot: int = 1000, seed: int = 42, value: str = "ret") -> DataFrame:
-    """Resampled rows (keys, boot, value): circular blocks of geometric length, mean length n^(1/3).
+def bootstrap_blocks(sizes: DataFrame, keys: Sequence[str], length: Column, n_boot: int, seed: int = 42) -> DataFrame:
+    """Blocks (keys, boot, start, length) of the stationary bootstrap, for series of ``_n`` rows.
 
-    A restart flag per position opens a block; the running last restart gives every position its source.
-    Meant for calendar-bounded series (daily returns)."""
+    Starts are uniform, lengths geometric with mean ``length`` (at least 1), the last block of a draw is cut at
+    ``_n`` rows. So many blocks are drawn that running out has a chance below 1e-12; then the last one is longer."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("pos")
-    src = returns.select(*keys, (F.row_number().over(w) - 1).alias("_src"), F.col(value).alias("_v"))
-    n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    grid = src.join(n, keys).drop("_v").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    p = 1 / F.greatest(F.lit(1.0), F.round(F.pow(F.col("_n").cast("double"), 1 / 3)))
-    id_ = [F.lit(seed), *[F.col(k) for k in keys], F.col("boot"), F.col("_src")]
-    start = (F.col("_src") == 0) | (_uniform(*id_, F.lit("r")) < p)
-    at = F.when(start, F.struct(F.col("_src").alias("j"), F.floor(_uniform(*id_, F.lit("s")) * F.col("_n")).alias("s")))
-    bw = Window.partitionBy(*keys, "boot").orderBy("_src").rowsBetween(Window.unboundedPreceding, 0)
-    g = grid.withColumn("_b", F.last(at, ignorenulls=True).over(bw))
-    g = g.select(*keys, "boot", ((F.col("_b.s") + F.col("_src") - F.col("_b.j")) % F.col("_n")).alias("_src"))
-    return g.join(src, [*keys, "_src"]).select(*keys, "boot", F.col("_v").alias(value))
+    p = 1.0 / F.greatest(F.lit(1.0), length)
+    n = F.col("_n").cast("double")
+    most = F.least(F.col("_n"), F.ceil(n * p + 8 * F.sqrt(n * p) + 16))
+    d = sizes.select(*keys, "_n", p.alias("_p"), most.alias("_k")).withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    d = d.repartition(*keys, "boot").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+    id_ = [F.lit(seed), *[F.col(k) for k in keys], F.col("boot"), F.col("_j")]
+    rest = F.when(F.col("_p") < 1, F.log(1 - F.col("_p")))
+    size = F.coalesce(1 + F.floor(F.log(1 - _uniform(*id_, F.lit("l"))) / rest), F.lit(1))
+    w = Window.partitionBy(*keys, "boot").orderBy("_j").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_len", size).withColumn("_at", F.coalesce(F.sum("_len").over(w), F.lit(0))).filter(F.col("_at") < F.col("_n"))
+    left = F.col("_n") - F.col("_at")
+    size = F.when(F.col("_j") == F.col("_k") - 1, left).otherwise(F.least(F.col("_len"), left))
+    return d.select(*keys, "boot", "_n", F.floor(_uniform(*id_, F.lit("s")) * F.col("_n")).alias("start"), size.alias("length"))
+
+
+def bootstrap_moments(series: DataFrame, keys: Sequence[str], length: Column, n_boot: int = 1000, seed: int = 42, value: str = "ret", **split: int) -> DataFrame:
+    """Mean ``m`` and sample deviation ``s`` of each draw (keys, boot) of the circular stationary bootstrap.
+
+    A block is a difference of two running sums, so a draw costs its blocks and not its rows. Values are centred,
+    scaled by their range and summed as decimals of 18 places: differences lose nothing, and the order in which
+    tasks add does not show. ``length`` may use ``_n``, the rows of the series. ``pos`` orders a series (ties: by
+    value); rows without a value take no part, ``s`` is null for one row."""
+    keys = list(keys)
+    x = series.filter(F.col(value).isNotNull()).select(*keys, "pos", F.col(value).cast("double").alias("_x"))
+    # a float holds the centre: any near the mean serves, and this one does not depend on the order of addition
+    centre = F.avg("_x").cast("float").cast("double")
+    size = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), centre.alias("_mu"), (F.max("_x") - F.min("_x")).alias("_range"))
+    scale = F.when(F.col("_range") > 0, F.col("_range")).otherwise(F.lit(1.0))
+    z = (F.col("_x") - F.col("_mu")) / scale
+    x = x.join(size.select(*keys, "_mu", "_range"), keys).withColumn("_z", z)
+    x = x.select(*keys, "pos", F.col("_z").cast("decimal(22,18)").alias("_z"), (F.col("_z") * F.col("_z")).cast("decimal(22,18)").alias("_zz"))
+    whole = x.groupBy(*keys).agg(F.sum("_z").cast("double").alias("_tz"), F.sum("_zz").cast("double").alias("_tq"))
+    run = below(x, keys, "pos", {"_src": F.lit(1).cast("long"), "_p": F.col("_z"), "_q": F.col("_zz")}, tie=("_z",), **split)
+    b = bootstrap_blocks(size, keys, length, n_boot, seed)
+    end = F.col("start") + F.col("length")
+    around = (end >= F.col("_n")).cast("int")
+    ends = F.array(
+        F.struct(F.col("start").alias("src"), F.lit(False).alias("end"), F.lit(0).alias("around")),
+        F.struct((end % F.col("_n")).alias("src"), F.lit(True).alias("end"), around.alias("around")),
+    )
+    e = b.select(*keys, "boot", F.explode(ends).alias("_e")).select(*keys, "boot", F.col("_e.src").alias("_src"), "_e.end", "_e.around")
+    e = e.join(run.select(*keys, "_src", F.col("_p").cast("decimal(28,18)").alias("_p"), F.col("_q").cast("decimal(28,18)").alias("_q")), [*keys, "_src"])
+    signed = lambda c: F.sum(F.when(F.col("end"), F.col(c)).otherwise(-F.col(c))).cast("double").alias(c)
+    g = e.groupBy(*keys, "boot").agg(signed("_p"), signed("_q"), F.sum("around").alias("_a")).join(size, keys).join(whole, keys)
+    n = F.col("_n").cast("double")
+    shift = (F.col("_p") + F.col("_a") * F.col("_tz")) / n
+    square = F.greatest(F.lit(0.0), F.col("_q") + F.col("_a") * F.col("_tq") - n * shift * shift)
+    mean = F.col("_mu") + scale * shift
+    return g.select(*keys, "boot", mean.alias("m"), (scale * F.sqrt(square / F.when(n > 1, n - 1))).alias("s"), F.col("_n").alias("n"))
 
 
 def bootstrap_interval(returns: DataFrame, keys: Sequence[str] = ("strategy_id",), statistic: str = "sharpe", n_boot: int = 1000, confidence: float = 0.95, seed: int = 42, value: str = "ret") -> DataFrame:
-    """Percentile interval of the mean or the Sharpe ratio."""
+    """Percentile interval of the mean or the Sharpe ratio, mean block length n^(1/3); null where no draw has a finite one."""
     keys = list(keys)
-    b = stationary_bootstrap(returns, keys, n_boot, seed, value)
-    g = b.groupBy(*keys, "boot").agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("s"), F.count(value).alias("n"))
+    g = bootstrap_moments(returns, keys, F.round(F.pow(F.col("_n").cast("double"), 1 / 3)), n_boot, seed, value)
     stat = F.col("m") if statistic == "mean" else sharpe_column(F.col("m"), F.col("s"), F.col("n"))
-    g = g.withColumn("_s", stat).filter(F.abs("_s") < float("inf"))
+    g = g.withColumn("_s", stat).withColumn("_s", F.when(F.abs("_s") < float("inf"), F.col("_s")))
     a = (1 - confidence) / 2
     return g.groupBy(*keys).agg(F.expr(f"percentile(_s, {a})").alias("ci_low"), F.expr(f"percentile(_s, {1 - a})").alias("ci_high"))
 

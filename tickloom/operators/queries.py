@@ -62,7 +62,7 @@ def previous_value(series: DataFrame, seconds: int, keys: tuple[str, ...] = ("se
 
     left = series.withColumn("_at", F.timestamp_micros(F.unix_micros("timestamp") - seconds * 1_000_000))
     right = series.select(*keys, F.col("timestamp").alias("_rt"), F.col(value).alias("previous_value"))
-    j = asof_join(left, right, keys, "_at", "_rt", ["previous_value"], strict=False, bucket_seconds=86_400 * 366)
+    j = asof_join(left, right, keys, "_at", "_rt", ["previous_value"], strict=False)
     first = series.groupBy(*keys).agg(F.min_by(value, "timestamp").alias("_first"))
     j = j.join(first, list(keys))
     return j.withColumn("previous_value", F.coalesce("previous_value", "_first")).drop("_at", "_first")

@@ -19,8 +19,8 @@ from pyspark.sql.window import Window
 from ..functions.columns import add, ratio
 from ..functions.special import t_p_value
 from ..plans.ordered import CHUNK, HALO, INDEX, Ordered
-from ..plans.ranks import average_ranks, ranks_in
-from .performance import ANNUAL, _uniform, sharpe_column
+from ..plans.ranks import average_ranks, below, ranks_in
+from .performance import ANNUAL, bootstrap_moments, sharpe_column
 
 
 def forward_returns(prices: DataFrame, horizons: Sequence[int], s: Ordered, price: str = "price") -> DataFrame:
@@ -224,22 +224,11 @@ def turnover(panel: DataFrame, s: Ordered, keys: Sequence[str] = PANEL_KEYS) ->
 
 
 def block_interval(series: DataFrame, keys: Sequence[str], n_boot: int, seed: int = 42, value: str = "ic", confidence: float = 0.95) -> DataFrame:
-    """Bootstrap interval of the mean with circular blocks whose mean length is the horizon."""
+    """Bootstrap interval of the mean with circular blocks whose mean length is the horizon (one of ``keys``)."""
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("pos")
-    src = series.select(*keys, (F.row_number().over(w) - 1).alias("_src"), F.col(value).alias("_v"))
-    n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    grid = src.join(n, keys).withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    p = 1.0 / F.greatest(F.col("horizon").cast("double"), F.lit(1.0))
-    id_ = [F.lit(seed), *[F.col(k) for k in keys], F.col("boot"), F.col("_src")]
-    start = (F.col("_src") == 0) | (_uniform(*id_, F.lit("r")) < p)
-    at = F.when(start, F.struct(F.col("_src").alias("j"), F.floor(_uniform(*id_, F.lit("s")) * F.col("_n")).alias("s")))
-    bw = Window.partitionBy(*keys, "boot").orderBy("_src").rowsBetween(Window.unboundedPreceding, 0)
-    g = grid.withColumn("_b", F.last(at, ignorenulls=True).over(bw))
-    g = g.select(*keys, "boot", ((F.col("_b.s") + F.col("_src") - F.col("_b.j")) % F.col("_n")).alias("_src"))
-    m = g.join(src, [*keys, "_src"]).groupBy(*keys, "boot").agg(F.avg("_v").alias("_m"))
+    m = bootstrap_moments(series, keys, F.col("horizon").cast("double"), n_boot, seed, value)
     a = (1 - confidence) / 2
-    return m.groupBy(*keys).agg(F.expr(f"percentile(_m, {a})").alias("ci_low"), F.expr(f"percentile(_m, {1 - a})").alias("ci_high"))
+    return m.groupBy(*keys).agg(F.expr(f"percentile(m, {a})").alias("ci_low"), F.expr(f"percentile(m, {1 - a})").alias("ci_high"))
 
 
 def ic_decision(ic: Column, ir: Column) -> Column:
@@ -612,21 +601,14 @@ def warm(df: DataFrame, n: int, s: Ordered) -> DataFrame:
 
 
 # -- classifier scores ------------------------------------------------------------------------------
-def weighted_auc(scores: DataFrame, keys: Sequence[str] = (), p: str = "p", y: str = "y", w: str = "w", cells: int = 1024) -> DataFrame:
-    """Weighted area under the ROC curve from class weights per distinct score.
-
-    Scores lie in [0, 1]; equal-width cells carry what lies below them, so no group is sorted whole."""
+def weighted_auc(scores: DataFrame, keys: Sequence[str] = (), p: str = "p", y: str = "y", w: str = "w", **split: int) -> DataFrame:
+    """Weighted area under the ROC curve from class weights per distinct score (any range, no group is sorted whole)."""
     keys = list(keys)
     d = scores.groupBy(*keys, F.col(p).alias("_p")).agg(
         F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("_a"), F.sum(F.when(F.col(y) == 0, F.col(w)).otherwise(0.0)).alias("_b")
     )
-    d = d.withColumn("_cell", F.least(F.floor(F.col("_p") * cells), F.lit(cells - 1)))
-    tot = d.groupBy(*keys, "_cell").agg(F.sum("_b").alias("_t"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most ``cells`` rows
-    tot = tot.select(*keys, "_cell", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_low"))
-    w_ = Window.partitionBy(*keys, "_cell").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_in", F.coalesce(F.sum("_b").over(w_), F.lit(0.0))).join(tot, [*keys, "_cell"])
-    g = d.groupBy(*keys).agg(F.sum(F.col("_a") * (F.col("_low") + F.col("_in") + F.col("_b") / 2)).alias("u"), F.sum("_a").alias("pos"), F.sum("_b").alias("neg"))
+    d = below(d, keys, "_p", {"_low": F.col("_b")}, **split)
+    g = d.groupBy(*keys).agg(F.sum(F.col("_a") * (F.col("_low") + F.col("_b") / 2)).alias("u"), F.sum("_a").alias("pos"), F.sum("_b").alias("neg"))
     return g.select(*keys, ratio(F.col("u"), F.col("pos") * F.col("neg")).alias("auc"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import CELL
+from .ranks import cells as cut
+
 
 def asof_join(
     left: DataFrame,
@@ -17,17 +20,18 @@ def asof_join(
     right_time: str,
     cols: Sequence[str],
     strict: bool,
-    bucket_seconds: int = 86_400,
+    bucket_seconds: int | None = None,
     right_order: Sequence[str] = (),
+    **split: int,
 ) -> DataFrame:
     """Left rows with ``cols`` of the last right row before (``strict``) or at-or-before them.
 
-    Both sides are tagged, united and ordered within (key, time bucket); what a bucket inherits from
-    earlier buckets comes from a small summary, so a busy key is spread over its buckets. Left rows
-    without a match keep nulls. ``right_order`` breaks ties between right rows of equal time.
+    Both sides are tagged, united and ordered within (key, cell); what a cell inherits from earlier cells
+    comes from a small summary. Cells are cut at sampled times (:func:`~.ranks.cells`), so they hold about as
+    many times each, however unevenly a key is spread; ``bucket_seconds`` asks for fixed time buckets
+    instead. Left rows without a match keep nulls. ``right_order`` breaks ties between right rows of equal time.
     """
     keys = list(keys)
-    width = F.lit(bucket_seconds * 1_000_000.0)
     payload = F.struct(*[F.col(c) for c in cols])
     left_tag, right_tag = (0, 1) if strict else (1, 0)
     tie = F.struct(*[F.col(c) for c in right_order]) if right_order else F.struct(F.lit(0).alias("z"))
@@ -44,7 +48,11 @@ def asof_join(
         payload.alias("_pay"),
         tie.alias("_tie"),
     )
-    both = lrows.unionByName(rrows, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_us") / width))
+    both = lrows.unionByName(rrows, allowMissingColumns=True)
+    if bucket_seconds:
+        both = both.withColumn("_b", F.floor(F.col("_us") / F.lit(bucket_seconds * 1_000_000.0)))
+    else:
+        both = cut(both, keys, "_us", **split).withColumnRenamed(CELL, "_b")
     cells = [*keys, "_b"]
     latest = both.groupBy(*cells).agg(
         F.max_by("_pay", F.when(F.col("_pay").isNotNull(), F.struct("_us", "_tie"))).alias("_end")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ordered import CHUNK, INDEX, Ordered
+from .ranks import below
 
 _MAX_EXPONENT = 600.0  # exp(600) is representable as a double
 _MEMORY = 46.1  # exp(-46.1) < 1e-20
@@ -48,26 +49,22 @@ def decay(df: DataFrame, series: Ordered, a: float, terms: Mapping[str, Column])
 
 
 def excitation(
-    df: DataFrame, keys: tuple[str, ...], time: str, alpha: float, beta: float, out: str = "excitation"
+    df: DataFrame, keys: tuple[str, ...], time: str, alpha: float, beta: float, out: str = "excitation", **split: int
 ) -> DataFrame:
     """Sum over strictly earlier events of alpha*exp(-beta*(t - t_i)), seconds since the event.
 
-    Splits by time: a block spans 300/beta seconds and also sees the 50/beta seconds before it.
-    """
-    span, memory = 300.0 / beta, 50.0 / beta
-    t = F.unix_micros(F.col(time)) / F.lit(1e6)
-    c = F.floor(t / F.lit(span))
-    own = F.struct(c.alias("c"), F.lit(False).alias("h"))
-    nxt = F.struct((c + 1).alias("c"), F.lit(True).alias("h"))
-    late = t >= (c + 1) * F.lit(span) - F.lit(memory)
-    parts = df.withColumn("_to", F.explode(F.when(late, F.array(own, nxt)).otherwise(F.array(own))))
-    parts = parts.withColumn("_us", F.unix_micros(F.col(time))).withColumn(
-        "_x", F.lit(beta) * (F.col("_us") / F.lit(1e6) - (F.col("_to.c") * F.lit(span) - F.lit(memory)))
-    )
-    w = Window.partitionBy(*keys, F.col("_to.c")).orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    acc = F.coalesce(F.sum(F.exp("_x")).over(w), F.lit(0.0))
-    return (
-        parts.withColumn(out, F.lit(alpha) * F.exp(-F.col("_x")) * acc)
-        .filter(~F.col("_to.h"))
-        .drop("_to", "_us", "_x")
-    )
+    Events of one time are counted first. A block spans 300/beta seconds: inside it the sum is a running sum
+    of exp(beta*t_i), evaluated in cells of bounded size (:func:`~.ranks.below`), so a busy stretch is many
+    tasks; from block to block the state is the affine map exp(-300)*state + total, and what lies two blocks
+    back is below any double. Rows without a time or with a null key get null."""
+    keys = list(keys)
+    span = F.lit(300.0 / beta)
+    t = F.col("_us") / F.lit(1e6)
+    pts = df.groupBy(*keys, F.unix_micros(F.col(time)).alias("_us")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_us").isNotNull())
+    pts = pts.withColumn("_blk", F.floor(t / span)).withColumn("_x", F.lit(beta) * (t - F.col("_blk") * span))
+    pts = pts.withColumn("_w", F.col("_n") * F.exp("_x"))
+    prev = pts.groupBy(*keys, (F.col("_blk") + 1).alias("_blk")).agg(F.sum("_w").alias("_prev"))
+    acc = below(pts, [*keys, "_blk"], "_us", {"_acc": F.col("_w")}, **split).join(prev, [*keys, "_blk"], "left")
+    state = F.exp(-F.col("_x")) * (F.col("_acc") + F.exp(F.lit(-300.0)) * F.coalesce("_prev", F.lit(0.0)))
+    acc = acc.select(*keys, "_us", (F.lit(alpha) * state).alias(out))
+    return df.withColumn("_us", F.unix_micros(F.col(time))).join(acc, [*keys, "_us"], "left").select(*df.columns, out)
