@@ -273,6 +273,38 @@ def test_template_lines_in_an_article_go(spark):
     assert all(out[50 + i] == f"{story(99)}\n\nCopy {i}" for i in range(3))
 
 
+def test_copies_without_an_article_stay():
+    """Equal and nearly equal pages with no article keep their text; other neighbours still take the template out."""
+    story = [f"<p>{' '.join(f's{i}w{k}' for k in range(40))}</p>" for i in range(4)]
+    page = lambda *body: pagediff.lines("<body><div>Top line</div>" + "".join(body) + "<div>Bottom line</div></body>")
+    a, b, c = page(*story[:3]), page(*story[:3], "<p>Printed</p>"), page(story[3])
+    whole = "\n\n".join(x for x, _ in a)
+    told = "\n\n".join(x for x, _ in a[1:-1])
+    assert pagediff.main_text(a, [a]) == pagediff.main_text(a, [a, b]) == whole
+    assert pagediff.main_text(a, [c]) == pagediff.main_text(a, [a, c]) == told
+    assert pagediff.main_text(b, [a, c]) == told + "\n\nPrinted"
+    assert pagediff.main_text([], [a]) == pagediff.main_text([], []) == ""
+
+
+def test_broken_pages_take_linear_time():
+    """Tags, quotes and elements that never close; 1 MB each. Defined results on small ones."""
+    import time
+
+    end = "</body>"
+    for unit in ("<a ", '<a x="', "<a x='\">", "<", "<i>", "<i><p>", "<!", "<p", "&", "<div x=\"'>"):
+        for tail in ("", end, '"' + end):
+            t = time.process_time()
+            pagediff.lines(unit * (1_000_000 // len(unit)) + tail)
+            assert time.process_time() - t < 20, (unit, tail)
+    t = time.process_time()
+    pagediff.lines("<i>" * 100_000 + "<p>x</p>" * 50_000 + "</i>" * 100_000)
+    assert time.process_time() - t < 20
+    text = lambda x: [line for line, _ in pagediff.lines(x)]
+    assert text("<p>one<p>two <a ") == ["one", "two <a"]
+    assert text('<p>one<a href="x>two</a><p>three') == ["onetwo", "three"]
+    assert text('<p title="a > b">one</p>a < b') == ["one", "a < b"]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     def length(a, b):
         row = [0] * (len(b) + 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,10 @@ CHROME_WORDS = re.compile(
 ROOTS = frozenset(("article", "main"))
 #: Articles that share so much of their characters are copies of each other.
 COPY = 0.75
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Pages without an article that share so much of their characters outside of chrome are copies of each other.
+BARE_COPY = 0.9
+#: A tag without its ">": nothing in it is tried twice.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that a new one of these closes, as far as the nearest of the second set.
 _CLOSED_BY = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -46,8 +50,11 @@ _FENCE = frozenset("ul ol dl table article section div main body aside nav foote
 def lines(page: str | None) -> list[tuple[str, int]]:
     """Blocks of text in page order, each with a mark: 0 outside an article, 1 inside, 2 in chrome.
 
-    Runs of white space are one space, references are decoded, empty blocks are left out."""
+    Runs of white space are one space, references are decoded, empty blocks are left out. A tag with a quote that is never
+    closed ends at the first ">", and a "<" with no ">" behind it is text."""
     page = page or ""
+    last = page.rfind(">")
+    opened: Counter[str] = Counter()
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = [("", 0)]
     text: list[str] = []
@@ -62,29 +69,35 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
-        if m is None:
+        if m is None or m[2] is not None and m.start() > last:
             text.append(page[at:])
             break
         if m.start() > at:
             text.append(page[at : m.start()])
-        at = m.end()
-        name = m[2]
+        at, name, attributes = m.end(), m[2], m[3]
         if name is None:
             if m[0].startswith("<![CDATA["):
                 text.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
+        if not page.startswith(">", at):
+            at = page.index(">", m.end(2))
+            attributes = page[m.end(2) : at]
+        at += 1
         name = name.lower()
         if m[1]:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 if name in BLOCKS or name in CHROME:
                     close()
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    top = stack.pop()[0]
+                    opened[top] -= 1
+                    if top == name:
+                        break
             elif name in BLOCKS:
                 close()
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
@@ -92,22 +105,25 @@ def lines(page: str | None) -> list[tuple[str, int]]:
             text.append(" ")
         if name in BLOCKS or name in CHROME:
             close()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in _CLOSED_BY.get(name, ()):
+            closed_by = [x for x in _CLOSED_BY.get(name, ()) if opened[x]]
+            for k in range(len(stack) - 1, 0, -1) if closed_by else ():
+                if stack[k][0] in closed_by:
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in _FENCE:
                     break
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         mark = stack[-1][1]
         if mark < 2:
-            words = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3])) if m[3] else ""
+            words = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
             if name in CHROME and not (name == "header" and mark == 1) or words and name not in ("html", "body", *ROOTS) and CHROME_WORDS.search(words):
                 mark = 2
             elif name in ROOTS:
                 mark = 1
         stack.append((name, mark))
+        opened[name] += 1
     close()
     return out
 
@@ -170,9 +186,9 @@ def _back(b: list[int], x: int, before: int, length: int, j: int) -> int:
     raise AssertionError
 
 
-def _size(page: list[tuple[str, int]]) -> int:
-    """Characters inside an article."""
-    return sum(len(x) for x, mark in page if mark == 1)
+def _size(page: list[tuple[str, int]], inside: int = 1) -> int:
+    """Characters inside an article, or of the blocks with another mark."""
+    return sum(len(x) for x, mark in page if mark == inside)
 
 
 def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
@@ -181,12 +197,15 @@ def main_text(page: list[tuple[str, int]], neighbours: list[list[tuple[str, int]
     What a longest common subsequence with a neighbour holds is deleted as template. Inside an article a shared line comes
     back as quoted only if a neighbour speaks for that: the article on the other side lacks the line, or each one that holds
     it is nearly the same (:data:`COPY` of the characters of the longer one), so that nothing can be told from it.
-    Of the lines that differ, those in chrome go, and on a page with an article those outside of it."""
+    Of the lines that differ, those in chrome go, and on a page with an article those outside of it. On a page without an
+    article a neighbour that is nearly the same outside of chrome (:data:`BARE_COPY`) tells nothing either, so copies leave
+    each other whole."""
     number: dict[tuple[str, int], int] = {}
     own = [number.setdefault(x, len(number)) for x in page]
     held = [set(shared(own, [number.setdefault(x, len(number)) for x in other])) for other in neighbours]
-    gone = set().union(*held)
     if not any(mark == 1 for _, mark in page):
+        bare = _size(page, 0)
+        gone = set().union(*(h for h, other in zip(held, neighbours) if _size([page[i] for i in h], 0) < BARE_COPY * max(bare, _size(other, 0))))
         return "\n\n".join(x for i, (x, mark) in enumerate(page) if mark == 0 and i not in gone)
     size = _size(page)
     telling = [h for h, other in zip(held, neighbours) if 0 < (n := _size(other)) and _size([page[i] for i in h]) < COPY * max(size, n)]
