@@ -97,6 +97,31 @@ def base_scores(docs):
     return {d: (held[d], len(t), sum(c[x] > 0 for x in t), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in t)) for d, t in toks.items()}
 
 
+def bigram_scores(docs, base, mu):
+    """{doc_id: log10 probability} with exact counts, each replaced by the middle of its level."""
+    begin, end = object(), object()
+    toks = {d: [*words(lower(t)), end] for d, t in docs}
+    train = [t for d, t in toks.items() if zlib.crc32(("" if d is None else str(d)).encode()) % 10]
+    one, two = Counter(x for t in train for x in t), Counter(x for t in train for x in zip([begin, *t], t))
+    n, v = sum(one.values()), len(one)
+    one[begin] = len(train)
+
+    def middle(c):
+        if not c:
+            return 0.0
+        level = 0
+        while math.ceil(base ** (level + 1) - 1e-9) <= c:
+            level += 1
+        low = math.ceil(base**level - 1e-9)
+        return (low + max(low, math.ceil(base ** (level + 1) - 1e-9) - 1)) / 2
+
+    def p(a, b):
+        before, single = middle(one[a]), (middle(one[b]) + 0.1) / (n + 0.1 * (v + 1))
+        return (min(middle(two[a, b]), before) + mu * single) / (before + mu)
+
+    return {d: sum(math.log10(p(a, b)) for a, b in zip([begin, *t], t)) for d, t in toks.items()}
+
+
 def top_k(rows, k=5):
     """[(query_id, rank, vec_id, score)] for [(vec_id, vector)]."""
     ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]

@@ -200,9 +200,22 @@ def test_language_model(spark, rows):
 
 def test_language_model_in_several_passes(spark, rows, monkeypatch):
     one = {r.doc_id: r.score for r in bloomlm.score(frame(spark, rows)).collect()}
-    monkeypatch.setattr(bloomlm, "MAX_MB", 0.012)
-    many = {r.doc_id: r.score for r in bloomlm.score(frame(spark, rows)).collect()}
-    assert one.keys() == many.keys() and all(abs(one[d] - many[d]) <= 0.05 * abs(one[d]) for d in one)
+    # limits that still hold the largest segment: words alone in one pass, pairs in several; then both in several
+    for limit in (0.024, 0.012):
+        monkeypatch.setattr(bloomlm, "MAX_MB", limit)
+        many = {r.doc_id: r.score for r in bloomlm.score(frame(spark, [*rows, rows[3], rows[3]])).collect()}
+        again = {r.doc_id: r.score for r in bloomlm.score(frame(spark, rows)).collect()}
+        assert one.keys() == many.keys() == again.keys()
+        assert all(math.isclose(one[d], again[d], rel_tol=1e-9) for d in one), limit
+
+
+def test_language_model_against_exact_counts(spark, rows):
+    """Scores of the filter against the same smoothing on exact counts, rounded to levels alike."""
+    want = brute.bigram_scores(rows, bloomlm.BASE, bloomlm.MU)
+    out = {r.doc_id: r.score for r in bloomlm.score(frame(spark, rows)).collect()}
+    assert out.keys() == want.keys()
+    near = sum(abs(out[d] - want[d]) <= 0.01 * abs(want[d]) for d in want)
+    assert near >= 0.99 * len(want) and all(abs(out[d] - want[d]) <= 0.05 * abs(want[d]) for d in want)
 
 
 def test_log_filter():

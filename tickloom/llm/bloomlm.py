@@ -2,10 +2,10 @@
 
 A count c becomes the level 1 + floor(log_base c), and the filter gets the pairs (n-gram, 1) to (n-gram, level). A count is
 read back by probing level 1, 2, 3 and so on until one is missing, so it can only be too high, and by d levels with
-probability (1/2)^(hashes * d) at most. Words and pairs of words have a filter each, cut into segments by hash; a segment is
-filled in one task. At most ``MAX_MB`` of the pairs' filter are broadcast at a time: more counts mean more passes over the
-texts, not more memory and not more errors. The words' filter (``WORDS_MB``) has no second pass; with over 60 million
-distinct words its bits for each word get fewer, and rare words begin to look up to a level more frequent.
+probability 0.0022^d. Words and pairs of words have a filter each, cut into segments by hash; a segment is
+filled in one task. At most ``MAX_MB`` of a filter are broadcast at a time: more counts mean more passes over the texts, not
+more memory and not more errors. Words that need several passes have their levels written, one byte a token, before pairs are
+looked up.
 
 p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); a text begins after a mark and
 closes with an end token. Words are named by 64-bit hashes, pairs by 40 bits and their segment.
@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BASE, MU, HASHES, MAX_MB, WORDS_MB = 1.5, 8.0, 5, 64, 64
+BASE, MU, HASHES, MAX_MB = 1.5, 8.0, 5, 64
+#: Bits of a segment for each entry: 29 % of the bits are set, and a missing level is read as present once in 460 probes.
+ENTRY_BITS = 2 * HASHES / np.log(2)
 #: Text bytes worked on at once, token rows held by a task before they are thinned out and sent, text bytes of a part at
 #: most, and the share of all tokens from which a word is frequent: at most about 1 / SHARE words can be, so their exact
 #: counts may be broadcast.
@@ -366,24 +368,71 @@ def _summed_up(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cells], schema=_PARTIAL)
 
 
-def _model(parts: int, words, pairs, n_train: int, n_types: int):
-    """Sums of log10 p over the tokens whose pair is in one of the segments at hand."""
+def _begin(single: LogFilter, parts: int) -> int:
+    """Level of the mark before every text; -1 if its segment is not at hand."""
+    return int(single.level(np.array([BEGIN]), np.array([int(BEGIN % np.uint64(parts))]))[0])
+
+
+def _levels(parts: int, words):
+    """Of each text the levels of the tokens whose segment is at hand, a byte each, in the order of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, double = words.value, pairs.value
+        single = words.value
         for batch in batches:
-            score = np.zeros(batch.num_rows)
+            out = []
             for i, j, tokens, n in _texts(batch):
                 known, back = np.unique(tokens, return_inverse=True)
-                c = estimate(single.level(known, (known % np.uint64(parts)).astype(np.int64)))
+                level = single.level(known, (known % np.uint64(parts)).astype(np.int64))[back]
+                here = level >= 0
+                edge = np.cumsum(np.bincount(np.repeat(np.arange(j - i), n)[here], minlength=j - i))[:-1]
+                out += [x.tobytes() for x in np.split(level[here].astype(np.uint8), edge)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("h"), pa.array(out, pa.binary())], ["row_id", "h", "levels"])
+
+    return run
+
+
+def _with_levels(texts: DataFrame, counts: DataFrame, parts: int, size: int, per_pass: int) -> tuple[DataFrame, int]:
+    """Texts with the levels of their words from passes over ranges of segments (all of the first pass, then of the second, and
+    so on), and the level of the mark before a text. All passes together write a byte a token."""
+    sc, begin, found = texts.sparkSession.sparkContext, -1, None
+    for turn, i in enumerate(range(0, parts, per_pass)):
+        single = _filter(counts, True, size, list(range(i, min(parts, i + per_pass))))
+        begin = max(begin, _begin(single, parts))
+        words = sc.broadcast(single)
+        part = common.written(texts.mapInArrow(_levels(parts, words), "row_id long, h long, levels binary")).withColumn("turn", F.lit(turn))
+        found = part if found is None else found.union(part)
+        words.destroy()
+    # rows that are equal in id and text give equal bytes: a set keeps one
+    rows = found.groupBy("row_id", "h").agg(F.sort_array(F.collect_set(F.struct("turn", "levels"))).alias("found"))
+    whole = F.aggregate("found", F.lit(b"").cast("binary"), lambda all_, x: F.concat(all_, x["levels"]))
+    return common.written(texts.join(rows.select("row_id", "h", whole.alias("levels")), ["row_id", "h"])), begin
+
+
+def _model(parts: int, words, per_pass: int, begin: int, pairs, n_train: int, n_types: int):
+    """Sums of log10 p over the tokens whose pair is in one of the segments at hand; levels of words from their filter, or, if
+    they took several passes, from the column ``levels``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, double = words.value if words else None, pairs.value
+        for batch in batches:
+            score = np.zeros(batch.num_rows)
+            for i, j, tokens, n in _texts(batch):
+                if single is not None:
+                    known, back = np.unique(tokens, return_inverse=True)
+                    c = estimate(single.level(known, (known % np.uint64(parts)).astype(np.int64)))[back]
+                else:
+                    turn = (tokens % np.uint64(parts)).astype(np.int64) // per_pass
+                    c = np.empty(len(tokens))
+                    data, _ = common.utf8(batch.column("levels").slice(i, j - i))
+                    c[np.lexsort((turn, np.repeat(np.arange(j - i), n)))] = estimate(data.astype(np.int64))
                 pair, before = pair_names(tokens, n)
                 some, of = np.unique(pair, return_inverse=True)
                 level = double.level((some // np.uint64(parts)) & _LOW, (some % np.uint64(parts)).astype(np.int64))
                 c_pair, here = estimate(np.maximum(level, 0))[of], (level >= 0)[of]
                 c_before = np.empty(len(tokens))
-                c_before[1:] = c[back][:-1]
-                c_before[np.cumsum(n) - n] = estimate(single.level(np.array([BEGIN]), np.array([int(BEGIN % np.uint64(parts))])))[0]
-                p = (c[back] + 0.1) / (n_train + 0.1 * (n_types + 1))
+                c_before[1:] = c[:-1]
+                c_before[np.cumsum(n) - n] = estimate(np.array([begin]))[0]
+                p = (c + 0.1) / (n_train + 0.1 * (n_types + 1))
                 p = (np.minimum(c_pair, c_before) + MU * p) / (c_before + MU)
                 score[i:j] += np.bincount(np.repeat(np.arange(j - i), n)[here], np.log10(p[here]), minlength=j - i)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("h"), pa.array(score)], ["row_id", "h", "score"])
@@ -414,11 +463,10 @@ def score(docs: DataFrame) -> DataFrame:
     counts = count_table(rows.select("text", "held_out"), parts)
     sizes = _sizes(counts).collect()  # two rows for each part
     n_train, n_types = (sum(r[x] for r in sizes if r.words) for x in ("tokens", "types"))
-    spread = lambda words, bound: min(bound, max([64, *(int(r.entries * HASHES / np.log(2)) + 1 for r in sizes if r.words == words)]))
     limit = int(MAX_MB * (1 << 23))
-    single = _filter(_count_begin(counts, parts, n_docs), True, spread(True, (WORDS_MB << 23) // parts), list(range(parts)))
-    size = spread(False, limit)
-    per_pass = max(1, limit // size)
+    spread = lambda words: min(limit, max([64, *(int(r.entries * ENTRY_BITS) + 1 for r in sizes if r.words == words)]))
+    word_size, size = spread(True), spread(False)
+    words_per_pass, per_pass = max(1, limit // word_size), max(1, limit // size)
 
     sc = spark.sparkContext
     frequent = sc.broadcast(_frequent(counts, max(1.0, SHARE * n_train)))
@@ -428,10 +476,15 @@ def score(docs: DataFrame) -> DataFrame:
     far = rare.where("part >= 0").groupBy("part").cogroup(counts.where("words").groupBy("part")).applyInArrow(_rare_rows(parts), HOMEWARD)
     sums = base.union(far).groupBy("home").applyInArrow(_summed_up, PARTIAL)
 
-    words, scores = sc.broadcast(single), None
+    texts, with_begin, words, scores = rows.select("row_id", "h", "text"), _count_begin(counts, parts, n_docs), None, None
+    if words_per_pass >= parts:
+        single = _filter(with_begin, True, word_size, list(range(parts)))
+        words, begin = sc.broadcast(single), _begin(single, parts)
+    else:
+        texts, begin = _with_levels(texts, common.written(with_begin), parts, word_size, words_per_pass)
     for i in range(0, parts, per_pass):
         pairs = sc.broadcast(_filter(counts, False, size, list(range(i, min(parts, i + per_pass)))))
-        part = rows.select("row_id", "h", "text").mapInArrow(_model(parts, words, pairs, n_train, n_types), "row_id long, h long, score double")
+        part = texts.mapInArrow(_model(parts, words, words_per_pass, begin, pairs, n_train, n_types), "row_id long, h long, score double")
         part = common.written(part)
         scores = part if scores is None else scores.union(part)
         pairs.destroy()
