@@ -222,3 +222,38 @@ def test_buckets_close_where_a_loop_over_ticks_closes_them():
     out = pd.concat(parts)
     assert out["us"].tolist() == [w[0] for w in want] and out["bucket"].tolist() == list(range(len(want)))
     np.testing.assert_allclose(out[["buy_volume", "sell_volume"]].to_numpy(float), np.array([w[1:] for w in want]), rtol=1e-9)
+
+
+def _trades(spark, results):
+    """Trades of strategies {name: [net_pnl, ...]}, one a day."""
+    rows = [(k, f"{k}{i}", i, float(p), "ab"[i % 2], "xyz"[i % 3], None if i % 5 == 0 else "s") for k, ps in results.items() for i, p in enumerate(ps)]
+    d = spark.createDataFrame(rows, "strategy_id string, trade_id string, i int, net_pnl double, session string, regime string, signal_type string")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("i") * 86_400)
+    return d.select("*", (at - F.expr("INTERVAL 1 HOUR")).alias("entry_time"), at.alias("exit_time"), F.lit(100.0).alias("entry_price"), F.lit(2.0).alias("size")).drop("i")
+
+
+def test_full_report_is_consistent(spark):
+    rnd = np.random.default_rng(3)
+    t = _trades(spark, {"up": rnd.normal(120, 300, 200), "flat": [0.0] * 20, "one": [50.0]})
+    out = {r.strategy_id: r for r in P.full_report(t, n_trials=5, oos_fraction=0.3, n_boot=300).collect()}
+    assert out.keys() == {"up", "flat", "one"}
+    up = out["up"]
+    for p, z in ((up.psr, up.psr_z), (up.dsr, up.dsr_z)):
+        assert abs(p - 0.5 * (1 + math.erf(z / math.sqrt(2)))) < 1e-6
+    assert up.dsr < up.psr and up.sharpe_ci_95_low < up.sharpe < up.sharpe_ci_95_high
+    assert [x.label for x in up.by_session] == ["a", "b"] and [x.label for x in up.by_signal] == ["s", "unknown"]
+    assert sum(x.trade_count for x in up.by_regime) == up.trade_count == 200
+    totals = [x.total_pnl for x in up.by_regime]
+    assert abs(up.regime_concentration - sum(v * v for v in totals) / sum(map(abs, totals)) ** 2) < 1e-9
+    # 60 trades after the split, those of the last five days before it are left out
+    assert (up.is_report.trade_count, up.oos_report.trade_count) == (135, 60)
+    assert abs(up.oos_sharpe_degradation - (up.is_report.sharpe - up.oos_report.sharpe) / abs(up.is_report.sharpe) * 100) < 1e-9
+    assert out["flat"].total_pnl == 0 and out["flat"].max_drawdown == 0
+    assert out["one"].is_report is None and out["one"].oos_report.trade_count == 1 and out["one"].oos_sharpe_degradation == 0
+
+
+def test_full_report_of_nothing(spark):
+    t = _trades(spark, {"a": [1.0]}).filter("net_pnl < 0")
+    assert P.full_report(t, oos_fraction=0.3, n_boot=10).count() == 0
+    with pytest.raises(ValueError):
+        P.full_report(t, oos_fraction=1.0)

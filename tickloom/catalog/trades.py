@@ -155,6 +155,13 @@ def r_multiples(spark, d):
     return rounded(S.r_multiples(_trades(spark, d)).select("trade_id", "r_multiple", "r_multiple_unit"))
 
 
-@query("alpha_half_life")
+@query(
+    "alpha_half_life",
+    _T + f""", o AS (SELECT strategy_id, net_pnl / abs(entry_price * size) AS x, row_number() OVER w - 1 AS i, sum(net_pnl / abs(entry_price * size)) OVER (PARTITION BY strategy_id ORDER BY exit_time, trade_id ROWS UNBOUNDED PRECEDING) AS c FROM trades WINDOW w AS (PARTITION BY strategy_id ORDER BY exit_time, trade_id)),
+    st AS (SELECT strategy_id, count(*) AS n, greatest(3, count(*) // 10) AS win, epoch(max(exit_time) - min(exit_time)) / 86400.0e0 AS days FROM trades GROUP BY 1),
+    e AS (SELECT o.strategy_id, n, days, o.i - win + 1 AS x, (o.c - coalesce(b.c, 0)) / win AS e FROM o JOIN st USING (strategy_id) LEFT JOIN o b ON b.strategy_id = o.strategy_id AND b.i = o.i - win WHERE o.i >= win - 1),
+    g AS (SELECT strategy_id, n, days, regr_slope(ln(e), x) AS k, regr_r2(ln(e), x) AS r2, count(*) AS m FROM e WHERE e > 0 GROUP BY ALL)
+    SELECT strategy_id, {r('CASE WHEN g.n >= 10 AND m >= 3 AND r2 >= 0.3 AND g.days > 0 AND k < 0 THEN 0.6931471805599453e0 / -k * g.days / greatest(g.n - 1, 1) END', name='half_life_days')} FROM st LEFT JOIN g USING (strategy_id)""",
+)
 def alpha_half_life(spark, d):
     return rounded(T.decay_half_life(_trades(spark, d)))

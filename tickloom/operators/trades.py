@@ -19,14 +19,14 @@ def _won() -> Column:
     return (F.col("net_pnl") > 0).cast("double")
 
 
-def group_stats(trades: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """Count, win rate, mean and total result per value of each dimension, all in one pass."""
-    t = trades.select("net_pnl", *[F.coalesce(F.col(d), F.lit("unknown")).alias(d) for d in dims])
-    g = t.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims]).agg(
+def group_stats(trades: DataFrame, dims: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Count, win rate, mean and total result per key and value of each dimension, all in one pass."""
+    t = trades.select(*keys, "net_pnl", *[F.coalesce(F.col(d), F.lit("unknown")).alias(d) for d in dims])
+    g = t.groupingSets([[*[F.col(k) for k in keys], F.col(d)] for d in dims], *[F.col(c) for c in (*keys, *dims)]).agg(
         F.count(F.lit(1)).alias("trade_count"), F.avg(_won()).alias("win_rate"), F.avg("net_pnl").alias("avg_pnl"), F.sum("net_pnl").alias("total_pnl")
     )
     name = F.coalesce(*[F.when(F.col(d).isNotNull(), F.lit(d)) for d in dims])
-    return g.select(name.alias("dimension"), F.coalesce(*[F.col(d) for d in dims]).alias("label"), "trade_count", "win_rate", "avg_pnl", "total_pnl")
+    return g.select(*keys, name.alias("dimension"), F.coalesce(*[F.col(d) for d in dims]).alias("label"), "trade_count", "win_rate", "avg_pnl", "total_pnl")
 
 
 def best_configurations(trades: DataFrame, dims: Sequence[str], k: int = 3) -> DataFrame:
