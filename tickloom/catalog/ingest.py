@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..sources import calendars as C
+from ..session import new_folder
 from ..sources import ingest as I
+from ..sources import tables as TB
 from ..sources import views as V
 from . import query, r, rounded, rs
 
@@ -277,3 +279,39 @@ def page_elements(spark, d):
     """Elements of the given web pages by tag, with their text lengths."""
     e = C.elements(V.table(spark, d, "pages"), ("p", "li", "h1", "h2", "h3", "td"))
     return e.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+_MACRO = V.with_views("macro_series")
+_NEXT = "(month(timestamp) > 6)"
+
+
+def _appended(spark, d):
+    """First half-years, then all rows with a value one higher, of which only the other half-years are new; both twice."""
+    m, path = V.macro_series(spark, d).withColumn("version", F.lit(1)), new_folder(spark)
+    year = F.date_format("timestamp", "yyyy")
+    for name in ("a", "b", "a", "b"):
+        rows = m.where(F.month("timestamp") <= 6) if name == "a" else m.withColumn("value", F.col("value") + 1)
+        TB.append_new(rows, path, ["series_id", "timestamp"], year, name)
+    TB.append_new(m, path, ["series_id", "timestamp"], year, "c")
+    return path, m.schema
+
+
+@query("append_sink", _MACRO + f" SELECT series_id, timestamp, {r('value + CASE WHEN ' + _NEXT + ' THEN 1 ELSE 0 END', 2, 'value')} FROM macro_series")
+def append_sink(spark, d):
+    path, schema = _appended(spark, d)
+    return rounded(TB.stored(spark, path, schema).select("series_id", "timestamp", "value"), 2)
+
+
+@query(
+    "merge_sink",
+    _MACRO + f" SELECT series_id, timestamp, {r('value + CASE WHEN day(timestamp) <= 10 THEN 5 WHEN ' + _NEXT + ' THEN 1 ELSE 0 END', 2, 'value')}, CASE WHEN day(timestamp) <= 10 THEN 2 ELSE 1 END AS version FROM macro_series",
+)
+def merge_sink(spark, d):
+    """Corrections of the first ten days of a month come in as version 2; a late version 0 of everything changes nothing."""
+    path, schema = _appended(spark, d)
+    m = V.macro_series(spark, d)
+    late = m.where("day(timestamp) <= 10").select("series_id", "timestamp", (F.col("value") + 5).alias("value"), F.lit(2).alias("version"))
+    old = m.select("series_id", "timestamp", F.lit(-1.0).alias("value"), F.lit(0).alias("version"))
+    for name, rows in (("d", late), ("e", old)):
+        TB.put(rows, path, ["series_id", "timestamp"], F.date_format("timestamp", "yyyy"), name, ["version"])
+    return rounded(TB.current(spark, path, schema, ["series_id", "timestamp"], ["version"]), 2)

@@ -376,25 +376,3 @@ def release_calendar(releases: DataFrame, event_type: str = "event_type", start:
     d = releases.select("series_id", event_type, "impact_score", F.to_date("release_date").alias("d")).dropDuplicates(["series_id", "d"])
     t = F.timestamp_micros(F.unix_micros(F.col("d").cast("timestamp")) + minutes.cast("long") * 60_000_000)
     return _clip(d.select("series_id", event_type, "impact_score", t.alias("scheduled_time")), start, end, "scheduled_time")
-
-
-# -- sinks -------------------------------------------------------------------------------------------------
-def append_unique(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (), partition: Column | None = None) -> None:
-    """Append to a Parquet table, one row per key within the batch (the last by ``order``)."""
-    if order:
-        from ..operators.queries import latest_per_key
-
-        rows = latest_per_key(rows, list(keys), list(order))
-    else:
-        rows = rows.dropDuplicates(list(keys))
-    w = rows
-    if partition is not None:
-        w = w.withColumn("part", partition)
-        w.write.mode("append").partitionBy("part").parquet(path)
-    else:
-        w.write.mode("append").parquet(path)
-
-
-def existing_keys(rows: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is stored already."""
-    return rows.join(stored.select(*keys), list(keys), "left_semi")
