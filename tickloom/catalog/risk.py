@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..operators import risk as K
+from ..operators import volatility as X
 from ..sources import views as V
 from . import query, r, rounded, rs
-from .joins import _EV, _calendar
+from .joins import _CORR, _EV, _calendar
 
-_O = V.with_views("ticks", "order_candidates")
+_O = V.with_views("ticks", "order_candidates", "bars_1h")
 _CTX = """, oc AS (SELECT o.*, (order_id % 101) / 100.0e0 AS confidence, (order_id % 30) / 100.0e0 AS kelly FROM order_candidates o)"""
 
 
@@ -17,32 +18,33 @@ def _orders(spark, d):
 
 
 def _positions(spark, d):
-    """Two small positions taken from the data itself: the first tick of two symbols."""
-    t = V.ticks(spark, d).filter(F.col("symbol").isin("S1", "S2")).groupBy("symbol").agg(F.min_by("price", "seq").alias("entry_price"))
-    return t.withColumn("size", F.lit(5.0)).withColumn("asset_class", F.lit("equity"))
+    """Open positions from the data itself: one unit at the first price of every symbol whose last tick was a sale of a small lot."""
+    t = V.ticks(spark, d).groupBy("symbol").agg(F.min_by("price", "seq").alias("entry_price"), F.max_by(F.struct("side", "quantity"), "seq").alias("_last"))
+    return t.filter("_last.side = 'SELL' AND _last.quantity <= 50").drop("_last").withColumn("size", F.lit(1.0)).withColumn("asset_class", F.lit("equity"))
 
 
 _RULES = f"""{_EV}, ef AS (SELECT order_id, bool_or(timestamp >= ev - INTERVAL 45 MINUTE AND timestamp < ev) AS blk, bool_or(timestamp >= ev AND timestamp < ev + INTERVAL 15 MINUTE) AS red FROM oc JOIN ee ON timestamp >= ev - INTERVAL 45 MINUTE AND timestamp < ev + INTERVAL 15 MINUTE GROUP BY 1),
-    ps AS (SELECT symbol, first(price ORDER BY seq) AS ep FROM ticks WHERE symbol IN ('S1','S2') GROUP BY 1), px AS (SELECT sum(5 * ep) AS n FROM ps),
-    x AS (SELECT oc.*, coalesce(blk, false) AS blk, coalesce(red, false) AS red, n AS opn, abs(entry - stop_loss) AS rk, greatest(0, (confidence - 0.5e0) / 0.5e0) * kelly AS kf,
+    ps AS (SELECT symbol, first(price ORDER BY seq) AS ep FROM ticks GROUP BY 1 HAVING last(side ORDER BY seq) = 'SELL' AND last(quantity ORDER BY seq) <= 50), px AS (SELECT coalesce(sum(ep), 0) AS n, count(*) AS held FROM ps),
+    lk AS (SELECT symbol FROM ps UNION SELECT a FROM cm JOIN ps ON b = symbol WHERE c > 0.75 UNION SELECT b FROM cm JOIN ps ON a = symbol WHERE c > 0.75),
+    x AS (SELECT oc.*, coalesce(blk, false) AS blk, coalesce(red, false) AS red, n AS opn, held, abs(entry - stop_loss) AS rk, greatest(0, (confidence - 0.5e0) / 0.5e0) * kelly AS kf,
       CASE WHEN abs(entry - stop_loss) > 0 THEN abs(target - entry) / abs(entry - stop_loss) ELSE 0 END AS rr FROM oc LEFT JOIN ef USING (order_id), px),
     y AS (SELECT *, CASE WHEN blk THEN 'event_block' WHEN confidence < 0.52 THEN 'confidence_too_low' WHEN kf < 0.01 THEN 'kelly_too_small'
-      WHEN stop_loss <= 0 OR CASE direction WHEN 'long' THEN stop_loss >= entry ELSE stop_loss <= entry END THEN 'no_stop_loss' WHEN rr < 1.5 THEN 'min_reward_risk' WHEN rk * size / 50000 > 0.005 THEN 'max_risk_per_trade' WHEN size * entry / 50000 > 0.1 THEN 'max_size'
-      WHEN (opn + size * entry) / 50000 > 0.2 THEN 'max_total_exposure' WHEN (opn + size * entry) / 50000 > 0.12 THEN 'max_class_exposure' WHEN symbol IN ('S1','S2') THEN 'high_correlation' END AS block_reason FROM x)"""
+      WHEN stop_loss <= 0 OR CASE direction WHEN 'long' THEN stop_loss >= entry ELSE stop_loss <= entry END THEN 'no_stop_loss' WHEN rr < 1.5 THEN 'min_reward_risk' WHEN rk * size / 50000 > 0.005 THEN 'max_risk_per_trade' WHEN size * entry / 50000 > 0.1 THEN 'max_size' WHEN held >= 6 THEN 'max_positions'
+      WHEN (opn + size * entry) / 50000 > 0.2 THEN 'max_total_exposure' WHEN (opn + size * entry) / 50000 > 0.12 THEN 'max_class_exposure' WHEN symbol IN (SELECT symbol FROM lk) THEN 'high_correlation' END AS block_reason FROM x)"""
 
 
 @query(
     "order_screening",
-    _O + _CTX + _RULES + f" SELECT order_id, block_reason, block_reason IS NULL AS approved, {r('CASE WHEN confidence >= 0.52 THEN kf ELSE 0 END', name='kelly_final')}, {r('CASE WHEN block_reason IS NULL THEN size * CASE WHEN red THEN 0.5e0 ELSE 1 END ELSE 0 END', name='final_size')} FROM y",
+    _O + _CTX + _CORR + _RULES + f" SELECT order_id, block_reason, block_reason IS NULL AS approved, {r('CASE WHEN confidence >= 0.52 THEN kf ELSE 0 END', name='kelly_final')}, {r('CASE WHEN block_reason IS NULL THEN size * CASE WHEN red THEN 0.5e0 ELSE 1 END ELSE 0 END', name='final_size')} FROM y",
 )
 def order_screening(spark, d):
     pos = _positions(spark, d)
-    none = pos.select(F.col("symbol").alias("a"), F.col("symbol").alias("b"), F.lit(0.0).alias("correlation")).limit(0)
-    s = K.screen_orders(_orders(spark, d), K.position_context(pos), 50_000.0, _calendar(spark, d).select(F.col("ev").alias("scheduled_time")), K.correlated_symbols(pos, none))
+    rho = X.asset_correlations(X.with_returns(V.bars(spark, d)), [f"S{i}" for i in range(12)]).filter("a < b").select("a", "b", "correlation")
+    s = K.screen_orders(_orders(spark, d), K.position_context(pos), 50_000.0, _calendar(spark, d).select(F.col("ev").alias("scheduled_time")), K.correlated_symbols(pos, rho))
     return rounded(s.select("order_id", "block_reason", "approved", "kelly_final", "final_size"))
 
 
-@query("screening_summary", _O + _CTX + _RULES + " SELECT coalesce(block_reason, 'approved') AS outcome, count(*) AS n FROM y GROUP BY 1")
+@query("screening_summary", _O + _CTX + _CORR + _RULES + " SELECT coalesce(block_reason, 'approved') AS outcome, count(*) AS n FROM y GROUP BY 1")
 def screening_summary(spark, d):
     s = order_screening(spark, d)
     return s.groupBy(F.coalesce("block_reason", F.lit("approved")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
