@@ -114,6 +114,10 @@ class LogFilter:
         self.known[list(segments)] = np.arange(len(segments))
         self.bits = np.frombuffer(b"".join(segments.values()), np.uint8)
 
+    def has(self, part: np.ndarray) -> np.ndarray:
+        """Whether the segment of each part is at hand."""
+        return np.append(self.known, -1)[np.minimum(part, len(self.known))] >= 0
+
     def level(self, key: np.ndarray, part: np.ndarray) -> np.ndarray:
         """Level of each key; -1 where this filter doesn't have its segment."""
         row = np.full(len(key), -1, np.int64)
@@ -417,24 +421,32 @@ def _model(parts: int, words, per_pass: int, begin: int, pairs, n_train: int, n_
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for i, j, tokens, n in _texts(batch):
+                doc = np.repeat(np.arange(j - i), n)
+                pair = pair_names(tokens, n)[0]
+                part = (pair % np.uint64(parts)).astype(np.int64)
+                here = np.flatnonzero(double.has(part))
+                # a pass looks up its own pairs and their words only
+                some, of = np.unique(pair[here], return_inverse=True)
+                c_pair = estimate(double.level((some // np.uint64(parts)) & _LOW, (some % np.uint64(parts)).astype(np.int64)))[of]
                 if single is not None:
-                    known, back = np.unique(tokens, return_inverse=True)
-                    c = estimate(single.level(known, (known % np.uint64(parts)).astype(np.int64)))[back]
+                    need = np.zeros(len(tokens) + 1, bool)
+                    need[here + 1] = need[here] = True
+                    need = np.flatnonzero(need[1:])
+                    known, back = np.unique(tokens[need], return_inverse=True)
+                    c = np.zeros(len(tokens))
+                    c[need] = estimate(single.level(known, (known % np.uint64(parts)).astype(np.int64)))[back]
                 else:
                     turn = (tokens % np.uint64(parts)).astype(np.int64) // per_pass
                     c = np.empty(len(tokens))
                     data, _ = common.utf8(batch.column("levels").slice(i, j - i))
-                    c[np.lexsort((turn, np.repeat(np.arange(j - i), n)))] = estimate(data.astype(np.int64))
-                pair, before = pair_names(tokens, n)
-                some, of = np.unique(pair, return_inverse=True)
-                level = double.level((some // np.uint64(parts)) & _LOW, (some % np.uint64(parts)).astype(np.int64))
-                c_pair, here = estimate(np.maximum(level, 0))[of], (level >= 0)[of]
-                c_before = np.empty(len(tokens))
+                    c[np.lexsort((turn, doc))] = estimate(data.astype(np.int64))
+                c_before = np.empty_like(c)
                 c_before[1:] = c[:-1]
                 c_before[np.cumsum(n) - n] = estimate(np.array([begin]))[0]
+                c, c_before = c[here], c_before[here]
                 p = (c + 0.1) / (n_train + 0.1 * (n_types + 1))
                 p = (np.minimum(c_pair, c_before) + MU * p) / (c_before + MU)
-                score[i:j] += np.bincount(np.repeat(np.arange(j - i), n)[here], np.log10(p[here]), minlength=j - i)
+                score[i:j] += np.bincount(doc[here], np.log10(p), minlength=j - i)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("h"), pa.array(score)], ["row_id", "h", "score"])
 
     return run
