@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.columns import add, clamp, pick, ratio, safe_tanh
+from ..functions.columns import add, clamp, log_ratio, pick, quotient, ratio, safe_tanh
 
 
 def by_time(*keys: str):
@@ -24,21 +24,30 @@ def by_time(*keys: str):
 
 
 def log_return(price: str = "close", keys: Sequence[str] = ("symbol",)) -> Column:
-    return F.log(F.col(price) / F.lag(price).over(by_time(*keys)))
+    return log_ratio(F.col(price), F.lag(price).over(by_time(*keys)))
 
 
 def with_returns(bars: DataFrame) -> DataFrame:
     """Log and simple returns against the previous bar (null on the first)."""
     prev = F.lag("close").over(by_time())
-    return bars.withColumn("log_return", F.log(F.col("close") / prev)).withColumn("simple_return", F.col("close") / prev - 1)
+    return bars.withColumn("log_return", log_ratio(F.col("close"), prev)).withColumn("simple_return", quotient(F.col("close"), prev) - 1)
 
 
-def daily_realized(bars: DataFrame) -> DataFrame:
-    """Per symbol and day: realized variance, bipower variation, jump part, annualised volatility."""
+def daily_realized(bars: DataFrame, across_zero: bool = False) -> DataFrame:
+    """Per symbol and day: realized variance, bipower variation, jump part, annualised volatility.
+
+    A close of 0 makes the day's variance infinite; ``across_zero`` takes the return from the last close
+    above 0 instead, and a bar at 0 has none."""
     d = bars.withColumn("day", F.to_date("timestamp"))
     w = by_time("symbol", "day")
-    d = d.withColumn("r", F.log(F.col("close") / F.lag("close").over(w)))
-    d = d.withColumn("p", F.abs("r") * F.abs(F.lag("r").over(w)))
+    if across_zero:
+        some = F.when(F.col("close") > 0, F.col("close"))
+        before = F.last(some, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("r", F.log(some / before))
+        d = d.withColumn("p", F.abs("r") * F.abs(F.last("r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    else:
+        d = d.withColumn("r", log_ratio(F.col("close"), F.lag("close").over(w)))
+        d = d.withColumn("p", F.abs("r") * F.abs(F.lag("r").over(w)))
     g = d.groupBy("symbol", "day").agg(
         F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("rv"),
         (F.lit(math.pi / 2) * F.coalesce(F.sum("p"), F.lit(0.0))).alias("bv"),
@@ -453,7 +462,7 @@ def broadcast_days(bars: DataFrame, features: DataFrame, forecast: Sequence[str]
 
 def intraday_days(bars: DataFrame) -> DataFrame:
     """Daily realized variance and return from intraday bars, for the ``days`` arguments above."""
-    d = daily_realized(bars)
+    d = daily_realized(bars, across_zero=True)
     return d.select("symbol", F.col("day").cast("timestamp").alias("timestamp"), "rv", F.col("day_return").alias("log_return"))
 
 
