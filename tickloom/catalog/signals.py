@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import sessions as N
+from ..functions.columns import quotient
 from ..operators import scoring as S
 from ..operators import technical as X
 from ..operators import orderflow as O
@@ -327,7 +328,7 @@ def bet_pnl(spark, d):
 )
 def weighted_fusion(spark, d):
     b = V.bars(spark, d)
-    v = {"range": (F.col("high") - F.col("low")) / F.col("close"), "body": (F.col("close") - F.col("open")) / F.col("open"), "vol": F.when(F.col("trade_count") > 1, F.col("volume") / 100)}
+    v = {"range": quotient(F.col("high") - F.col("low"), F.col("close")), "body": quotient(F.col("close") - F.col("open"), F.col("open")), "vol": F.when(F.col("trade_count") > 1, F.col("volume") / 100)}
     t = b.select("symbol", "timestamp", F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), e.alias("value")) for k, e in v.items()])).alias("x")).select("symbol", "timestamp", "x.*")
     w = spark.createDataFrame([("range", 0.8), ("body", -0.5), ("vol", 0.3)], "feature string, ic_ir double")
     return rounded(S.weighted_fusion(t, w))
