@@ -57,10 +57,12 @@ def write_ticks(ticks: DataFrame, path: str, mode: str = "append") -> None:
     t.repartition("date", "symbol", F.hour("timestamp")).sortWithinPartitions("date", "symbol", "timestamp").write.mode(mode).partitionBy("date").parquet(path)
 
 
-def quote_columns(df: DataFrame) -> DataFrame:
-    """Mid price and spread in basis points, rounded half-even to two digits."""
+def quote_columns(df: DataFrame, nominal_bps: float | None = None) -> DataFrame:
+    """Mid price and spread in basis points, rounded half-even to two digits. Where the mid price is 0 the
+    spread is ``nominal_bps``, the relative width of a source that quotes at a fixed distance (null without one)."""
     mid = (F.col("bid") + F.col("ask")) / 2
-    return df.withColumn("mid", mid).withColumn("spread_bps", F.bround(F.when(mid > 0, (F.col("ask") - F.col("bid")) / F.when(mid > 0, mid) * 10_000), 2))
+    bps = F.bround(F.when(mid > 0, (F.col("ask") - F.col("bid")) / F.when(mid > 0, mid) * 10_000), 2)
+    return df.withColumn("mid", mid).withColumn("spread_bps", F.when(mid == 0, F.lit(nominal_bps).cast("double")).otherwise(bps))
 
 
 # -- delimited market data ------------------------------------------------------------------------
