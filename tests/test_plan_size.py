@@ -2,9 +2,17 @@
 
 from conftest import SF
 
+from tickloom import catalog
 from tickloom.catalog import learning
 
+catalog.load()
+
 
 def test_training_matrix_does_not_repeat_its_inputs(spark):
     plan = learning._matrix(spark, SF)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Relation") == 0
+
+
+def test_blackout_join_cuts_distinct_windows(spark):
+    plan = catalog.QUERIES["blackout_join"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" in plan or "Distinct" in plan
