@@ -2,6 +2,7 @@
 
 import random
 import time
+import tracemalloc
 from types import SimpleNamespace
 
 import pandas as pd
@@ -147,3 +148,28 @@ def test_buckets_close_at_the_same_tick_however_they_are_cut():
             total -= 50 * 10**8
             want.append(us)
     assert whole["us"].tolist() == want
+
+
+def _peak(n):
+    """Most rows that a step meets, and the most memory of a timer that finds ``n`` rows of a key due at once, a few a minute."""
+    met = []
+    job = J.InOrder("us long, seq long, price double", "n long", lambda st, new: (met.append(len(new)) or (len(new),), new[["us", "seq"]]), ["k", "seq", "timestamp", "late"], "k")
+    store, mark, out = _Store(), 0, []
+    job.init(store)
+    job.waiting.clear = lambda: None
+    clock = SimpleNamespace(getCurrentWatermarkInMs=lambda: mark)
+    at = [i * 10_000_000 for i in range(n)]
+    list(job.handleInputRows(("a",), (pd.DataFrame({"us": at[i::4], "seq": range(i, n, 4), "price": 1.0}) for i in range(4)), clock))
+    mark = at[-1] // 1000 + 600_000
+    tracemalloc.start()
+    for told in job.handleExpiredTimer(("a",), clock, 0):
+        out.extend(told["seq"].tolist()[::997])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(met) == n and out == sorted(out)
+    return max(met), peak
+
+
+def test_memory_of_a_timer_does_not_grow_with_the_rows_due():
+    (few, one), (many, four) = _peak(60_000), _peak(240_000)
+    assert max(few, many) <= J.PORTION + 6 and four < 1.5 * one
