@@ -4,6 +4,8 @@ from conftest import SF
 
 from tickloom import catalog
 from tickloom.catalog import learning
+from tickloom.operators import performance as P
+from tickloom.sources import views as V
 
 catalog.load()
 
@@ -21,3 +23,10 @@ def test_blackout_join_cuts_distinct_windows(spark):
 def test_in_out_split_sends_series_rows_to_the_trades(spark):
     plan = catalog.QUERIES["in_out_split"](spark, SF)._jdf.queryExecution().analyzed().toString()
     assert plan.count("strategy=broadcast") == 3  # the starts are read from trades that have met the counts
+
+
+def test_reports_read_the_trades_once(spark):
+    """What follows the one pass over the trades works on a row per day."""
+    t = V.trades(spark, SF)
+    for made in (P.report(t), P.breakdowns(t)):
+        assert made._jdf.queryExecution().analyzed().toString().count("Relation") == 0

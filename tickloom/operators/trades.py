@@ -133,15 +133,19 @@ def unique_trades(trades: DataFrame) -> DataFrame:
     return trades.dropDuplicates(["trade_id"])
 
 
+def placed(trades: DataFrame, s: Ordered = TRADES) -> DataFrame:
+    """Trades with their number in the series and the running sum ``_cum`` of their returns on the notional."""
+    notional = F.abs(F.col("entry_price") * F.col("size"))
+    return s.running(trades.withColumn("_ret", ratio(F.col("net_pnl"), notional, 0.0)), {"_cum": F.col("_ret")}).drop("_ret")
+
+
 def decay_half_life(trades: DataFrame, minimum: int = 10, s: Ordered = TRADES) -> DataFrame:
     """Half-life in days of the rolling mean trade return, from a log-linear fit on its positive part.
 
     The window is a tenth of the series, so it can exceed any fixed halo: rolling means come from
-    running sums looked up ``window`` rows back by an equi join on the dense index."""
+    running sums looked up ``window`` rows back by an equi join on the dense index. Trades may come :func:`placed`."""
     keys = list(s.keys)
-    notional = F.abs(F.col("entry_price") * F.col("size"))
-    t = trades.withColumn("_ret", ratio(F.col("net_pnl"), notional, 0.0))
-    run = s.running(t.select(*s.order, *keys, "_ret"), {"_cum": F.col("_ret")})
+    run = (trades if INDEX in trades.columns else placed(trades, s)).select(*keys, INDEX, "_cum")
     stat = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("exit_time").alias("a"), F.max("exit_time").alias("b"))
     stat = stat.withColumn("win", F.greatest(F.lit(3), F.floor(F.col("n") / 10)))
     r = run.join(stat, keys)
