@@ -30,3 +30,9 @@ def test_reports_read_the_trades_once(spark):
     t = V.trades(spark, SF)
     for made in (P.report(t), P.breakdowns(t)):
         assert made._jdf.queryExecution().analyzed().toString().count("Relation") == 0
+
+
+def test_span_uniqueness_sweeps_stored_points(spark):
+    """The trades are read for the spans that come out, and not for each sum over the points."""
+    plan = catalog.QUERIES["span_uniqueness"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [o_orderkey") == 1
