@@ -31,7 +31,7 @@ def _assets(spark, d):
 
 
 def _flagged(spark, d):
-    return Q.flag_bars(V.bars_1d(spark, d), _assets(spark, d), "1d", F.lit(_AS_OF).cast("timestamp"))
+    return Q.flag_bars(V.bars_1d(spark, d), _assets(spark, d), "1d", F.lit(_AS_OF).cast("timestamp"), details=False)
 
 
 @query("bar_quality_issues", _B + _FLAG + " SELECT * FROM iss")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
 from ..plans.ordered import INDEX, TICKS, Ordered
+from ..plans.sliding import Frame, sliding
 
 # Thresholds of the checks.
 OUTLIER_WARN, OUTLIER_FAIL, OUTLIER_WINDOW = 4.0, 8.0, 100
@@ -20,9 +21,9 @@ SPREAD_MAX, GAP_FACTOR, FUTURE_SECONDS, MIN_YEAR = 0.50, 1.5, 60, 2000
 BAR_SECONDS = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "4h": 14400, "1d": 86400, "1w": 604800, "1M": 2592000}
 
 
-def _issue(when: Column, kind: str, severity: str | Column, **details: Column) -> Column:
+def _issue(when: Column, kind: str, severity: str | Column, shown: bool = True, **details: Column) -> Column:
     sev = F.lit(severity) if isinstance(severity, str) else severity
-    body = F.to_json(F.struct(*[v.alias(k) for k, v in details.items()])) if details else F.lit("{}")
+    body = F.to_json(F.struct(*[v.alias(k) for k, v in details.items()])) if details and shown else F.lit("{}")
     return F.when(when, F.struct(F.lit(kind).alias("check_type"), sev.alias("severity"), body.alias("details")))
 
 
@@ -32,41 +33,35 @@ def weekend_between(a: Column, b: Column) -> Column:
     return (F.weekday(a) + steps - 1 >= 5) | (F.weekday(b) >= 5)
 
 
-def _time_issues(time: Column, as_of: Column) -> list[Column]:
+def _time_issues(time: Column, as_of: Column, shown: bool = True) -> list[Column]:
     future = F.unix_micros(time) > F.unix_micros(as_of) + FUTURE_SECONDS * 1_000_000
     early = F.year(time) < MIN_YEAR
     unlisted = F.to_date(time) < F.col("listing_date")
     return [
         _issue(future, "timestamp_future", "FAIL"),
-        _issue(~future & early, "timestamp_epoch", "FAIL", year=F.year(time)),
-        _issue(~future & ~early & F.coalesce(unlisted, F.lit(False)), "timestamp_pre_listing", "FAIL", listing_date=F.col("listing_date").cast("string")),
+        _issue(~future & early, "timestamp_epoch", "FAIL", shown, year=F.year(time)),
+        _issue(~future & ~early & F.coalesce(unlisted, F.lit(False)), "timestamp_pre_listing", "FAIL", shown, listing_date=F.col("listing_date").cast("string")),
     ]
 
 
-def _outlier_issue(value: str) -> Column:
+def _outlier_issue(value: str, shown: bool = True) -> Column:
     """From columns _m and _sd of the previous rows and _n, their number."""
     full = F.col("_n") == OUTLIER_WINDOW
     dev = F.abs(F.col(value) - F.col("_m"))
     flat = F.col("_sd") == 0
     z = F.when(flat, F.when(dev != 0, F.lit(float("inf"))).otherwise(0.0)).otherwise(ratio(dev, F.col("_sd")))
     sev = F.when(z > OUTLIER_FAIL, "FAIL").otherwise("WARN")
-    return _issue(full & (z > OUTLIER_WARN), "outlier", sev, z_score=F.round(z, 4))
+    return _issue(full & (z > OUTLIER_WARN), "outlier", sev, shown, z_score=F.round(z, 4))
 
 
-def flag_bars(bars: DataFrame, assets: DataFrame, bar_size: str, as_of: Column, allow_negative: bool = False) -> DataFrame:
-    """Bars (symbol, timestamp, OHLCV) with ``issues``; ``assets`` gives asset_class and listing_date per symbol."""
+def flag_bars(bars: DataFrame, assets: DataFrame, bar_size: str, as_of: Column, allow_negative: bool = False, details: bool = True) -> DataFrame:
+    """Bars (symbol, timestamp, OHLCV) with ``issues``; ``assets`` gives asset_class and listing_date per symbol. Without ``details``
+    (JSON for each issue) they are empty."""
     b = bars.join(assets.select("symbol", "asset_class", "listing_date"), "symbol", "left")
     w = Window.partitionBy("symbol").orderBy("timestamp")
-    past, spike = w.rowsBetween(-OUTLIER_WINDOW, -1), w.rowsBetween(-SPIKE_LOOKBACK, -1)
-    b = b.withColumns(
-        {
-            "_prev": F.lag("timestamp").over(w),
-            "_m": F.avg("close").over(past),
-            "_sd": F.stddev_pop("close").over(past),
-            "_n": F.count("close").over(past),
-            "_v": F.avg("volume").over(spike),
-        }
-    )
+    b = b.withColumns({"_at": F.row_number().over(w), "_prev": F.lag("timestamp").over(w)})
+    b = sliding(b, "_at", {"_c": Frame("close", OUTLIER_WINDOW, 1), "_s": Frame("volume", SPIKE_LOOKBACK, 1)})
+    b = b.withColumnsRenamed({"_c_m": "_m", "_c_sd": "_sd", "_c_n": "_n", "_s_m": "_v"}).drop("_at", "_s_n", "_s_sd")
     t = F.col("timestamp")
     step = (F.unix_micros(t) - F.unix_micros("_prev")) / 1e6
     expected = BAR_SECONDS[bar_size]
@@ -76,16 +71,16 @@ def flag_bars(bars: DataFrame, assets: DataFrame, bar_size: str, as_of: Column,
     v = F.col("volume")
     nonpos = (F.col("close") <= 0) & (F.coalesce(F.col("asset_class"), F.lit("")) != "future") & F.lit(not allow_negative)
     issues = [
-        _issue(F.coalesce((step > expected * GAP_FACTOR) & ~F.coalesce(weekend, F.lit(False)), F.lit(False)), "gap", "WARN", expected_seconds=F.lit(expected), actual_seconds=step),
-        _outlier_issue("close"),
-        _issue(nonpos, "price_non_positive", "FAIL", close=F.col("close")),
+        _issue(F.coalesce((step > expected * GAP_FACTOR) & ~F.coalesce(weekend, F.lit(False)), F.lit(False)), "gap", "WARN", details, expected_seconds=F.lit(expected), actual_seconds=step),
+        _outlier_issue("close", details),
+        _issue(nonpos, "price_non_positive", "FAIL", details, close=F.col("close")),
         _issue(F.col("high") < F.col("low"), "price_high_lt_low", "WARN"),
         _issue((F.col("close") > F.col("high")) | (F.col("close") < F.col("low")), "price_close_outside_range", "WARN"),
-        _issue(F.coalesce(spread > SPREAD_MAX, F.lit(False)), "price_excessive_spread", "WARN", spread_pct=F.round(spread, 4)),
-        *_time_issues(t, as_of),
+        _issue(F.coalesce(spread > SPREAD_MAX, F.lit(False)), "price_excessive_spread", "WARN", details, spread_pct=F.round(spread, 4)),
+        *_time_issues(t, as_of, details),
         _issue(v < 0, "volume_negative", "FAIL"),
         _issue(v == 0, "volume_zero", "WARN"),
-        _issue(F.coalesce((v > 0) & (F.col("_v") > 0) & (v > F.col("_v") * SPIKE_FACTOR), F.lit(False)), "volume_spike", "WARN", average=F.round("_v", 2)),
+        _issue(F.coalesce((v > 0) & (F.col("_v") > 0) & (v > F.col("_v") * SPIKE_FACTOR), F.lit(False)), "volume_spike", "WARN", details, average=F.round("_v", 2)),
     ]
     return b.withColumn("issues", F.array_compact(F.array(*issues))).drop("_prev", "_m", "_sd", "_n", "_v")
 
