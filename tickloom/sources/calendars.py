@@ -30,8 +30,13 @@ def month_number(name: Column) -> Column:
 
 def moment(year: Column, month: Column, day: Column, clock: tuple[int, int]) -> Column:
     """UTC time, null where the date does not exist."""
-    text = F.format_string("%04d-%02d-%02d %02d:%02d:00", year.cast("int"), month, day.cast("int"), F.lit(clock[0]), F.lit(clock[1]))
-    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), text).try_cast("timestamp")
+    return F.try_make_timestamp(year.cast("int"), month, day.cast("int"), F.lit(clock[0]), F.lit(clock[1]), F.lit(0).cast("decimal(16,6)"))
+
+
+def _once(df: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns that are computed once a row, however often later columns refer to them."""
+    made = df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("_once"))
+    return made.select(*df.columns, "_once.*")
 
 
 def _digits(x: Column) -> Column:
@@ -44,11 +49,11 @@ def tokens(text: Column) -> Column:
 
 
 def _day(token: Column) -> Column:
-    return F.when(F.length(token) <= 2, F.try_to_number(token, F.lit("99")).cast("int"))
+    return F.when(F.length(token) <= 2, token.try_cast("int"))
 
 
 def _year(token: Column) -> Column:
-    return F.when(F.length(token) == 4, F.try_to_number(token, F.lit("9999")).cast("int"))
+    return F.when(F.length(token) == 4, token.try_cast("int"))
 
 
 def dates(tokens: str, between: Sequence[str]) -> Column:
@@ -56,17 +61,30 @@ def dates(tokens: str, between: Sequence[str]) -> Column:
     ``between`` parts), ``year`` behind it or null, and ``lead``, the day in front of the month."""
     t = lambda i: F.get(F.col(tokens), i)
 
-    def read(word: Column, i: Column) -> Column:
-        day = i + F.when(t(i + 1) == ".", 2).otherwise(1)
+    # in steps, each a struct, so that no step is worked out again wherever a later one refers to it
+    def place(i: Column) -> Column:
+        taken = F.when(t(i - 2).isin(*between) & _day(t(i - 3)).isNotNull() & month_number(t(i - 4)).isNotNull(), True).otherwise(False)  # end of a range
+        return F.struct(i.alias("i"), (i + F.when(t(i + 1) == ".", 2).otherwise(1)).alias("day"), taken.alias("taken"))
+
+    def span(x: Column) -> Column:
+        day = x["day"]
         ranged = t(day + 1).isin(*between)
         far = F.when(ranged & month_number(t(day + 2)).isNotNull() & _day(t(day + 3)).isNotNull(), 2).when(ranged & _day(t(day + 2)).isNotNull(), 1).otherwise(0)
-        last = day + F.when(far == 2, 3).when(far == 1, 2).otherwise(0)
+        return F.struct(x["i"].alias("i"), day.alias("day"), far.alias("far"))
+
+    def end(x: Column) -> Column:
+        last = x["day"] + F.when(x["far"] == 2, 3).when(x["far"] == 1, 2).otherwise(0)
+        name = t(F.when(x["far"] == 2, x["day"] + 2).otherwise(x["i"]))
+        return F.struct(x["i"].alias("i"), last.alias("last"), name.alias("name"))
+
+    def read(x: Column) -> Column:
+        i, last = x["i"], x["last"]
         year = F.coalesce(_year(t(last + 1)), F.when(t(last + 1) == ",", _year(t(last + 2))))
-        month = F.when(far == 2, month_number(t(day + 2))).otherwise(month_number(word))
-        taken = F.when(t(i - 2).isin(*between) & _day(t(i - 3)).isNotNull() & month_number(t(i - 4)).isNotNull(), True).otherwise(False)  # end of a range
-        return F.struct(month.alias("month"), _day(t(last)).alias("day"), year.alias("year"), F.when(i > 0, _day(t(i - 1))).alias("lead"), _year(t(i + 1)).alias("next"), (month_number(word).isNotNull() & ~taken).alias("found"))
+        return F.struct(month_number(x["name"]).alias("month"), _day(t(last)).alias("day"), year.alias("year"), F.when(i > 0, _day(t(i - 1))).alias("lead"), _year(t(i + 1)).alias("next"))
 
-    return F.filter(F.transform(F.col(tokens), read), lambda x: x["found"])
+    months = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: t(i).isin(*MONTHS))  # places; only these are read
+    free = F.filter(F.transform(months, place), lambda x: ~x["taken"])
+    return F.transform(F.transform(F.transform(free, span), end), read)
 
 
 def elements(pages: DataFrame, tags: Sequence[str], html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -94,14 +112,17 @@ def panel_meetings(pages: DataFrame, start: str | None = None, end: str | None =
     opened = lambda name: rf'(?i)<div[^>]*class="{name}[ "]'
     p = pages.select(*keys, F.posexplode(F.split(F.col(html), opened(panel))).alias("_p", "part"))
     cells = F.split("part", opened(row))
-    p = p.select(*keys, tokens(plain_text(F.concat(F.lit("<"), F.get(cells, F.lit(0))))).alias("_head"), F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))).alias("_rows"))
+    p = _once(p.select(*keys, cells.alias("_cells")), _head=tokens(plain_text(F.concat(F.lit("<"), F.get("_cells", F.lit(0))))))
+    p = p.withColumn("_rows", F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))))
     years = F.filter("_head", lambda x: _year(x).isNotNull())
-    p = p.select(*keys, F.get(years, F.lit(0)).cast("int").alias("year"), F.explode("_rows").alias("raw")).where("year is not null")
-    text = plain_text(F.concat(F.lit("<"), F.substring_index("raw", "</div>", 1)))
-    r = p.select(*keys, "year", F.lower(text).alias("text")).where(~F.contains("text", F.lit("unscheduled")) & ~F.contains("text", F.lit("notation")))
-    r = r.withColumn("_t", tokens(F.col("text"))).withColumn("_d", dates("_t", _BETWEEN))
-    first = F.get("_d", F.lit(0))
+    p = _once(p, year=F.get(years, F.lit(0)).cast("int")).where("year is not null")
+    text = F.lower(plain_text(F.concat(F.lit("<"), F.substring_index("raw", "</div>", 1))))
+    r = _once(p.select(*keys, "year", F.explode("_rows").alias("raw")), text=text).drop("raw")
+    r = r.where(~F.contains("text", F.lit("unscheduled")) & ~F.contains("text", F.lit("notation")))
+    r = _once(_once(r, _t=tokens(F.col("text"))), _d=dates("_t", _BETWEEN))
     later = F.get(F.filter(F.slice("_d", 2, F.greatest(F.size("_d") - 1, F.lit(0))), lambda x: x["year"].isNotNull()), F.lit(0))
+    r = _once(r, first=F.get("_d", F.lit(0)), later=later)
+    first, later = F.col("first"), F.col("later")
     held = lambda clock: moment(F.col("year"), first["month"], first["day"], clock)
     event = lambda name, time: F.struct(F.lit(f"{prefix}_{name}").alias("event_type"), time.alias("scheduled_time"))
     ev = F.array(
