@@ -544,6 +544,31 @@ def test_no_pairs_of_unlike_rows_leave_a_tile(spark, monkeypatch):
     assert made[0].count() <= len(docs) * minhash.BANDS / 4
 
 
+def test_near_duplicate_stage_finds_by_fingerprints_too():
+    """Without its bands a pair whose fingerprints differ in two bits or fewer still shares a bucket, and only such masks agree."""
+    rnd = random.Random(8)
+    shared = 0
+    for _ in range(40):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(1500)]
+        other = [*words[:-1], "changed"]
+        sets = [minhash.shingles(" ".join(x), 5) for x in (words, other)]
+        fps = [simhash.majority(simhash.bit_counts(g), len(g)) for g in sets]
+        keys = [minhash.sketch(g)[0][minhash.BANDS :] for g in sets]
+        agree = [(fps[0] ^ fps[1]) & m == 0 for m in simhash.covering_masks(2)]
+        assert [x == y for x, y in zip(*keys)] == agree and len(agree) == 7
+        if (fps[0] ^ fps[1]).bit_count() <= 2:
+            assert any(agree)
+            shared += 1
+    assert shared > 20
+
+
+def test_encoders_are_given_back_by_stages_that_do_not_encode():
+    kept = tokens.encoder(tokens.public_path())
+    assert tokens.encoder(tokens.public_path()) is kept
+    tokens.forget()
+    assert tokens.encoder(tokens.public_path()) is not kept
+
+
 def test_ranges_of_the_curve_hold_like_token_totals(spark):
     rnd = random.Random(2)
     rows = [(rnd.randrange(1 << 60), 20_000 if i % 97 == 0 else rnd.randrange(1, 400)) for i in range(4000)]

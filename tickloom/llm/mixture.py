@@ -38,12 +38,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> LogisticReg
     ranked = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(domain_of()).alias("_qy")).where("_qy is not null")
     picked = ranked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_qid"), F.col("_qy").cast("double").alias("_qy"))
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_qid"))
-    rows = cut_lineage(_features(rows).select("_qx", "_qy")).coalesce(8)  # a bounded sample: few gradients to add up
+    rows = cut_lineage(_features(rows).select("_qx", "_qy"))
     if rows.select("_qy").distinct().count() < 2:
         return None
     # a row without words for each domain keeps the classes at three where the sample lacks one
     empty = _features(docs.sparkSession.createDataFrame([("", float(i)) for i in range(len(DOMAINS))], "text string, _qy double").coalesce(1)).select("_qx", "_qy")
-    return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, standardization=False, featuresCol="_qx", labelCol="_qy", probabilityCol="_qp", rawPredictionCol="_qr", predictionCol="_qc").fit(rows.union(empty))
+    taught = rows.union(empty).coalesce(2)  # a bounded sample: each part sends the driver a whole gradient in every iteration
+    return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=40, standardization=False, featuresCol="_qx", labelCol="_qy", probabilityCol="_qp", rawPredictionCol="_qr", predictionCol="_qc").fit(taught)
 
 
 def posteriors(docs: DataFrame, model: LogisticRegressionModel | None) -> DataFrame:

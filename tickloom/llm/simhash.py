@@ -26,6 +26,11 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ values).ravel()
 
 
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` words have."""
+    return sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist())
+
+
 def fingerprint(text: str | None, shingle: int) -> int:
     """Bits that over half the hashes of the word shingles have. A-Z is lower-cased; without words it is zero."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
@@ -37,7 +42,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
         part = words[i : min(i + STEP, n) + shingle - 1]
         runs = zip(*(part[k:] for k in range(shingle))) if len(words) >= shingle else [words]
         total += bit_counts(np.array([hash64(b" ".join(x), 42) for x in runs], np.uint64))
-    return sum(1 << b for b in np.flatnonzero(2 * total > n).tolist())
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
