@@ -232,3 +232,14 @@ def test_fractional_difference_by_blocks(spark):
             assert abs(got[0].d - d) < 1e-12 and got[0].n_lags == len(w) and abs(got[0].t_stat - t) < 1e-6 * abs(t)
             break
     assert abs(X.memory_retained(0.0, 1) - 1.0) < 1e-12 and 0 < X.memory_retained(0.4, 100) < 1
+
+
+def test_frame_sums_keep_small_values_after_large_ones(spark):
+    """1e9 long before a frame of values about 1e-8 leaves no trace in its sum, in every chunk."""
+    x = [1e9 if i < 5 else (i * 31 % 17) * 1e-9 for i in range(95)]
+    d = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "symbol string, seq long, v double").withColumn("timestamp", F.timestamp_seconds("seq"))
+    s = Ordered(chunk_rows=30)
+    got = s.windowed(d, 11, lambda t: s.frame_sums(t, {"f": F.col("v")}, 7)).orderBy("seq").collect()
+    assert len(got) == 95
+    for r in got:
+        assert r.f == pytest.approx(sum(x[max(0, r.seq - 6) : r.seq + 1]), rel=1e-14, abs=1e-30)
